@@ -12,6 +12,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled ones whose id's CRC-32 is no multiple of 5."""
+    from .toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit(docs.filter(~held_out(F.col("doc_id"), 5, 0)), _table(spark, sf_dir, "labels"), "toxic")
+    out = score(docs, net)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labelled ones whose id's CRC-32 mod 4 is not 2."""
+    from .quality import fit, score
+    from .toxicity import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = fit(docs, docs.filter(~held_out(F.col("doc_id"), 4, 2)), _table(spark, sf_dir, "labels"), "quality")
+    out = score(docs, scorer)
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components (radius 4)."""
     from .simhash import hex16, near_duplicates
@@ -21,6 +42,8 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_bigru": op1_toxicity_bigru,
+    "op8_quality_random_indexing": op8_quality_random_indexing,
     "op7_simhash_bktree": op7_simhash_bktree,
 }
 
