@@ -69,6 +69,22 @@ def as_text(column: pa.Array) -> pa.Array:
     return column
 
 
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of docs whose text passes: ``make`` runs on the executor and gives a function from
+    texts to a mask.  All columns come back as they are; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            part = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{k}" for k in range(batch.num_columns)])
+            for piece in batches_of([part], f"c{at}", 6 << 20):
+                out = piece.filter(pa.array(test(piece.column(at))))
+                yield pa.RecordBatch.from_arrays(out.columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def batches_of(it: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
     for batch in it:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, batches_of, split_words, worker_cache
+from .base import Words, batches_of, keep_rows, split_words, worker_cache
 from .toxicity import sample_rows
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 13, 32, 4
@@ -232,3 +232,9 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep_good(docs: DataFrame, scorer: Scorer, least: float = 0.7) -> DataFrame:
+    """The rows of docs that score at least so much, all columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(scorer)
+    return keep_rows(docs, lambda: lambda text: held.value.scores(text) >= least)

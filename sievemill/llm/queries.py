@@ -33,6 +33,15 @@ def op8_quality_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens with their BM25 neighbours."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components (radius 4)."""
     from .simhash import hex16, near_duplicates
@@ -41,9 +50,28 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Shares of the token total that each language is to have.
+LANGUAGE_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language posteriors, learned from the documents of the labelled table, and fitted rates."""
+    from .mixing import copies, fit_domains, rates
+
+    docs = _table(spark, sf_dir, "documents")
+    labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    domains = fit_domains(docs, labelled.select("doc_id", F.col("lang").alias("domain")))
+    weights = {k: v for k, v in LANGUAGE_WEIGHTS.items() if k in domains.names}
+    out = rates(docs, domains, weights)
+    posteriors = [F.col(f"p_{k}").alias(f"p_{name}") for k, name in enumerate(domains.names)]
+    return out.select("doc_id", "n_tokens", *posteriors, "rate", copies(F.col("rate"), F.col("row_hash")).alias("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_bigru": op1_toxicity_bigru,
     "op8_quality_random_indexing": op8_quality_random_indexing,
+    "op2_bm25_packing": op2_bm25_packing,
+    "op9_soft_mixing": op9_soft_mixing,
     "op7_simhash_bktree": op7_simhash_bktree,
 }
 

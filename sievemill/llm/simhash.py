@@ -24,48 +24,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, persist
+from .base import as_text, persist, worker_cache
 from .components import components
 
 #: Entries of a shard from which it is dealt again.
 LARGE_SHARD = 4096
 #: Shingles hashed at once.
 _AT_ONCE = 1 << 16
+#: Bits of a min-hash sketch.
+_SKETCH = 128
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint of one UTF-8 text."""
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, sketch: bool = False) -> int | tuple[int, bytes]:
+    """The unsigned fingerprint of one UTF-8 text, and a min-hash sketch of its shingles if asked."""
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return (0, bytes(_SKETCH // 8)) if sketch else 0
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     starts, last = ends - sizes, max(0, len(tokens) - words)
     starts, ends = starts[: last + 1], ends[min(words, len(tokens)) - 1 :]
-    ones = np.zeros(64, dtype=np.int64)
+    ones, low = np.zeros(64, dtype=np.int64), np.full(_SKETCH, ~np.uint64(0))
     for at in range(0, len(starts), _AT_ONCE):
         spans = zip(starts[at : at + _AT_ONCE].tolist(), ends[at : at + _AT_ONCE].tolist())
         h = np.array([xxh64_intdigest(joined[s:e], seed) for s, e in spans], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        if sketch:
+            for k in range(0, len(h), 2048):
+                np.minimum(low, (h[k : k + 2048, None] * _multipliers()).min(axis=0), out=low)
+    bits = int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    if not sketch:
+        return bits
+    return bits, np.packbits((low >> np.uint64(20)).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _fingerprints(words: int, seed: int):
+def _multipliers() -> np.ndarray:
+    return worker_cache("multipliers", lambda: np.random.default_rng(3).integers(1, 1 << 63, _SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def _fingerprints(words: int, seed: int, sketch: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_text(batch.column(1)).cast(pa.binary())
-            found = np.array([fingerprint(t.as_py(), words, seed) for t in texts], dtype=np.uint64)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": found.view(np.int64)})
+            found = [fingerprint(t.as_py(), words, seed, sketch) for t in texts]
+            out = {"doc_id": batch.column(0), "fp": np.array([x[0] if sketch else x for x in found], dtype=np.uint64).view(np.int64)}
+            yield pa.record_batch(out | ({"sketch": pa.array([x[1] for x in found], pa.binary())} if sketch else {}))
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with fp as a signed bigint."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
+    """(doc_id, fp) with fp as a signed bigint; with ``sketch``, also one bit each of 128 min-hashes."""
+    schema = "doc_id long, fp long" + (", sketch binary" if sketch else "")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints(words, seed, sketch), schema)
 
 
 class BKTree:
@@ -101,8 +115,9 @@ class BKTree:
                     todo.append(child)
 
 
-def shard_links(codes: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join all of one shard's codes that links reach: a forest, not all pairs."""
+def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[int] | None = None, agree: int = 0) -> list[tuple[int, int]]:
+    """Links that join all of one shard's codes that links reach: a forest, not all pairs.  With
+    sketches, a link also needs ``agree`` equal bits of them."""
     tree, up, groups, out = BKTree(), list(range(len(codes))), 0, []
 
     def root(i: int) -> int:
@@ -115,7 +130,7 @@ def shard_links(codes: list[int], ids: list[int], radius: int) -> list[tuple[int
         groups += 1
         for old in tree.within(code, radius):
             a, b = root(new), root(old)
-            if a != b:
+            if a != b and (sketches is None or (sketches[new] ^ sketches[old]).bit_count() <= _SKETCH - agree):
                 up[a] = b
                 groups -= 1
                 out.append((ids[new], ids[old]))
@@ -125,29 +140,38 @@ def shard_links(codes: list[int], ids: list[int], radius: int) -> list[tuple[int
     return out
 
 
-def _search(radius: int):
+def _search(radius: int, agree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, codes, ids, found = None, [], [], []
+        key, codes, ids, sketches, found = None, [], [], [], []
 
         def flush() -> None:
             if len(codes) > 1:
-                found.extend(shard_links(codes, ids, radius))
+                found.extend(shard_links(codes, ids, radius, sketches or None, agree))
             codes.clear()
             ids.clear()
+            sketches.clear()
+
+        def out() -> pa.RecordBatch:
+            a, b = zip(*found)
+            found.clear()
+            return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
-            for k, code, i in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist()):
+            columns = [batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist()]
+            if agree:
+                columns.append([int.from_bytes(x, "little") for x in batch.column(3).to_pylist()])
+            for k, code, i, *sketch in zip(*columns):
                 if k != key:
                     flush()
                     key = k
                 codes.append(code)
                 ids.append(i)
+                sketches += sketch
             if len(found) > 100_000:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-                found.clear()
+                yield out()
         flush()
         if found:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+            yield out()
 
     return run
 
@@ -177,37 +201,50 @@ def _keys(blocks: int, radius: int) -> list[int]:
 def _shards(codes: DataFrame, masks: list[int], held: Column | None = None) -> DataFrame:
     """A row for each mask, keyed by the mask's number and the masked code (after the key held)."""
     keys = [F.xxhash64(*([held] if held is not None else []), F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
-    return codes.select(F.explode(F.array(*keys)).alias("key"), "fp", "id")
+    rest = [c for c in codes.columns if c != "key"]
+    return codes.select(F.explode(F.array(*keys)).alias("key"), *rest)
 
 
-def link_codes(codes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) among (fp, id) rows with distinct fp that join all within the radius.
+def link_codes(codes: DataFrame, radius: int, agree: int = 0) -> DataFrame:
+    """Links (a, b) among (fp, id[, sketch]) rows that join all pairs within the radius.
 
     Shard keys are hashes: a collision only puts two shards into one tree, which adds no link.
     """
-    n = codes.count()
-    masks = _keys(blocks_for(n, radius), radius)
-    shards = persist(_shards(codes, masks), "shards")
+    shards = _shards(codes, _keys(blocks_for(codes.count(), radius), radius))
     large = persist(shards.groupBy("key").count().filter(F.col("count") > LARGE_SHARD).select("key"), "large")
-    small = shards.join(large, "key", "left_anti")
-    parts = [small]
+    out = shards
     if not large.isEmpty():
-        again = shards.join(large, "key", "left_semi")
-        parts.append(_shards(again, _keys(radius + 2, radius), F.col("key")))
-    out = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+        again = _shards(shards.join(large, "key", "left_semi"), _keys(radius + 2, radius), F.col("key"))
+        out = shards.join(large, "key", "left_anti").union(again)
     out = out.repartition("key").sortWithinPartitions("key", "id")
-    return out.mapInArrow(_search(radius), "a long, b long")
+    return out.mapInArrow(_search(radius, agree), "a long, b long")
+
 
+def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, agree: int = 0) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text).
 
-def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
-    fps = persist(fingerprints(docs, words, seed), "fingerprints")
-    codes = persist(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
-    moved = components(link_codes(codes, radius))
-    ids = codes.join(moved, codes["id"] == moved["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    out = fps.join(ids, "fp", "left")
+    ``agree`` (bits of 128) asks for links that min-hash sketches of the same shingles confirm: 2 *
+    bits / 128 - 1 estimates the Jaccard similarity.  Equal fingerprints are then one entry only if
+    their sketches are equal, too.
+    """
+    same = ["fp", "sketch"] if agree else ["fp"]
+    fps = persist(fingerprints(docs, words, seed, bool(agree)), "fingerprints")
+    codes = persist(fps.filter("doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id")).select("fp", "id", *same[1:]), "codes")
+    moved = components(link_codes(codes, radius, agree))
+    ids = codes.join(moved, codes["id"] == moved["node"], "left").select(*same, F.coalesce("component", "id").alias("component_id"))
+    out = fps.join(ids, same, "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is their component's, one row for each; null ids stay."""
+    ids = found.filter("doc_id = component_id").select("doc_id")
+    repeated = ids.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    out = docs.join(ids.distinct(), "doc_id", "left_semi")
+    if repeated:
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, ragged, split_words
+from .base import batches_of, keep_rows, ragged, split_words
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 12, 8
@@ -240,6 +240,11 @@ def _document_logits(net: Net, text: pa.Array) -> np.ndarray:
     return np.maximum.reduceat(out, starts) if len(text) else out
 
 
+def text_scores(net: Net, text: pa.Array) -> np.ndarray:
+    x = net.slope * _document_logits(net, text).astype(np.float64) + net.shift
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
     """Learn from (text, label) rows: windows of toxic documents that look most toxic are learned
     as toxic, others and those of clean documents as clean; thrice, each time ranked anew."""
@@ -332,8 +337,13 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches_of(batches, "text", 6 << 20):
-            x = model.slope * _document_logits(model, batch.column(1)).astype(np.float64) + model.shift
-            yield pa.record_batch({"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-np.clip(x, -40, 40)))})
+            yield pa.record_batch({"doc_id": batch.column(0), "score": text_scores(model, batch.column(1))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, net: Net, limit: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the limit, all columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(net)
+    return keep_rows(docs, lambda: lambda text: text_scores(held.value, text) < limit)
