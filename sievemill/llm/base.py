@@ -6,6 +6,7 @@ lineage, so a lost executor costs a reread and not a recomputation.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
@@ -16,7 +17,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,13 @@ def drop_persisted(spark: SparkSession, df: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def ship(spark: SparkSession, model: object) -> Callable[[], object]:
+    """Broadcast a model whose size does not depend on the data; the result gives it on an executor,
+    where this package need not be installed."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(held.value)
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """A value that outlives one task in a reused Python worker; made anew in any other worker."""
     store = sys.modules.get("_sievemill_worker_cache")
@@ -61,6 +71,27 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(store, name)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, values: list, rows: int, longest: int) -> list[tuple[str, object]]:
+    """(text, label) of labelled documents, for classifiers that learn on the driver: of each label
+    in ``values`` at most ``rows``, by hash of the id, of texts of at most ``longest`` bytes.
+
+    labels has (doc_id, label), one of its rows is taken for an id.  The ids are chosen first, so
+    that only the chosen texts, whose number and size are bounded, leave the executors.
+    """
+    fitting = docs.filter(F.octet_length("text") <= longest).select("doc_id")
+    ids = labels.filter(F.col("label").isin(values)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    ids = ids.join(fitting, "doc_id", "left_semi")
+    chosen = []
+    for value in values:
+        chosen += ids.filter(F.col("label") == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    if not chosen:
+        return []
+    few = docs.sparkSession.createDataFrame(chosen, ids.schema)
+    texts = docs.filter(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    found = {r["doc_id"]: (r["text"], r["label"]) for r in texts.orderBy("text").collect()}
+    return [found[r["doc_id"]] for r in chosen if r["doc_id"] in found]
+
+
 def as_text(column: pa.Array) -> pa.Array:
     """One string array without nulls (null text counts as empty)."""
     if isinstance(column, pa.ChunkedArray):

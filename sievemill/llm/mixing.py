@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, persist, split_words
+from .base import batches_of, labelled_sample, persist, ship, split_words
 
 BUCKETS, STEPS, ROUNDS = 1 << 14, 200, 24
 #: The labelled sample: rows of each domain at most, and the longest text (in bytes) learned from.
@@ -88,12 +88,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS, l
     """Learn from ``labelled`` (doc_id, domain): at most ``rows`` documents of each domain, by hash."""
     names = [r[0] for r in labelled.filter("domain IS NOT NULL").groupBy("domain").count().orderBy("domain").select("domain").collect()]
     out = Domains(names)
-    texts = docs.filter(F.octet_length("text") <= longest).select("doc_id", "text")
-    both = texts.join(labelled.dropDuplicates(["doc_id"]).select("doc_id", "domain"), "doc_id")
-    found = []
-    for k, name in enumerate(names):
-        sample = both.filter(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-        found += [(r[0], k) for r in sample.select("text").collect()]
+    place = {name: k for k, name in enumerate(names)}
+    labels = labelled.select("doc_id", F.col("domain").alias("label"))
+    found = [(t, place[k]) for t, k in labelled_sample(docs, labels, names, rows, longest)]
     if found:
         out.train(pa.array([t for t, _ in found], pa.string()), np.array([k for _, k in found]))
     return out
@@ -101,11 +98,11 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS, l
 
 def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
     """The rows of docs with ``n_tokens`` and ``p_0``, ``p_1``, ... added (under names not in use)."""
-    held = docs.sparkSession.sparkContext.broadcast(domains)  # of a size that does not depend on the data
+    held = ship(docs.sparkSession, domains)
     names = [f"p_{k}" for k in range(len(domains.names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = held()
         for batch in batches_of(batches, "text", 6 << 20):
             p, n = model.posteriors(batch.column(1))
             digest = pc.fill_null(batch.column(2), 0)

@@ -15,14 +15,14 @@ learned from; repeated rows get equal scores; without labels of both kinds every
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, batches_of, keep_rows, split_words, worker_cache
-from .toxicity import sample_rows
+from .base import Words, batches_of, keep_rows, labelled_sample, ship, split_words, worker_cache
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 13, 32, 4
 HIDDEN, STEPS = 24, 900
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str =
     """Word vectors from ``docs``; the network from at most ``rows`` labelled ``train_docs`` of either
     label, of ``longest`` bytes at most.  The shares of the two labels are those of all of them."""
     scorer = Scorer(word_vectors(context_table(docs)))
-    sample = sample_rows(train_docs, labels, label, rows, longest)
+    sample = labelled_sample(train_docs, labels.select("doc_id", F.col(label).alias("label")), [0, 1], rows, longest)
     y = np.array([k for _, k in sample], dtype=int)
     counts = {r[0]: r[1] for r in labels.join(train_docs.select("doc_id"), "doc_id", "left_semi").filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     shift = float(np.log(counts[1] / counts[0])) if counts.get(0) and counts.get(1) else 0.0
@@ -223,10 +223,10 @@ def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str =
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(scorer)  # of a size that does not depend on the data
+    held = ship(docs.sparkSession, scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = held()
         for batch in batches_of(batches, "text", 6 << 20):
             yield pa.record_batch({"doc_id": batch.column(0), "score": model.scores(batch.column(1))})
 
@@ -234,7 +234,11 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def _at_least(scorer: Scorer, least: float, text: pa.Array) -> np.ndarray:
+    return scorer.scores(text) >= least
+
+
 def keep_good(docs: DataFrame, scorer: Scorer, least: float = 0.7) -> DataFrame:
     """The rows of docs that score at least so much, all columns as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
-    return keep_rows(docs, lambda: lambda text: held.value.scores(text) >= least)
+    held = ship(docs.sparkSession, scorer)
+    return keep_rows(docs, lambda: partial(_at_least, held(), least))

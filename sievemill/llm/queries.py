@@ -51,7 +51,7 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of the token total that each language is to have.
-LANGUAGE_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+LANGUAGE_WEIGHTS = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
 
 
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,14 @@ and stays there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, keep_rows, ragged, split_words
+from .base import batches_of, keep_rows, labelled_sample, ragged, ship, split_words
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 12, 8
@@ -37,17 +38,6 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int) -> list[tuple[str, int]]:
-    """(text, label) of labelled documents: ``rows`` of each label at most, by hash of the id."""
-    ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    texts = docs.filter(F.octet_length("text") <= longest).select("doc_id", "text")
-    both = texts.join(ids.dropDuplicates(["doc_id"]), "doc_id")
-    found = []
-    for y in (0, 1):
-        found += both.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label").collect()
-    return [(r[0], r[1]) for r in found]
-
-
 def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the marked words, and where each word's begin."""
     marked = np.frombuffer(b"".join(b"<" + w + b">" for w in words), dtype=np.uint8).astype(np.uint64)
@@ -327,15 +317,15 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> Net:
     """Train on at most ``rows`` documents of either label, of ``longest`` bytes at most each."""
-    return train(sample_rows(docs, labels, label, rows, longest))
+    return train(labelled_sample(docs, labels.select("doc_id", F.col(label).alias("label")), [0, 1], rows, longest))
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(net)  # of a size that does not depend on the data
+    held = ship(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = held()
         for batch in batches_of(batches, "text", 6 << 20):
             yield pa.record_batch({"doc_id": batch.column(0), "score": text_scores(model, batch.column(1))})
 
@@ -343,7 +333,11 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def _under(net: Net, limit: float, text: pa.Array) -> np.ndarray:
+    return text_scores(net, text) < limit
+
+
 def keep_clean(docs: DataFrame, net: Net, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below the limit, all columns as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(net)
-    return keep_rows(docs, lambda: lambda text: text_scores(held.value, text) < limit)
+    held = ship(docs.sparkSession, net)
+    return keep_rows(docs, lambda: partial(_under, held(), limit))
