@@ -42,6 +42,18 @@ def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents, learned from those whose id's CRC-32 mod 7 is not 2."""
+    import public_tokenizers
+
+    from .lattice_lm import score
+    from .toxicity import held_out
+
+    held = held_out(F.col("doc_id"), 7, 2)
+    out = score(_table(spark, sf_dir, "documents"), ~held, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components (radius 4)."""
     from .simhash import hex16, near_duplicates
@@ -72,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_random_indexing": op8_quality_random_indexing,
     "op2_bm25_packing": op2_bm25_packing,
     "op9_soft_mixing": op9_soft_mixing,
+    "op3_lattice_likelihood": op3_lattice_likelihood,
     "op7_simhash_bktree": op7_simhash_bktree,
 }
 
