@@ -54,6 +54,20 @@ def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products found for every vector whose id is divisible by 20."""
+    from .ads_ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors (cosine of 0.95 or more) of all embeddings."""
+    from .imi import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components (radius 4)."""
     from .simhash import hex16, near_duplicates
@@ -85,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bm25_packing": op2_bm25_packing,
     "op9_soft_mixing": op9_soft_mixing,
     "op3_lattice_likelihood": op3_lattice_likelihood,
+    "op4_adaptive_scan": op4_adaptive_scan,
+    "op10_inverted_multi_index": op10_inverted_multi_index,
     "op7_simhash_bktree": op7_simhash_bktree,
 }
 
