@@ -68,6 +68,20 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to seekable WARC bundles in the shared folder, and read back."""
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(_table(spark, sf_dir, "pages")))
+
+
+def op6_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from .host_html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components (radius 4)."""
     from .simhash import hex16, near_duplicates
@@ -101,7 +115,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lattice_likelihood": op3_lattice_likelihood,
     "op4_adaptive_scan": op4_adaptive_scan,
     "op10_inverted_multi_index": op10_inverted_multi_index,
+    "op5_seekable_warc": op5_seekable_warc,
+    "op6_host_suffix_array": op6_host_suffix_array,
     "op7_simhash_bktree": op7_simhash_bktree,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_seekable_warc": """
+        WITH own AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        sized AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM own),
+        last AS (SELECT payload_digest AS digest, max(page_id) AS last_id FROM sized WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last_id THEN last_id END AS refers_to
+        FROM sized LEFT JOIN last ON payload_digest = digest""",
+}
