@@ -28,13 +28,19 @@ SHARD_TOKENS = 1 << 21
 #: Terms of a seed that its query has: those with the largest weights.
 QUERY_TERMS, NEIGHBOURS = 24, 32
 K1, B = 1.2, 0.75
-#: Distinct words a worker remembers before it starts anew.
+#: Strings after which a worker begins another generation of those it remembers.
 REMEMBERED = 300_000
+_MARKS = b".,;:!?#$%&*"
 PIECE_SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids of white-space separated words by a tokenizer whose words don't reach over white space."""
+    """Ids of white-space separated words by a tokenizer whose words don't reach over white space.
+
+    The tokenizer lower-cases and parts letters from marks, so a word of letters alone with marks
+    after it has the ids of its lower-cased letters and of the marks.  A worker remembers the ids of
+    what it met in its last ``REMEMBERED`` strings or more, in two generations.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -42,28 +48,48 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            texts = [w.decode() for w in part]
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+            starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            cuts = (4 * np.searchsorted(np.searchsorted(ends, starts, side="right"), np.arange(len(part) + 1))).tolist()
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            self.young.update(zip(part, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = words
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                texts = [w.decode() for w in part]
-                e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-                ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
-                starts = np.fromiter((o[0] for o in e.offsets), dtype=np.int64, count=len(e.offsets))
-                word = np.searchsorted(ends, starts, side="right")
-                cuts = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                for w, a, b in zip(part, cuts[:-1], cuts[1:]):
-                    known[w] = ids[4 * a : 4 * b]
-        found = [known[w] for w in words]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        stems, tails = [], []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if stem.isalpha() or (stem and not stem.isascii() and stem.decode().isalpha() and max(stem) < 0xC6):
+                stems.append(stem.lower())
+                tails.append(w[len(stem) :])
+            else:
+                stems.append(w)
+                tails.append(b"")
+        young, old = self.young, self.old
+        known = {b"": b""}
+        for part in (stems, tails):
+            for w in set(part):
+                ids = young.get(w)
+                if ids is None:
+                    ids = old.get(w)
+                    if ids is not None:
+                        young[w] = ids
+                known[w] = ids
+        known[b""] = b""
+        new = [w for w, ids in known.items() if ids is None]
+        self._learn(new)
+        for w in new:
+            known[w] = young[w]
+        found = [known[a] + known[b] for a, b in zip(stems, tails)]
         return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
 
 
@@ -85,12 +111,16 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_cache("tokens:" + path, lambda: WordTokens(path))
         seen = np.zeros(tokens.tokenizer.get_vocab_size(), dtype="<i8")
-        kind = None
+        there, kind = np.zeros((64, len(seen)), np.uint8), None
         for batch in batches_of(batches, "text", 6 << 20):
             ids, bounds = tokenize(batch.column(1), tokens)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            seen += np.bincount(np.unique(row * len(seen) + ids) % len(seen), minlength=len(seen))
             cut = bounds.tolist()
+            for at in range(0, batch.num_rows, len(there)):
+                rows = min(len(there), batch.num_rows - at)
+                for k in range(rows):
+                    there[k, ids[cut[at + k] : cut[at + k + 1]]] = 1
+                seen += there[:rows].sum(axis=0, dtype=np.uint8)
+                there[:rows] = 0
             small = ids.astype("<u2") if len(seen) <= 1 << 16 else ids.astype("<u4")
             kind = batch.column(0).type
             yield pa.record_batch({"doc_id": batch.column(0), "tokens": np.diff(bounds), "ids": pa.array([small[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
