@@ -46,20 +46,28 @@ def next_ids(docs: DataFrame, order: str, last: int = 0) -> DataFrame:
 
 
 def early_stop(docs: DataFrame, order: str, min_valid: int, targets: dict[str, int]) -> DataFrame:
-    """Rows before the first place where enough are valid and every language has its target."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    done = F.count("*").over(w) >= min_valid
-    for k, t in targets.items():
-        done = done & (F.coalesce(F.sum((F.col("language") == k).cast("int")).over(w), F.lit(0)) >= t)
-    flagged = docs.withColumn("done", done)
-    stop = flagged.filter("done").agg(F.min(order).alias("stop"))
-    return flagged.crossJoin(F.broadcast(stop)).filter(F.col("stop").isNull() | (F.col(order) < F.col("stop"))).drop("done", "stop")
+    """Rows before the first place where enough are valid and every language has its target.
+
+    Each condition first holds after its n-th row in order, which a top-n finds; rows after the last
+    of these places go.  A condition that never holds keeps all.
+    """
+    conditions = [(min_valid, docs)] + [(t, docs.filter(F.col("language") == k)) for k, t in targets.items()]
+    last = None
+    for n, rows in conditions:
+        if n <= 0:
+            continue
+        few = rows.select(order).orderBy(order).limit(n).agg(F.count("*"), F.max(order)).first()
+        if few[0] < n:
+            return docs
+        last = few[1] if last is None else max(last, few[1])
+    return docs.limit(0) if last is None else docs.filter(F.col(order) <= F.lit(last))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(url, target), both normalised, for every link of pages (url, html)."""
-    own = pages.select(urls.normalize(F.col("url")).alias("url"), F.explode(html.root_links(F.col("url"), F.col("html"))).alias("target"))
-    return own.select("url", urls.normalize(F.col("target")).alias("target")).filter(urls.is_http(F.col("target"))).distinct()
+    own = pages.select("url", F.explode(html.root_links(F.col("url"), F.col("html"))).alias("target"))
+    own = own.filter(urls.is_http(F.col("target")))
+    return own.select(urls.normalize(F.col("url")).alias("url"), urls.normalize(F.col("target")).alias("target")).distinct()
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
