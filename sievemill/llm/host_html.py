@@ -115,11 +115,12 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
+def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, unit: np.ndarray | None = None) -> np.ndarray:
     """Which tokens are covered by a run of ``long`` tokens that distinct pages have.
 
     tokens: numbers of all pages' tokens one after the other; page: the page of each.  Ranks of the
-    suffixes' first 1, 2, 4, ... tokens order the array; a run ends where its page does.
+    suffixes' first 1, 2, 4, ... tokens order the array; a run ends where its page, or its ``unit``
+    of the page, does (both are numbered in ascending order).
     """
     n = len(tokens)
     covered = np.zeros(n, dtype=bool)
@@ -127,7 +128,8 @@ def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarr
         return covered
     _, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64) + 1
-    last = np.searchsorted(page, page, side="right")  # the page's end
+    unit = page if unit is None else unit
+    last = np.searchsorted(unit, unit, side="right")  # where its page or unit ends
     size = 1
     while size < long:
         step = min(size, long - size)
@@ -166,7 +168,9 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
     token, own = np.array(tokens, dtype=np.int64), np.array(page, dtype=np.int64)
     order = np.argsort(own, kind="stable")
     covered = np.empty(len(token), dtype=bool)
-    covered[order] = repeated(token[order], own[order])
+    block = np.repeat(np.arange(len(where)), [size for _, _, size in where])[order]
+    change = np.append(0, block[1:] != block[:-1]) if len(block) else block
+    covered[order] = repeated(token[order], own[order], unit=np.cumsum(change))
     has_article = [any(zone == ARTICLE for _, zone in blocks) for blocks in pages]
     kept: list[list[str]] = [[] for _ in pages]
     at = 0

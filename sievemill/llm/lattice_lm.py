@@ -212,7 +212,7 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str) -> DataFrame:
             w = split_words(batch.column(1))
             at = np.fromiter((place.get(x, -1) for x in w.unique), dtype=np.int64, count=len(w.unique))
             row = np.repeat(np.arange(n), np.diff(w.bounds))
-            sums = [np.bincount(row, weights=value[at, k][w.ids], minlength=n) for k in range(3)]
+            sums = [np.bincount(row, weights=value[at, k][w.ids], minlength=n).astype(float) for k in range(3)]
             empty = pa.nulls(n, pa.binary())
             yield pa.record_batch({"row": batch.column(2), "doc_id": batch.column(0), "learn": batch.column(3), "n": np.diff(w.bounds), "word": empty, "tf": pa.nulls(n, pa.int64()), "logc": sums[0], "known": sums[1], "lp": sums[2]})
             rare = at[w.ids] < 0

@@ -67,6 +67,8 @@ class Domains:
             self.weights -= 2.0 * g / (np.sqrt(moment) + 1e-6)
 
     def _softmax(self, x: np.ndarray) -> np.ndarray:
+        if not x.shape[1]:
+            return x
         x = x + np.log(self.prior)
         x = np.exp(x - x.max(axis=1, keepdims=True))
         return x / x.sum(axis=1, keepdims=True)
@@ -110,7 +112,7 @@ def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash"))
-    return columns.mapInArrow(run, f"doc_id {kind}, row_hash long, n_tokens long, " + ", ".join(f"{n} double" for n in names))
+    return columns.mapInArrow(run, ", ".join([f"doc_id {kind}, row_hash long, n_tokens long", *(f"{n} double" for n in names)]))
 
 
 def solve(members: DataFrame, targets: np.ndarray, most: float, rounds: int = ROUNDS) -> Column:
@@ -174,8 +176,8 @@ def copies(rate: Column, row_hash: Column) -> Column:
 
 def mix(docs: DataFrame, rated: DataFrame) -> DataFrame:
     """The rows of docs, as often as their rates say; columns as they are."""
-    many = rated.groupBy("row_hash").agg(F.max(copies(F.col("rate"), F.col("row_hash"))).alias("mix_copies"))
-    keyed = docs.withColumn("row_hash_", F.xxhash64("doc_id", "text"))
-    out = keyed.join(many, keyed["row_hash_"] == many["row_hash"])
-    out = out.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return out.select(*docs.columns)
+    many = rated.groupBy(F.col("row_hash").alias("mix_hash")).agg(F.max(copies(F.col("rate"), F.col("row_hash"))).alias("mix_copies"))
+    out = docs.join(many, F.xxhash64(docs["doc_id"], docs["text"]) == many["mix_hash"]).filter(many["mix_copies"] > 0)
+    own = [docs[c] for c in docs.columns]
+    out = out.select(*own, F.explode(F.sequence(F.lit(1), many["mix_copies"])).alias("mix_copy"))
+    return out.select(*own)

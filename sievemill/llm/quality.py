@@ -117,7 +117,8 @@ def context_table(docs: DataFrame) -> np.ndarray:
     parts = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
     found = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     out = np.zeros((BUCKETS, DIMENSIONS))
-    out[found["bucket"].to_numpy()] = found[names].to_numpy()
+    if len(found):
+        out[found["bucket"].to_numpy()] = found[names].to_numpy()
     return out
 
 
