@@ -156,7 +156,7 @@ def _expected(words: DataFrame, lattice: Lattice) -> np.ndarray:
                 model.expect(word, 1.0, total)
         yield pa.record_batch({"ids": pa.array([np.rint(total * 1e3).astype("<i8").tobytes()], pa.binary())})
 
-    found = _sum_vectors(words.filter("c > 0").select("word").mapInArrow(run, "ids binary"))
+    found = _sum_vectors(persist(words.filter("c > 0").select("word").mapInArrow(run, "ids binary"), "expected"))
     return found / 1e3 if len(found) else np.zeros(n)
 
 
