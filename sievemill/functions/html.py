@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .text import clean
 
@@ -47,7 +48,7 @@ def first_of(html: Column, tags: Sequence[str] = DEFAULT_SELECTORS, enough: int
     """Text of the first of the elements that is long enough, else of the last that there is; with
     ``enough`` None simply of the first that there is."""
     bare = without_noise(html)
-    found = {t: F.regexp_extract(bare, rf"(?is)<{t}(?:\s[^>]*)?>(.*)(?:</{t}\s*>|$)", 1) for t in tags}
+    found = {t: F.regexp_extract(bare, rf"(?is)<{t}(?:\s[^>]*)?>(.*?)(?:</{t}\s*>|\z)", 1) for t in tags}
     there = {t: F.rlike(bare, F.lit(rf"(?is)<{t}(\s[^>]*)?>")) for t in tags}
     if enough is None:
         out = F.lit("")
@@ -134,7 +135,7 @@ def _parse(html: str, selectors: Sequence[str]) -> tuple[str, str]:
     return " ".join(" ".join(p.title).split()), content
 
 
-@F.pandas_udf("title string, content string")
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("content", StringType())]))
 def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """(title, content) of html by the selectors of a domain, with a real parser."""
     for htmls, domains in batches:

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 
 def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
@@ -76,7 +77,7 @@ def seeds(query: Column, searches: Sequence[str] = SEARCHES) -> Column:
     return F.array(*[F.concat(F.lit(s), q) for s in searches])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """urljoin(base, href) without its fragment, for any form of href."""
     from urllib.parse import urldefrag, urljoin
@@ -107,7 +108,7 @@ def is_html(content_type: Column) -> Column:
 def robots_allow(rules: dict[str, str], agent: str = "*"):
     """A pandas UDF from urls to whether robots.txt allows them; rules: text by host, none allows."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def allow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from urllib.parse import urlsplit
         from urllib.robotparser import RobotFileParser

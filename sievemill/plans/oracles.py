@@ -89,7 +89,7 @@ def without_noise(x: str) -> str:
 
 
 def _element(t: str) -> tuple[str, str]:
-    return rf"regexp_matches(bare, '(?is)<{t}(\s[^>]*)?>')", _text(rf"regexp_extract(bare, '(?is)<{t}(?:\s[^>]*)?>(.*)(?:</{t}\s*>|$)', 1)")
+    return rf"regexp_matches(bare, '(?is)<{t}(\s[^>]*)?>')", _text(rf"regexp_extract(bare, '(?is)<{t}(?:\s[^>]*)?>(.*?)(?:</{t}\s*>|\z)', 1)")
 
 
 def first_of(enough: int | None = page.ENOUGH) -> str:

@@ -31,9 +31,9 @@ def document_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with id and content, and one row that counts unreadable files."""
+    """Documents with id and content, and one row that counts unreadable files (and those with ids)."""
     raw = read_json(spark, path)
-    return raw.filter("_corrupt IS NULL AND id IS NOT NULL AND content IS NOT NULL").drop("_corrupt"), raw.agg(F.count("_corrupt").alias("read_errors"))
+    return raw.filter("_corrupt IS NULL AND id IS NOT NULL AND content IS NOT NULL").drop("_corrupt"), raw.agg(F.count("_corrupt").alias("read_errors"), F.count("id").alias("with_id"))
 
 
 def rejected(spark: SparkSession, path: str) -> DataFrame:
