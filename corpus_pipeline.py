@@ -32,9 +32,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, fingerprints within ten
-    bits, and a min-hash estimate of similarity of at least 0.73, which a similarity of 0.8 passes."""
-    return simhash.keep_one(docs, simhash.near_duplicates(docs, radius=10, words=5, agree=111))
+    """One document of each group of near-duplicates: five-word shingles, fingerprints within
+    twelve bits, and a min-hash estimate of similarity of at least 0.73, which a similarity of 0.8 passes."""
+    return simhash.keep_one(docs, simhash.near_duplicates(docs, radius=12, words=5, agree=111))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,16 +100,34 @@ def as_text(column: pa.Array) -> pa.Array:
     return column
 
 
+def smaller_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows, if the session has Spark's own number: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
     """The rows of docs whose text passes: ``make`` runs on the executor and gives a function from
     texts to a mask.  All columns come back as they are; nothing is shuffled."""
     at = docs.columns.index("text")
+    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
         for batch in batches:
             part = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{k}" for k in range(batch.num_columns)])
-            for piece in batches_of([part], f"c{at}", 6 << 20):
+            for piece in batches_of([part], f"c{at}", 3 << 20):
                 out = piece.filter(pa.array(test(piece.column(at))))
                 yield pa.RecordBatch.from_arrays(out.columns, names=batch.schema.names)
 
@@ -129,6 +147,7 @@ def batches_of(it: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
+            give_back()
             at = to
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, batches_of, keep_rows, labelled_sample, ship, split_words, worker_cache
+from .base import Words, batches_of, keep_rows, labelled_sample, ship, smaller_batches, split_words, worker_cache
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 13, 32, 4
 HIDDEN, STEPS = 24, 900
@@ -103,10 +103,11 @@ def add_contexts(w: Words, kinds: np.ndarray, total: np.ndarray) -> None:
 
 def context_table(docs: DataFrame) -> np.ndarray:
     """Context vectors of all buckets over all documents; of a size fixed by BUCKETS."""
+    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * DIMENSIONS)
-        for batch in batches_of(batches, "text", 6 << 20):
+        for batch in batches_of(batches, "text", 3 << 20):
             w = split_words(batch.column(0), lower=False)
             add_contexts(w, token_buckets(w.unique), total)
         rows = total.reshape(BUCKETS, DIMENSIONS).astype(np.int64)
@@ -225,10 +226,11 @@ def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str =
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text)."""
     held = ship(docs.sparkSession, scorer)
+    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held()
-        for batch in batches_of(batches, "text", 6 << 20):
+        for batch in batches_of(batches, "text", 3 << 20):
             yield pa.record_batch({"doc_id": batch.column(0), "score": model.scores(batch.column(1))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

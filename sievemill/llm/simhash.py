@@ -29,6 +29,8 @@ from .components import components
 
 #: Entries of a shard from which it is dealt again.
 LARGE_SHARD = 4096
+#: Bits between fingerprints of texts with a similarity of a little over 0.8.
+LIKELY = 9
 #: Shingles hashed at once.
 _AT_ONCE = 1 << 16
 #: Bits of a min-hash sketch.
@@ -198,6 +200,18 @@ def _keys(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(pieces, blocks - radius)]
 
 
+def sampled_keys(bits: int, tables: int, seed: int = 9) -> list[int]:
+    """Masks of so many random bits each."""
+    r = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in r.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def tables_for(bits: int, distance: int, recall: float = 0.95) -> int:
+    """Tables of so many bits that codes at the distance share a key of one of, at that recall."""
+    same = (1 - distance / 64) ** bits
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+
+
 def _shards(codes: DataFrame, masks: list[int], held: Column | None = None) -> DataFrame:
     """A row for each mask, keyed by the mask's number and the masked code (after the key held)."""
     keys = [F.xxhash64(*([held] if held is not None else []), F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
@@ -208,13 +222,22 @@ def _shards(codes: DataFrame, masks: list[int], held: Column | None = None) -> D
 def link_codes(codes: DataFrame, radius: int, agree: int = 0) -> DataFrame:
     """Links (a, b) among (fp, id[, sketch]) rows that join all pairs within the radius.
 
-    Shard keys are hashes: a collision only puts two shards into one tree, which adds no link.
+    Shard keys are hashes: a collision only puts two shards into one tree, which adds no link.  For
+    wide radii (with ``agree``) pieces that surely agree are too short, so shards come from random
+    bits, as many as keep shards small, in as many tables as find pairs at ``LIKELY`` bits with a
+    recall of 0.95.
     """
-    shards = _shards(codes, _keys(blocks_for(codes.count(), radius), radius))
+    n = codes.count()
+    if agree:
+        bits = max(1, int(np.log2(max(2, n))) - 2)
+        first, second = sampled_keys(bits, tables_for(bits, LIKELY)), sampled_keys(12, tables_for(12, LIKELY), 10)
+    else:
+        first, second = _keys(blocks_for(n, radius), radius), _keys(radius + 2, radius)
+    shards = _shards(codes, first)
     large = persist(shards.groupBy("key").count().filter(F.col("count") > LARGE_SHARD).select("key"), "large")
     out = shards
     if not large.isEmpty():
-        again = _shards(shards.join(large, "key", "left_semi"), _keys(radius + 2, radius), F.col("key"))
+        again = _shards(shards.join(large, "key", "left_semi"), second, F.col("key"))
         out = shards.join(large, "key", "left_anti").union(again)
     out = out.repartition("key").sortWithinPartitions("key", "id")
     return out.mapInArrow(_search(radius, agree), "a long, b long")

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, keep_rows, labelled_sample, ragged, ship, split_words
+from .base import batches_of, keep_rows, labelled_sample, ragged, ship, smaller_batches, split_words
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 12, 8
 VOCABULARY, GRAMS = 4096, 1 << 13
 #: Windows scored at once.
-AT_ONCE = 4096
+AT_ONCE = 2048
 #: The training sample: rows of either label at most, and the longest text (in bytes) learned from.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 15
 STEPS, BATCH = 220, 64
@@ -323,10 +323,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text)."""
     held = ship(docs.sparkSession, net)
+    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held()
-        for batch in batches_of(batches, "text", 6 << 20):
+        for batch in batches_of(batches, "text", 3 << 20):
             yield pa.record_batch({"doc_id": batch.column(0), "score": text_scores(model, batch.column(1))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
