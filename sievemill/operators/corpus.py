@@ -9,6 +9,11 @@ from ..functions import html, urls
 from ..functions import language as lang
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder that the session names, else kept by Spark."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def document_language() -> Column:
     return F.coalesce(F.col("language"), lang.from_url(F.col("url")))
 
@@ -77,7 +82,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     for depth in range(1, max_depth + 1):
         step = edges.join(frontier.select("url"), "url").select(F.col("target").alias("url")).distinct()
         frontier = step.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
-        frontier = frontier.checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier.persist()
+        frontier = settled(frontier)
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -89,7 +94,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | N
     language_hint, source_name, category_hint, allowed_domains.  A page takes the hints of the
     smallest domain set that reaches it first."""
     keyed = pages.withColumn("page_url", urls.normalize(F.col("url")))
-    edges = links(pages)
+    edges = settled(links(pages))
     hints = ("language_hint", "source_name", "category_hint", "allowed_domains")
     frontier = seeds.withColumn("url", urls.normalize(F.col("url"))).dropDuplicates(["url"]).withColumn("depth", F.lit(0).cast("long"))
     found = frontier
@@ -97,7 +102,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | N
         step = edges.join(frontier, "url").filter(urls.is_allowed(F.col("target"), F.col("allowed_domains")))
         step = step.groupBy(F.col("target").alias("url")).agg(F.min(F.struct(*hints)).alias("h")).select("url", "h.*")
         frontier = step.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
-        frontier = frontier.checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier.persist()
+        frontier = settled(frontier)
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions import text as tx
+from .corpus import settled
 
 FIELDS = ("title", "content", "source", "url", "category", "language")
 MIN_CHARS = 600
@@ -90,12 +91,12 @@ def two_keys(docs: DataFrame, seq: str = "seq", url: str = "url_key", fp: str =
     while True:
         by_u, by_f = todo.groupBy("u").agg(F.min("s").alias("su")), todo.groupBy("f").agg(F.min("s").alias("sf"))
         new = todo.join(by_u, "u").join(by_f, "f").filter("s = su AND s = sf").select("s", "u", "f")
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = settled(new)
         accepted = new if accepted is None else accepted.unionByName(new)
         todo = todo.join(new.select("u"), "u", "left_anti").join(new.select("f"), "f", "left_anti")
         if todo.isEmpty():
             break
-        todo = todo.checkpoint() if todo.sparkSession.sparkContext.getCheckpointDir() else todo.persist()
+        todo = settled(todo)
     urls = accepted.select(F.col("u").alias(url), F.col("s").alias("kept_url"))
     out = docs.join(urls, url, "left").join(accepted.select(F.col("s").alias(seq), F.lit(True).alias("kept")), seq, "left")
     verdict = F.when(F.col("kept"), F.lit(None).cast("string")).when(F.col("kept_url") < F.col(seq), "duplicate_url").otherwise("duplicate_content")
