@@ -24,11 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, labelled_sample, persist, ship, split_words
+from .base import batches_of, give_back, labelled_sample, persist, ship, split_words
 
 BUCKETS, STEPS, ROUNDS = 1 << 14, 200, 24
 #: The labelled sample: rows of each domain at most, and the longest text (in bytes) learned from.
-SAMPLE_ROWS, SAMPLE_BYTES = 800, 1 << 14
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 13
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -95,6 +95,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS, l
     found = [(t, place[k]) for t, k in labelled_sample(docs, labels, names, rows, longest)]
     if found:
         out.train(pa.array([t for t, _ in found], pa.string()), np.array([k for _, k in found]))
+        give_back()
     return out
 
 

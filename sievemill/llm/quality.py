@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, batches_of, keep_rows, labelled_sample, ship, smaller_batches, split_words, worker_cache
+from .base import Words, batches_of, give_back, keep_rows, labelled_sample, ship, smaller_batches, split_words, worker_cache
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 13, 32, 4
 HIDDEN, STEPS = 24, 900
@@ -220,6 +220,7 @@ def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str =
     counts = {r[0]: r[1] for r in labels.join(train_docs.select("doc_id"), "doc_id", "left_semi").filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     shift = float(np.log(counts[1] / counts[0])) if counts.get(0) and counts.get(1) else 0.0
     scorer.train(pool(scorer.vectors, pa.array([t or "" for t, _ in sample], pa.string())).astype(np.float64), y, shift)
+    give_back()
     return scorer
 
 

@@ -14,7 +14,7 @@ and stays there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, keep_rows, labelled_sample, ragged, ship, smaller_batches, split_words
+from .base import batches_of, give_back, keep_rows, labelled_sample, ragged, ship, smaller_batches, split_words
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 12, 8
 VOCABULARY, GRAMS = 4096, 1 << 13
-#: Windows scored at once.
-AT_ONCE = 2048
+#: Windows scored at once, and words whose n-grams are looked up at once.
+AT_ONCE, WORDS_AT_ONCE = 2048, 1 << 14
 #: The training sample: rows of either label at most, and the longest text (in bytes) learned from.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 15
 STEPS, BATCH = 220, 64
@@ -61,7 +61,7 @@ def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _log_odds(present: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(present: Iterable[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
     """How much likelier each id is to be in a toxic document, smoothed; present: each one's ids."""
     counts = np.zeros((2, size))
     for ids, y in zip(present, toxic):
@@ -98,7 +98,12 @@ class Net:
         return {"ids": ids, "grams": grams, "begin": begin, "sizes": sizes, "odds": np.stack([self.word_odds[ids], most, mean], 1).astype(np.float32) * np.float32(0.5)}
 
     def features(self, x: dict[str, np.ndarray]) -> np.ndarray:
-        chars = np.add.reduceat(self.p["gram"][x["grams"]], x["begin"], axis=0) / x["sizes"][:, None].astype(np.float32)
+        n, begin, grams = len(x["ids"]), x["begin"], x["grams"]
+        chars = np.empty((n, EMBED), self.p["gram"].dtype)
+        for at in range(0, n, WORDS_AT_ONCE):
+            lo, hi = begin[at], begin[at + WORDS_AT_ONCE] if at + WORDS_AT_ONCE < n else len(grams)
+            chars[at : at + WORDS_AT_ONCE] = np.add.reduceat(self.p["gram"][grams[lo:hi]], begin[at : at + WORDS_AT_ONCE] - lo, axis=0)
+        chars /= x["sizes"][:, None].astype(np.float32)
         return np.concatenate([self.p["word"][x["ids"]], chars, x["odds"]], axis=1)
 
     def table(self, features: np.ndarray, side: str) -> np.ndarray:
@@ -252,7 +257,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
     ends = np.append(begin[1:], len(grams))
     word_odds = _log_odds([number[s] for s in sets], y, len(common) + 1)
     word_odds[0] = 0
-    gram_odds = _log_odds([np.unique(grams[ragged(begin[s], ends[s] - begin[s])]) for s in sets], y, GRAMS)
+    gram_odds = _log_odds((np.unique(grams[ragged(begin[s], ends[s] - begin[s])]) for s in sets), y, GRAMS)
+    del grams, begin, ends
     net = Net(vocabulary, word_odds, gram_odds, seed)
     if not len(y) or y.min() == y.max():
         net.slope = 0.0
@@ -260,7 +266,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
     x = net.inputs(w.unique)
     pad = len(w.unique)
     doc, first, size = windows(w.bounds)
-    ids = window_ids(w.ids, first, size, pad)
+    ids = window_ids(w.ids, first, size, pad).astype(np.int32)
     hint = np.append(np.maximum(x["odds"][:, 0], x["odds"][:, 1]), -9.0)
     rank = hint[ids].max(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -276,24 +282,31 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
             count += 1
             pick = np.concatenate([r.choice(toxic, BATCH // 2), r.choice(hard, BATCH // 4), r.choice(rest, BATCH // 4)])
             target = y[doc[pick]].astype(np.float32)
-            u, inv = np.unique(ids[pick], return_inverse=True)
-            real = u[u < pad]
-            sub = _subset(x, real)
-            local = np.where(ids[pick] < pad, inv.reshape(ids[pick].shape), len(real))
-            _, g = net.step(sub, local, target)
+            _, g = net.step(*_local(x, ids[pick], pad), target)
             for k, v in g.items():
                 m, s = moments[k]
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
                 net.p[k] -= (0.01 * (m / (1 - 0.9**count)) / (np.sqrt(s / (1 - 0.999**count)) + 1e-8)).astype(np.float32)
-        features = net.features(x)
-        tables = (net.table(features, "f"), net.table(features, "b"))
-        rank = np.concatenate([net.logits(tables, ids[at : at + AT_ONCE], pad) for at in range(0, len(ids), AT_ONCE)])
+        rank = np.concatenate([_window_logits(net, x, ids[at : at + AT_ONCE], pad) for at in range(0, len(ids), AT_ONCE)])
     top = np.maximum.reduceat(rank, np.searchsorted(doc, np.arange(len(y))))
     net.slope, net.shift = _calibrate(top.astype(float), y)
     return net
 
 
+def _local(x: dict[str, np.ndarray], ids: np.ndarray, pad: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The words of some windows alone, and the windows in their numbers."""
+    u, inverse = np.unique(ids, return_inverse=True)
+    real = u[u < pad]
+    return _subset(x, real), np.where(ids < pad, inverse.reshape(ids.shape), len(real))
+
+
+def _window_logits(net: Net, x: dict[str, np.ndarray], ids: np.ndarray, pad: int) -> np.ndarray:
+    few, local = _local(x, ids, pad)
+    features = net.features(few)
+    return net.logits((net.table(features, "f"), net.table(features, "b")), local, len(few["ids"]))
+
+
 def _subset(x: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     sizes = x["sizes"][at]
     return {"ids": x["ids"][at], "grams": x["grams"][ragged(x["begin"][at], sizes)], "begin": np.cumsum(sizes) - sizes, "sizes": sizes, "odds": x["odds"][at]}
@@ -317,7 +330,9 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> Net:
     """Train on at most ``rows`` documents of either label, of ``longest`` bytes at most each."""
-    return train(labelled_sample(docs, labels.select("doc_id", F.col(label).alias("label")), [0, 1], rows, longest))
+    net = train(labelled_sample(docs, labels.select("doc_id", F.col(label).alias("label")), [0, 1], rows, longest))
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
