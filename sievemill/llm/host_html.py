@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 LONG = 8
 SHARD_BYTES = 8 << 20
+#: Hosts are sized by buckets of their hashes, so that the sizes to broadcast have a fixed number; a
+#: host in a full bucket gets more arrays than it needs.
+HOST_BUCKETS = 1 << 20
 OUTPUT = "page_id {}, url string, text string, n_chars long"
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -199,7 +202,8 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     own = pages.select("page_id", "url", "html").withColumn("host", host)
-    sizes = own.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / shard_bytes).alias("shards"))
-    dealt = own.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.greatest("shards", F.lit(1))))
+    own = own.withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS)))
+    sizes = own.groupBy("bucket").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / shard_bytes).alias("shards"))
+    dealt = own.join(F.broadcast(sizes), "bucket").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.greatest("shards", F.lit(1))))
     kind = pages.schema["page_id"].dataType.simpleString()
     return dealt.select("host", "shard", "page_id", "url", "html").groupBy("host", "shard").applyInArrow(_host, OUTPUT.format(kind))
