@@ -7,6 +7,8 @@ target recall for sample queries, and more until they hold enough candidates.  W
 vectors are rotated by the same random matrix and scanned in blocks of columns: after each block a
 test on the distance so far, scaled up to all dimensions, abandons candidates that would be farther
 than the k-th nearest with high confidence.  What survives is scored exactly on the vectors given.
+The nearest lists are probed first; the k-th score found there bounds the scans of the others, which
+return nothing worse, so that what is returned does not grow with the number of lists.
 
 Cases: invalid vectors (null, zero, null or non-finite components, another length) are neither
 queries nor candidates; a query's own id is no candidate; fewer candidates than k are all returned;
@@ -29,7 +31,9 @@ TARGET_RECALL = 0.97
 #: Columns of a block, and how far from the k-th distance an estimate must be to abandon (in units
 #: of the estimate's spread).
 COLUMNS, CONFIDENCE = 16, 2.1
-LIST_ROWS, MOST_LISTS = 256, 1024
+LIST_ROWS, MOST_LISTS = 1024, 1024
+#: Lists of a query that are probed before the others.
+FIRST_LISTS = 2
 _AT_ONCE = 512
 
 
@@ -42,10 +46,11 @@ def rotation(d: int, seed: int = 3) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int, columns: int = COLUMNS, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray, int]:
+def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int, columns: int = COLUMNS, confidence: float = CONFIDENCE, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (query, candidate) of rotated vectors that no test abandoned, and the components read.
 
-    Candidates come in chunks; the k-th smallest distance so far is each query's bound.
+    Candidates come in chunks; the k-th smallest distance so far is each query's bound, or ``start``
+    if that is less.
     """
     d = q.shape[1]
     best = np.full((len(q), k), np.inf)
@@ -53,7 +58,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int, columns: int = COLUMNS,
     at, chunk = 0, max(64, k)
     while at < len(x):
         part = x[at : at + chunk]
-        bound = best[:, -1]
+        bound = best[:, -1] if start is None else np.minimum(best[:, -1], start)
         i, j = np.divmod(np.arange(len(q) * len(part)), len(part))
         so_far = np.zeros(len(i))
         for lo in range(0, d, columns):
@@ -121,7 +126,7 @@ class Lists:
 def _search(held, turn: np.ndarray, k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lists = held()
-        side = table["side"].to_numpy()
+        side, least = table["side"].to_numpy(), table["bound"].to_numpy()
         x, ids = matrix(table["vec"]), table["id"].to_numpy()
         c, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         content = lengthen(x[c], lists.longest) @ turn
@@ -129,11 +134,14 @@ def _search(held, turn: np.ndarray, k: int):
         for at in range(0, len(v), _AT_ONCE):
             q = v[at : at + _AT_ONCE]
             turned = np.concatenate([x[q], np.zeros((len(q), 1))], axis=1) @ turn
-            i, j, _ = adaptive_scan(turned, content, k + 1)
+            limit = (turned * turned).sum(axis=1) + lists.longest**2 - 2 * least[q]
+            i, j, _ = adaptive_scan(turned, content, k + 1, start=limit * (1 + 1e-9) + 1e-9)
             a, b = q[i], c[j]
             other = ids[a] != ids[b]
             a, b = a[other], b[other]
             score = np.einsum("ab,ab->a", x[a], x[b])
+            good = score >= least[a]
+            a, b, score = a[good], b[good], score[good]
             order = np.lexsort((ids[b], -score, a))
             a, b, score = a[order], b[order], score[order]
             few = np.arange(len(a)) - np.searchsorted(a, a) < k
@@ -180,9 +188,19 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, target: float = TAR
 
     queries = vectors.filter(is_query).dropDuplicates(["id"])
     visitors = persist(queries.mapInArrow(probe, "id long, cells array<long>, vec array<double>"), "probes")
-    visitors = visitors.select("id", F.explode("cells").alias("cell"), "vec")
+    content = content.withColumn("bound", F.lit(0.0))
     turn = rotation(sample.shape[1] + 1)
-    found = blocks(content, visitors).groupBy("cell", "cs", "vs").applyInArrow(_search(second, turn, k), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+    def scan(part: DataFrame) -> DataFrame:
+        found = blocks(content, part).groupBy("cell", "cs", "vs").applyInArrow(_search(second, turn, k), "query_id long, vec_id long, score double")
+        return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+    nothing = F.lit(float("-inf"))
+    near = visitors.select("id", F.explode(F.slice("cells", 1, FIRST_LISTS)).alias("cell"), "vec", nothing.alias("bound"))
+    near = persist(scan(near), "near")
+    bounds = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    far = visitors.filter(F.size("cells") > FIRST_LISTS).join(bounds, "id", "left")
+    far = far.select("id", F.explode(F.slice("cells", FIRST_LISTS + 1, MOST_LISTS)).alias("cell"), "vec", F.coalesce("kth", nothing).alias("bound"))
+    ranked = near.unionByName(scan(far)).drop("rank").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
