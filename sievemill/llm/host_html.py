@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Hosts are sized by buckets of their hashes, so that the sizes to broadcast have a fixed number; a
 #: host in a full bucket gets more arrays than it needs.
 HOST_BUCKETS = 1 << 20
