@@ -111,6 +111,7 @@ def give_back() -> None:
     """Hand freed memory back to the system, where the C library can."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

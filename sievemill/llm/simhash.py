@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, persist, worker_cache
+from .base import as_text, batches_of, give_back, persist, smaller_batches, worker_cache
 from .components import components
 
 #: Entries of a shard from which it is dealt again.
@@ -69,7 +69,7 @@ def _multipliers() -> np.ndarray:
 
 def _fingerprints(words: int, seed: int, sketch: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, "text", 3 << 20):
             texts = as_text(batch.column(1)).cast(pa.binary())
             found = [fingerprint(t.as_py(), words, seed, sketch) for t in texts]
             out = {"doc_id": batch.column(0), "fp": np.array([x[0] if sketch else x for x in found], dtype=np.uint64).view(np.int64)}
@@ -80,6 +80,7 @@ def _fingerprints(words: int, seed: int, sketch: bool):
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
     """(doc_id, fp) with fp as a signed bigint; with ``sketch``, also one bit each of 128 min-hashes."""
+    smaller_batches(docs.sparkSession)
     schema = "doc_id long, fp long" + (", sketch binary" if sketch else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints(words, seed, sketch), schema)
 
@@ -174,6 +175,7 @@ def _search(radius: int, agree: int):
         flush()
         if found:
             yield out()
+        give_back()
 
     return run
 
