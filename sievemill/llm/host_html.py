@@ -5,7 +5,9 @@ or what it calls something else (menus, headers, footers, asides, forms, adverts
 comments; scripts and styles give no text).  The token streams of a host's pages are concatenated,
 and a suffix array over them (by prefix doubling, sorted to ``LONG`` tokens) finds what is repeated
 on distinct pages.  A page without an article keeps the runs of its remaining blocks that no such
-repetition covers; inside an article, repetition is not evidence against text, so it keeps all.
+repetition covers.  Inside an article, repetition on a few pages is not evidence against text (copies
+and quotations are main text too), but blocks that lie wholly in runs on more than half of the host's
+pages are its template and go, unless they are half of the article's words: then it is a copy.
 
 A host of many pages is dealt to several arrays of about ``SHARD_BYTES``: templates are on all of
 its pages, so each array sees them.
@@ -28,6 +30,8 @@ SHARD_BYTES = 2 << 20
 #: Hosts are sized by buckets of their hashes, so that the sizes to broadcast have a fixed number; a
 #: host in a full bucket gets more arrays than it needs.
 HOST_BUCKETS = 1 << 20
+#: A run on more than half of a host's pages, and on so many at least, is its template.
+TEMPLATE_PAGES = 5
 OUTPUT = "page_id {}, url string, text string, n_chars long"
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -118,21 +122,20 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, unit: np.ndarray | None = None) -> np.ndarray:
-    """Which tokens are covered by a run of ``long`` tokens that distinct pages have.
+def run_pages(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
+    """On how many distinct pages the run of ``long`` tokens that begins at each token is; 0 where
+    the page ends first.
 
-    tokens: numbers of all pages' tokens one after the other; page: the page of each.  Ranks of the
-    suffixes' first 1, 2, 4, ... tokens order the array; a run ends where its page, or its ``unit``
-    of the page, does (both are numbered in ascending order).
+    tokens: numbers of all pages' tokens one after the other; page: the page of each, ascending.
+    Ranks of the suffixes' first 1, 2, 4, ... tokens order the array.
     """
     n = len(tokens)
-    covered = np.zeros(n, dtype=bool)
+    out = np.zeros(n, np.int64)
     if n < long:
-        return covered
+        return out
     _, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64) + 1
-    unit = page if unit is None else unit
-    last = np.searchsorted(unit, unit, side="right")  # where its page or unit ends
+    last = np.searchsorted(page, page, side="right")  # where its page ends
     size = 1
     while size < long:
         step = min(size, long - size)
@@ -142,17 +145,29 @@ def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, unit: np.nd
         rank = rank.astype(np.int64) + 1
         size += step
     starts = np.flatnonzero(np.arange(n) + long <= last)
+    if not len(starts):
+        return out
     order = starts[np.argsort(rank[starts], kind="stable")]  # the suffix array, as far as runs go
-    group = rank[order]
-    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(order) else np.zeros(0, np.int64)
-    if not len(order):
-        return covered
-    low, high = np.minimum.reduceat(page[order], begin), np.maximum.reduceat(page[order], begin)
-    many = np.repeat(low != high, np.diff(np.append(begin, len(order))))
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, order[many], 1)
-    np.add.at(edge, order[many] + long, -1)
-    return np.cumsum(edge[:-1]) > 0
+    group, own = rank[order], page[order]  # a group's pages ascend
+    begins = np.append(True, group[1:] != group[:-1])
+    begin = np.flatnonzero(begins)
+    pages = np.add.reduceat((begins | np.append(True, own[1:] != own[:-1])).astype(np.int64), begin)
+    out[order] = np.repeat(pages, np.diff(np.append(begin, len(order))))
+    return out
+
+
+def cover(starts: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Which tokens the runs with the marked starts cover."""
+    edge = np.zeros(len(starts) + long, np.int64)
+    at = np.flatnonzero(starts)
+    edge[at] += 1
+    edge[at + long] -= 1
+    return np.cumsum(edge)[: len(starts)] > 0
+
+
+def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Which tokens are covered by a run of ``long`` tokens that distinct pages have."""
+    return cover(run_pages(tokens, page, long) > 1, long)
 
 
 def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
@@ -170,18 +185,23 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
             where.append((k, b, len(words)))
     token, own = np.array(tokens, dtype=np.int64), np.array(page, dtype=np.int64)
     order = np.argsort(own, kind="stable")
-    covered = np.empty(len(token), dtype=bool)
     block = np.repeat(np.arange(len(where)), [size for _, _, size in where])[order]
     change = np.append(0, block[1:] != block[:-1]) if len(block) else block
-    covered[order] = repeated(token[order], own[order], unit=np.cumsum(change))
-    has_article = [any(zone == ARTICLE for _, zone in blocks) for blocks in pages]
+    unit = np.cumsum(change)
+    seen = run_pages(token[order], own[order])
+    inside = np.arange(len(seen)) + LONG <= np.searchsorted(unit, unit, side="right")
+    covered, template = np.empty(len(token), dtype=bool), np.empty(len(token), dtype=bool)
+    covered[order] = cover((seen > 1) & inside)
+    template[order] = cover(seen >= max(TEMPLATE_PAGES, len(numbers) // 2 + 1))
     kept: list[list[str]] = [[] for _ in pages]
+    articles: list[list[tuple[str, int, bool]]] = [[] for _ in pages]
     at = 0
+    has_article = [any(zone == ARTICLE for _, zone in blocks) for blocks in pages]
     for k, b, size in where:
         text, zone = pages[k][b]
         if has_article[k]:
             if zone == ARTICLE:
-                kept[k].append(text)
+                articles[k].append((text, size, bool(template[at : at + size].all())))
         elif zone == REST:
             unique = ~covered[at : at + size]
             if unique.all():
@@ -189,6 +209,9 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
             elif unique.any():
                 kept[k].append(" ".join(w for w, u in zip(text.split(" "), unique.tolist()) if u))
         at += size
+    for k, blocks in enumerate(articles):
+        copy = 2 * sum(size for _, size, shared in blocks if shared) >= sum(size for _, size, _ in blocks)
+        kept[k] += [text for text, _, shared in blocks if copy or not shared]
     return ["\n".join(x) for x in kept]
 
 

@@ -195,6 +195,19 @@ def test_repetition_on_distinct_pages_goes_where_there_is_no_article():
     assert host_html.main_texts([1, 1], [pages[0], pages[0]])[0].startswith("w0")  # one page twice is no evidence
 
 
+def test_templates_inside_articles_go_and_copies_stay():
+    def own(k, n=30):
+        return " ".join(f"p{k}w{j}" for j in range(n))
+
+    note = "<div class='x'>read more of our stories by signing up here today</div>"
+    pages = [f"<article><p>{own(k)}</p>{note}</article>" for k in range(5)]
+    assert host_html.main_texts(list(range(5)), pages) == [own(k) for k in range(5)]
+    quoted = [f"<article><p>{own(k)}</p>{note if k < 2 else ''}</article>" for k in range(5)]
+    assert host_html.main_texts(list(range(5)), quoted)[0].endswith("here today")  # on two of five pages
+    copies = [f"<article><p>{own(0)}</p><p>{'c%d ' % k * 8}</p></article>" for k in range(5)]
+    assert all(t.startswith(own(0)) for t in host_html.main_texts(list(range(5)), copies))
+
+
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_suffix_array_covers_what_pages_share(pages):
