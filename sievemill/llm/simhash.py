@@ -29,12 +29,11 @@ from .components import components
 
 #: Entries of a shard from which it is dealt again.
 LARGE_SHARD = 4096
-#: Bits between fingerprints of texts with a similarity of a little over 0.8.
-LIKELY = 9
 #: Shingles hashed at once.
 _AT_ONCE = 1 << 16
-#: Bits of a min-hash sketch.
-_SKETCH = 128
+#: Min-hashes of a sketch, a byte of each, and the bands of them that are shard keys: texts with a
+#: similarity of 0.8 share one of the bands at a probability of 1 - (1 - 0.8 ** 5) ** 16 = 0.998.
+_SKETCH, _BANDS, _BAND = 128, 16, 5
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42, sketch: bool = False) -> int | tuple[int, bytes]:
@@ -43,7 +42,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42, sketch: bool = Fals
 
     tokens = text.lower().split()
     if not tokens:
-        return (0, bytes(_SKETCH // 8)) if sketch else 0
+        return (0, bytes(_SKETCH)) if sketch else 0
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(sizes + 1) - 1
@@ -60,7 +59,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42, sketch: bool = Fals
     bits = int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
     if not sketch:
         return bits
-    return bits, np.packbits((low >> np.uint64(20)).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return bits, (low >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
 def _multipliers() -> np.ndarray:
@@ -79,7 +78,7 @@ def _fingerprints(words: int, seed: int, sketch: bool):
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp) with fp as a signed bigint; with ``sketch``, also one bit each of 128 min-hashes."""
+    """(doc_id, fp) with fp as a signed bigint; with ``sketch``, also one byte each of 128 min-hashes."""
     smaller_batches(docs.sparkSession)
     schema = "doc_id long, fp long" + (", sketch binary" if sketch else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints(words, seed, sketch), schema)
@@ -118,10 +117,11 @@ class BKTree:
                     todo.append(child)
 
 
-def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[int] | None = None, agree: int = 0) -> list[tuple[int, int]]:
+def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[bytes] | None = None, agree: int = 0) -> list[tuple[int, int]]:
     """Links that join all of one shard's codes that links reach: a forest, not all pairs.  With
-    sketches, a link also needs ``agree`` equal bits of them."""
+    sketches, a link also needs as many equal bytes of them as ``agree`` equal bits stand for."""
     tree, up, groups, out = BKTree(), list(range(len(codes))), 0, []
+    table = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(codes), -1) if sketches else None
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -133,7 +133,7 @@ def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[in
         groups += 1
         for old in tree.within(code, radius):
             a, b = root(new), root(old)
-            if a != b and (sketches is None or (sketches[new] ^ sketches[old]).bit_count() <= _SKETCH - agree):
+            if a != b and (table is None or np.count_nonzero(table[new] == table[old]) >= 2 * agree - _SKETCH):
                 up[a] = b
                 groups -= 1
                 out.append((ids[new], ids[old]))
@@ -162,7 +162,7 @@ def _search(radius: int, agree: int):
         for batch in batches:
             columns = [batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist()]
             if agree:
-                columns.append([int.from_bytes(x, "little") for x in batch.column(3).to_pylist()])
+                columns.append(batch.column(3).to_pylist())
             for k, code, i, *sketch in zip(*columns):
                 if k != key:
                     flush()
@@ -202,16 +202,11 @@ def _keys(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(pieces, blocks - radius)]
 
 
-def sampled_keys(bits: int, tables: int, seed: int = 9) -> list[int]:
-    """Masks of so many random bits each."""
-    r = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in r.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
-def tables_for(bits: int, distance: int, recall: float = 0.95) -> int:
-    """Tables of so many bits that codes at the distance share a key of one of, at that recall."""
-    same = (1 - distance / 64) ** bits
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+def _bands(codes: DataFrame, held: Column | None = None) -> DataFrame:
+    """A row for each band of the sketch, keyed by the band's number and bytes (after the key held)."""
+    keys = [F.xxhash64(*([held] if held is not None else []), F.lit(i), F.substring("sketch", i * _BAND + 1, _BAND)) for i in range(_BANDS)]
+    rest = [c for c in codes.columns if c != "key"]
+    return codes.select(F.explode(F.array(*keys)).alias("key"), *rest)
 
 
 def _shards(codes: DataFrame, masks: list[int], held: Column | None = None) -> DataFrame:
@@ -225,21 +220,22 @@ def link_codes(codes: DataFrame, radius: int, agree: int = 0) -> DataFrame:
     """Links (a, b) among (fp, id[, sketch]) rows that join all pairs within the radius.
 
     Shard keys are hashes: a collision only puts two shards into one tree, which adds no link.  For
-    wide radii (with ``agree``) pieces that surely agree are too short, so shards come from random
-    bits, as many as keep shards small, in as many tables as find pairs at ``LIKELY`` bits with a
-    recall of 0.95.
+    wide radii (with ``agree``) pieces that surely agree are too short, so shards come from bands of
+    the sketches' min-hashes: their recall follows from the similarity alone, whatever the rows.
     """
-    n = codes.count()
     if agree:
-        bits = max(1, int(np.log2(max(2, n))) - 2)
-        first, second = sampled_keys(bits, tables_for(bits, LIKELY)), sampled_keys(12, tables_for(12, LIKELY), 10)
+        deal = _bands
     else:
-        first, second = _keys(blocks_for(n, radius), radius), _keys(radius + 2, radius)
-    shards = _shards(codes, first)
+        first, second = _keys(blocks_for(codes.count(), radius), radius), _keys(radius + 2, radius)
+
+        def deal(codes: DataFrame, held: Column | None = None) -> DataFrame:
+            return _shards(codes, first if held is None else second, held)
+
+    shards = deal(codes)
     large = persist(shards.groupBy("key").count().filter(F.col("count") > LARGE_SHARD).select("key"), "large")
     out = shards
     if not large.isEmpty():
-        again = _shards(shards.join(large, "key", "left_semi"), second, F.col("key"))
+        again = deal(shards.join(large, "key", "left_semi"), F.col("key"))
         out = shards.join(large, "key", "left_anti").union(again)
     out = out.repartition("key").sortWithinPartitions("key", "id")
     return out.mapInArrow(_search(radius, agree), "a long, b long")
@@ -249,7 +245,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text).
 
     ``agree`` (bits of 128) asks for links that min-hash sketches of the same shingles confirm: 2 *
-    bits / 128 - 1 estimates the Jaccard similarity.  Equal fingerprints are then one entry only if
+    bits / 128 - 1 is the Jaccard similarity that they must estimate, from the share of equal bytes.  Equal fingerprints are then one entry only if
     their sketches are equal, too.
     """
     same = ["fp", "sketch"] if agree else ["fp"]

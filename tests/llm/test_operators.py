@@ -134,6 +134,21 @@ def test_large_shards_are_dealt_again(spark, monkeypatch):
     assert got == {a: b for a, b in zip(node.tolist(), low.tolist()) if a != b}
 
 
+def test_pipeline_finds_copies_with_a_similarity_of_a_little_over_0_8(spark):
+    """Six of 300 words differ, far apart: a Jaccard similarity of 0.816 over five-word shingles."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r, rows = np.random.default_rng(5), []
+    for k in range(120):
+        words = [f"w{x}" for x in r.integers(0, 1 << 30, 300)]
+        rows.append((2 * k, " ".join(words)))
+        for at in range(20, 300, 50):
+            words[at] = f"n{r.integers(0, 1 << 30)}"
+        rows.append((2 * k + 1, " ".join(words)))
+    kept = {r[0] for r in pipeline.drop_copies(spark, _docs(spark, rows), "").select("doc_id").collect()}
+    assert all(2 * k in kept for k in range(120))
+    assert sum(2 * k + 1 not in kept for k in range(120)) >= 115
+
+
 def test_packing_edges(spark):
     path = public.path("word_bpe_49k.json")
     got = packing.pack(_docs(spark, EDGES), path, shard_tokens=5000).toPandas()
