@@ -4,10 +4,11 @@ A page becomes blocks of text with the zone each stands in: what markup calls an
 or what it calls something else (menus, headers, footers, asides, forms, adverts, notices, reader
 comments; scripts and styles give no text).  The token streams of a host's pages are concatenated,
 and a suffix array over them (by prefix doubling, sorted to ``LONG`` tokens) finds what is repeated
-on distinct pages.  A page without an article keeps the runs of its remaining blocks that no such
-repetition covers.  Inside an article, repetition on a few pages is not evidence against text (copies
-and quotations are main text too), but blocks that lie wholly in runs on more than half of the host's
-pages are its template and go, unless they are half of the article's words: then it is a copy.
+on distinct pages.  A page without an article loses the blocks that lie wholly in such repeated runs,
+which may reach over blocks, and of others what a repeated run inside the block covers.  Inside an
+article, repetition on a few pages is not evidence against text (copies and quotations are main text
+too), but blocks that lie wholly in runs on more than half of the host's pages are its template and
+go, unless they are half of the article's words: then it is a copy.
 
 A host of many pages is dealt to several arrays of about ``SHARD_BYTES``: templates are on all of
 its pages, so each array sees them.
@@ -190,8 +191,9 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
     unit = np.cumsum(change)
     seen = run_pages(token[order], own[order])
     inside = np.arange(len(seen)) + LONG <= np.searchsorted(unit, unit, side="right")
-    covered, template = np.empty(len(token), dtype=bool), np.empty(len(token), dtype=bool)
+    covered, shared, template = (np.empty(len(token), dtype=bool) for _ in range(3))
     covered[order] = cover((seen > 1) & inside)
+    shared[order] = cover(seen > 1)
     template[order] = cover(seen >= max(TEMPLATE_PAGES, len(numbers) // 2 + 1))
     kept: list[list[str]] = [[] for _ in pages]
     articles: list[list[tuple[str, int, bool]]] = [[] for _ in pages]
@@ -202,7 +204,7 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
         if has_article[k]:
             if zone == ARTICLE:
                 articles[k].append((text, size, bool(template[at : at + size].all())))
-        elif zone == REST:
+        elif zone == REST and not shared[at : at + size].all():
             unique = ~covered[at : at + size]
             if unique.all():
                 kept[k].append(text)

@@ -195,6 +195,12 @@ def test_repetition_on_distinct_pages_goes_where_there_is_no_article():
     assert host_html.main_texts([1, 1], [pages[0], pages[0]])[0].startswith("w0")  # one page twice is no evidence
 
 
+def test_short_repeated_blocks_go_where_there_is_no_article():
+    menu = "<ul>" + "".join(f"<li>entry {k}</li>" for k in range(5)) + "</ul>"
+    pages = [f"<body>{menu}<p>own text {k} {k * 7}</p><p>Subscribe now</p><p>all rights reserved by us since then</p></body>" for k in range(3)]
+    assert host_html.main_texts([1, 2, 3], pages) == [f"own text {k} {k * 7}" for k in range(3)]
+
+
 def test_templates_inside_articles_go_and_copies_stay():
     def own(k, n=30):
         return " ".join(f"p{k}w{j}" for j in range(n))
