@@ -8,7 +8,8 @@ on distinct pages.  A page without an article loses the blocks that lie wholly i
 which may reach over blocks, and of others what a repeated run inside the block covers.  Inside an
 article, repetition on a few pages is not evidence against text (copies and quotations are main text
 too), but blocks that lie wholly in runs on more than half of the host's pages are its template and
-go, unless they are half of the article's words: then it is a copy.
+go, unless they are half of the article's words: then it is a copy.  Where a class or id only hints
+that a block is something else, repetition on two pages is enough.
 
 A host of many pages is dealt to several arrays of about ``SHARD_BYTES``: templates are on all of
 its pages, so each array sees them.
@@ -44,15 +45,30 @@ _ROLES = frozenset("navigation banner complementary contentinfo search form aler
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-ARTICLE, REST, OTHER = 0, 1, 2
+#: Words of _NAMES that wrappers of main text have, too.
+_VAGUE = frozenset("notice notices related replies reply share sharing social widget".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
+_ARTICLES = re.compile(r"<(?:article|main)\b", re.I)
+#: DOUBTED: in an article, in an element whose name only hints at something else.
+ARTICLE, REST, OTHER, DOUBTED = 0, 1, 2, 3
 
-def _says_other(attributes: str) -> bool:
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        words = set(re.split(r"[^a-z]+", "".join(values).lower()))
-        if words & (_ROLES if name.lower() == "role" else _NAMES):
-            return True
-    return False
+
+def _says_other(name: str, attributes: str) -> int:
+    """2 if a role or a whole class or id says that an element isn't main text, 1 if a word of one
+    hints at it, which repetition has to confirm; the id of a heading is made of its own words."""
+    found = 0
+    for kind, *values in _ATTRIBUTE.findall(attributes):
+        kind, value = kind.lower(), "".join(values).lower()
+        if kind == "id" and name in _HEADINGS:
+            continue
+        for whole in value.split():
+            if whole in (_ROLES if kind == "role" else _NAMES - _VAGUE):
+                return 2
+            if kind != "role" and not _NAMES.isdisjoint(re.split(r"[^a-z]+", whole)):
+                found = 1
+    return found
 
 
 def blocks_of(html: str) -> list[tuple[str, int]]:
@@ -60,6 +76,8 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     held: list[str] = []
     inside, skipped, depth, at, zone = 0, "", 0, 0, REST
+    named, doubted, doubts = False, "", 0  # whether a class or id began the skip; a doubted element
+    single = len(_ARTICLES.findall(html)) == 1
 
     def flush() -> None:
         if held:
@@ -69,7 +87,7 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             held.clear()
 
     def now() -> int:
-        return OTHER if skipped else ARTICLE if inside else REST
+        return OTHER if skipped else REST if not inside else DOUBTED if doubted else ARTICLE
 
     n = len(html)
     while at < n:
@@ -93,6 +111,10 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             continue
         if name in _BLOCKS or name in _OTHER:
             flush()
+        main = not closing and (name == "main" or (name == "div" and attributes and _MAIN.search(attributes) is not None))
+        if skipped and (named or skipped == "form") and (main or (name == "article" and not closing and single)):
+            flush()  # it was a wrapper of the main text
+            skipped = ""
         if skipped:
             if name == skipped and name not in _VOID:
                 depth += -1 if closing else 1
@@ -104,6 +126,14 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             if skipped or (closing and name not in ("article", "main")):
                 zone = now()
                 continue
+        if doubted and (name in ("article", "main") or main):
+            flush()
+            doubted = ""
+        elif doubted == name:
+            doubts += -1 if closing else 1
+            if doubts <= 0:
+                flush()
+                doubted = ""
         if closing:
             if name in ("article", "main"):
                 flush()
@@ -112,12 +142,18 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             if name in ("article", "main"):
                 flush()
                 inside += 1
-            elif name in _OTHER or (name == "header" and not inside) or (name not in ("html", "body") and attributes and _says_other(attributes)):
-                flush()
-                skipped, depth = name, 1
-            elif attributes and not inside and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I) and name == "div":
-                flush()
-                inside += 1
+            elif main:
+                if not inside:
+                    flush()
+                    inside += 1
+            else:
+                says = _says_other(name, attributes) if attributes and name not in ("html", "body") else 0
+                if name in _OTHER or (name == "header" and not inside) or says == 2:
+                    flush()
+                    skipped, depth, named = name, 1, name not in _OTHER and name != "header"
+                elif says and not doubted:
+                    flush()
+                    doubted, doubts = name, 1
         zone = now()
     flush()
     return out
@@ -198,11 +234,11 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
     kept: list[list[str]] = [[] for _ in pages]
     articles: list[list[tuple[str, int, bool]]] = [[] for _ in pages]
     at = 0
-    has_article = [any(zone == ARTICLE for _, zone in blocks) for blocks in pages]
+    has_article = [any(zone in (ARTICLE, DOUBTED) for _, zone in blocks) for blocks in pages]
     for k, b, size in where:
         text, zone = pages[k][b]
         if has_article[k]:
-            if zone == ARTICLE:
+            if zone == ARTICLE or (zone == DOUBTED and not shared[at : at + size].all()):
                 articles[k].append((text, size, bool(template[at : at + size].all())))
         elif zone == REST and not shared[at : at + size].all():
             unique = ~covered[at : at + size]

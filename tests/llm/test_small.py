@@ -201,6 +201,19 @@ def test_short_repeated_blocks_go_where_there_is_no_article():
     assert host_html.main_texts([1, 2, 3], pages) == [f"own text {k} {k * 7}" for k in range(3)]
 
 
+@pytest.mark.parametrize("before, after", [('<div class="content-sidebar-wrap"><main>', "</main></div>"), ('<div id="page-with-sidebar"><article>', "</article></div>"), ('<div class="widget"><p>', "</p></div>"), ('<div class="sidebar"><main>', "</main></div>"), ('<form><div role="main">', "</div></form>"), ('<article><section id="related-work">', "</section></article>"), ('<article><h2 id="social-policy">', "</h2></article>")])
+def test_names_of_wrappers_do_not_take_the_text(before, after):
+    assert host_html.main_texts([1], [f"<body><nav>menu</nav>{before}main text{after}<div class='ad'>buy</div></body>"]) == ["main text"]
+
+
+def test_repetition_confirms_names_that_hint():
+    hint = '<div class="cookie-banner">we use cookies on all of our pages here</div>'
+    pages = [f"<article><p>own{k} text</p>{hint}</article>" for k in range(2)]
+    assert host_html.main_texts([1, 2], pages) == ["own0 text", "own1 text"]
+    comments = '<main><article>text</article></main><div class="comments"><article>reader</article></div>'
+    assert host_html.main_texts([1], [comments]) == ["text"]
+
+
 def test_templates_inside_articles_go_and_copies_stay():
     def own(k, n=30):
         return " ".join(f"p{k}w{j}" for j in range(n))
