@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import urls
 from .text import clean
 
+# Elements that hold no content.
 NOISE = ("script", "style", "nav", "footer", "header", "noscript")
 # Where each site keeps its content.
 SELECTORS = {
@@ -20,8 +22,8 @@ SELECTORS = {
     "nih.gov": ("main", "article", "div.article-content", "body"),
     "scielo.org": ("main", "article", "#articleText", "body"),
 }
+# Where other sites keep it, and the length beyond which a selector's content ends the search.
 DEFAULT_SELECTORS = ("main", "article", "body")
-#: Content of a selector longer than this ends the search.
 ENOUGH = 120
 REFERENCES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
@@ -69,11 +71,11 @@ def hrefs(html: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != ""))
 
 
-def root_links(url: Column, html: Column) -> Column:
-    """Links resolved against the page's site: absolute and root-relative ones, without fragments."""
-    site = F.regexp_extract(F.coalesce(url, F.lit("")), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    full = F.transform(hrefs(html), lambda h: F.regexp_replace(F.when(F.startswith(h, F.lit("/")), F.concat(site, h)).otherwise(h), "#.*$", ""))
-    return F.array_distinct(F.filter(full, lambda x: F.startswith(x, F.lit("http"))))
+def links(url: Column, html: Column) -> Column:
+    """Distinct http links of a page, of any form (absolute, //host, /path, path, ../path, ?query),
+    resolved against its url, without fragments."""
+    full = F.transform(hrefs(html), lambda h: urls.join(url, h))
+    return F.array_distinct(F.filter(full, lambda x: F.rlike(x, F.lit("(?i)^https?://"))))
 
 
 def _parse(html: str, selectors: Sequence[str]) -> tuple[str, str]:

@@ -45,9 +45,8 @@ def normalize(text: Column) -> Column:
 
 def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Words of the normalised text of two characters or more that are no stopwords."""
-    words = F.split(normalize(text), " ")
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORDS)
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stopwords) if stopwords else F.length(w) > 1)
 
 
 def lexical(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:

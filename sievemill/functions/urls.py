@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -31,6 +31,37 @@ def normalize(url: Column, empty_path: str = "/") -> Column:
     return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "").otherwise(out)
 
 
+def _dots(path: Column) -> Column:
+    """A path without '.' and '..' segments, as a url has it."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(held: Column, part: Column) -> Column:
+        up = F.when(F.size(held) > 1, F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(held)
+        return F.when(part == "..", up).when(part == ".", held).otherwise(F.concat(held, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(1))), F.array(F.lit("")), step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.contains(path, F.lit("/.")), F.array_join(kept, "/")).otherwise(path)
+
+
+def join(base: Column, href: Column) -> Column:
+    """The address of ``href`` on the page ``base``, without its fragment; other schemes stay as they are."""
+    b, h = F.trim(F.coalesce(base, F.lit(""))), F.regexp_replace(F.trim(F.coalesce(href, F.lit(""))), "#.*$", "")
+    scheme, site = F.regexp_extract(b, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(b, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path, query = F.regexp_extract(b, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(b, r"(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(h, r"^([^?]*)", 1), F.regexp_extract(h, r"^[^?]*(\?.*)?$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
+    return (
+        F.when(F.rlike(h, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), h)
+        .when(F.startswith(h, F.lit("//")), F.concat(scheme, h))
+        .when(h == "", F.concat(site, path, query))
+        .when(own == "", F.concat(site, path, rest))
+        .when(F.startswith(own, F.lit("/")), F.concat(site, _dots(own), rest))
+        .otherwise(F.concat(site, _dots(F.concat(folder, own)), rest))
+    )
+
+
 def is_http(url: Column) -> Column:
     return F.coalesce(F.rlike(F.trim(url), F.lit(r"(?i)^https?://[^/?#]+")), F.lit(False))
 
@@ -105,19 +136,30 @@ def is_html(content_type: Column) -> Column:
     return F.coalesce(F.contains(F.lower(content_type), F.lit("text/html")), F.lit(False))
 
 
-def robots_allow(rules: dict[str, str], agent: str = "*"):
-    """A pandas UDF from urls to whether robots.txt allows them; rules: text by host, none allows."""
+#: Parsed rules that a task remembers.
+ROBOTS_KEPT = 1000
+
+
+def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """pages (url, ...) with ``allowed`` by the robots.txt of the url's host; rules: (host, robots), a
+    row a host, and a host without one allows all.  Rules come to the pages by a join, and a task
+    parses each text once."""
 
     @F.pandas_udf(BooleanType())
-    def allow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from urllib.parse import urlsplit
+    def allow(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from functools import lru_cache
         from urllib.robotparser import RobotFileParser
 
-        known: dict[str, RobotFileParser] = {}
-        for name, text in rules.items():
-            known[name] = RobotFileParser()
-            known[name].parse(text.splitlines())
-        for urls in batches:
-            yield pd.Series([(p := known.get(urlsplit(u or "").netloc.lower())) is None or p.can_fetch(agent, u) for u in urls])
+        @lru_cache(ROBOTS_KEPT)
+        def parsed(text: str) -> RobotFileParser:
+            p = RobotFileParser()
+            p.parse(text.splitlines())
+            return p
+
+        for found, texts in batches:
+            yield pd.Series([t is None or parsed(t).can_fetch(agent, u or "") for u, t in zip(found, texts)])
 
-    return allow
+    netloc = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    keyed = rules.select(F.lower("host").alias("robots_host"), "robots").dropDuplicates(["robots_host"])
+    out = pages.withColumn("robots_host", netloc).join(keyed, "robots_host", "left")
+    return out.withColumn("allowed", allow("url", "robots")).drop("robots_host", "robots")

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settled
+
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
@@ -29,25 +31,33 @@ def _idf(n: Column, nd: Column) -> Column:
 def from_postings(tf: DataFrame, lengths: DataFrame) -> Index:
     """All statistics; documents without tokens count in nd and avgdl.  Terms in more than half of
     the documents get a quarter of the mean idf instead of their negative one."""
-    sizes = lengths.agg(F.count("*").alias("nd"), F.avg("dl").alias("avgdl"))
+    sizes = settled(lengths.agg(F.count("*").alias("nd"), F.avg("dl").alias("avgdl")), "size")
     terms = tf.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(sizes.select("nd")))  # one row
-    raw = terms.select("term", "n", _idf(F.col("n"), F.col("nd")).alias("idf"))
+    raw = settled(terms.select("term", "n", _idf(F.col("n"), F.col("nd")).alias("idf")), "terms")
     mean = raw.agg(F.avg("idf").alias("avg_idf"))
     stats = raw.crossJoin(F.broadcast(mean)).select("term", "n", F.when(F.col("idf") < 0, FLOOR * F.col("avg_idf")).otherwise(F.col("idf")).alias("idf"))
     return Index(tf, lengths, stats, sizes.crossJoin(mean))
 
 
+def _held(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of docs (doc_id, tokens), whose text is tokenized once for both: a document
+    without tokens has a row with a null term."""
+    rows = docs.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+    held = settled(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), "postings")
+    return held.filter("term IS NOT NULL").select("term", "doc_id", "tf"), held.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+
+
 def build(docs: DataFrame) -> Index:
     """Index of docs (doc_id, tokens)."""
-    return from_postings(postings(docs), docs.select("doc_id", F.size("tokens").cast("long").alias("dl")))
+    return from_postings(*_held(docs))
 
 
 def append(index: Index, docs: DataFrame) -> Index:
     """The index with more documents: postings are added, statistics are computed anew from them.
     Documents whose id the index has already are left out."""
     new = docs.join(index.doc_stats.select("doc_id"), "doc_id", "left_anti")
-    lengths = index.doc_stats.unionByName(new.select("doc_id", F.size("tokens").cast("long").alias("dl")))
-    return from_postings(index.postings.unionByName(postings(new)), lengths)
+    held, sizes = _held(new)
+    return from_postings(index.postings.unionByName(held), index.doc_stats.unionByName(sizes))
 
 
 def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:

@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..functions import language as lang
+from ..scratch import settled
 from . import corpus, gate, retrieve
 
-
-@dataclass(frozen=True)
-class Site:
-    """Where a crawl begins, what its pages are taken for, and where it may go."""
-
-    domain: str
-    seeds: list[str]
-    language_hint: str
-    source_name: str
-    category_hint: str
-    allowed_domains: list[str]
-
-
-@dataclass(frozen=True)
-class Settings:
-    max_depth: int = 2
-    max_pages: int | None = None
-    min_content_chars: int = gate.MIN_CHARS
-    language_targets: dict[str, int] = field(default_factory=lambda: {"en": 1200, "es": 800})
-
-
-def seeds_of(spark: SparkSession, sites: list[Site]) -> DataFrame:
-    rows = [(u, s.language_hint, s.source_name, s.category_hint, s.allowed_domains) for s in sites for u in s.seeds]
-    return spark.createDataFrame(rows, "url string, language_hint string, source_name string, category_hint string, allowed_domains array<string>")
+#: Accepted documents that each language is to have.
+LANGUAGE_TARGETS = {"en": 1200, "es": 800}
 
 
 def parse_pages(crawled: DataFrame) -> DataFrame:
@@ -47,21 +24,24 @@ def parse_pages(crawled: DataFrame) -> DataFrame:
     )
 
 
-def build_corpus(pages: DataFrame, seeds: DataFrame, settings: Settings = Settings(), existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with reasons) of the pages that seeds reach, in breadth-first order.
+def build_corpus(
+    pages: DataFrame, seeds: DataFrame, existing: DataFrame | None = None, max_depth: int = 2, max_pages: int | None = None, min_chars: int = gate.MIN_CHARS, targets: dict[str, int] = LANGUAGE_TARGETS
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reasons) of the pages that seeds reach, in breadth-first order; seeds
+    are rows of ``schema.SEED``.
 
     A document over its language's quota has passed the gate, so its url and content count as seen.
     """
-    parsed = parse_pages(corpus.crawl(pages, seeds, settings.max_depth, settings.max_pages))
+    parsed = parse_pages(corpus.crawl(pages, seeds, max_depth, max_pages))
     last, have = 0, {}
     if existing is not None:
         last = existing.agg(F.max("id")).first()[0] or 0
         have = {r[0]: r[1] for r in existing.groupBy(corpus.document_language().alias("l")).count().collect()}
         existing = gate.with_keys(existing)
-    parsed = corpus.settled(parsed.withColumn("place", F.struct("depth", "url")))
-    numbered = corpus.settled(corpus.next_ids(parsed, "place", last).drop("place", "depth"))
-    gated = corpus.settled(gate.gate(numbered, existing, "id", settings.min_content_chars).drop("url_key", "fp"))
-    passed = gate.language_quota(gated.filter("reason IS NULL"), settings.language_targets, "id", have)
+    parsed = settled(parsed.withColumn("place", F.struct("depth", "url")))
+    numbered = settled(corpus.next_ids(parsed, "place", last).drop("place", "depth"))
+    gated = settled(gate.gate(numbered, existing, "id", min_chars).drop("url_key", "fp"))
+    passed = gate.language_quota(gated.filter("reason IS NULL"), targets, "id", have)
     accepted = passed.filter("NOT over_quota").drop("over_quota", "reason")
     over = passed.filter("over_quota").drop("over_quota").withColumn("reason", F.lit("language_over_target"))
     return accepted, gated.filter("reason IS NOT NULL").unionByName(over)
@@ -74,13 +54,13 @@ def query_seeds(queries: DataFrame) -> DataFrame:
     return queries.select(F.inline(rows)).select("url", "language_hint", F.lit("dynamic").alias("source_name"), F.lit("research_article").alias("category_hint"), "allowed_domains")
 
 
-def expand(engine: retrieve.Engine, queries: DataFrame, pages: DataFrame, settings: Settings = Settings(max_depth=1, max_pages=10), k: int = 5, few: int = 2, low: float = 0.3) -> tuple[retrieve.Engine, DataFrame, DataFrame]:
+def expand(engine: retrieve.Engine, queries: DataFrame, pages: DataFrame, max_depth: int = 1, max_pages: int | None = 10, k: int = 5, few: int = 2, low: float = 0.3) -> tuple[retrieve.Engine, DataFrame, DataFrame]:
     """Answer queries (query_id, raw); where results are weak, crawl from the queries' own seeds, add
     what passes the gate, and answer again.  (engine, results, fallback flags)"""
     results = engine.retrieve(queries, k)
     flags = retrieve.needs_fallback(results, queries, few, low)
     weak = queries.join(flags.filter("web_fallback"), "query_id", "left_semi")
-    accepted, _ = build_corpus(pages, query_seeds(weak), settings, engine.docs)
+    accepted, _ = build_corpus(pages, query_seeds(weak), engine.docs, max_depth, max_pages)
     if accepted.isEmpty():
         return engine, results, flags
     grown = engine.add(accepted)

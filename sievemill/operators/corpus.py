@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..functions import language as lang
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder that the session names, else kept by Spark."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from ..scratch import settled
 
 
 def document_language() -> Column:
@@ -28,22 +24,39 @@ def distributions(docs: DataFrame) -> DataFrame:
 
 def metrics(docs: DataFrame, rejected: int | Column, seconds: float | None = None) -> DataFrame:
     """One row of totals, ratio, average length, distributions as maps, rate and five examples."""
-    lost = F.lit(rejected) if isinstance(rejected, int) else rejected
-    total = docs.agg(F.count("*").alias("total_valid_documents"), F.coalesce(F.round(F.avg(F.length("content")), 2), F.lit(0.0)).alias("average_content_length_chars"))
-    n = F.col("total_valid_documents")
-    out = total.withColumns({"total_rejected_documents": lost.cast("long"), "validity_ratio": F.round(n / F.greatest(F.lit(1), n + lost), 4)})
+    return judged_metrics(docs.withColumn("valid", F.lit(True)), seconds, F.lit(rejected) if isinstance(rejected, int) else rejected)
+
+
+def judged_metrics(docs: DataFrame, seconds: float | None = None, more_rejected: Column | None = None) -> DataFrame:
+    """``metrics`` of documents that a column ``valid`` tells from rejected ones.
+
+    One pass counts by language, source and category together and keeps the five smallest ids of each
+    count; what is left is a row for each combination, from which the maps and totals are made.
+    """
+    few = F.slice(F.array_sort(F.collect_list(F.struct("id", "title", "url"))), 1, 5)
+    lost = F.lit(0) if more_rejected is None else more_rejected
+    names = {"language": document_language(), "source": F.coalesce("source", F.lit("unknown")), "category": F.coalesce("category", F.lit("unknown"))}
+    counted = docs.groupBy("valid", *[v.alias(k) for k, v in names.items()]).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.count("content").alias("filled"))
+    counted = settled(counted, "counts")
+    good = F.col("valid")
+    n = F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0))
+    bad = F.coalesce(F.sum(F.when(~good, F.col("n"))), F.lit(0)) + lost
+    mean = F.sum(F.when(good, F.col("chars"))) / F.sum(F.when(good, F.col("filled")))
+    total = [n.alias("total_valid_documents"), bad.cast("long").alias("total_rejected_documents"), F.round(n / F.greatest(F.lit(1), n + bad), 4).alias("validity_ratio"), F.coalesce(F.round(mean, 2), F.lit(0.0)).alias("average_content_length_chars")]
     if seconds is not None:
-        out = out.withColumns({"crawl_duration_seconds": F.round(F.lit(float(seconds)), 2), "docs_per_minute": F.round(n / max(1e-6, seconds) * 60, 2)})
-    d = distributions(docs)
-    maps = d.groupBy().agg(*[F.map_from_entries(F.collect_list(F.when(F.col("dimension") == k, F.struct("value", "n")))).alias(f"distribution_by_{k}") for k in ("language", "source", "category")])
-    few = docs.orderBy("id").limit(5).agg(F.collect_list(F.struct("id", "title", "url")).alias("examples"))
-    return out.crossJoin(maps).crossJoin(few)  # one row each
+        total += [F.round(F.lit(float(seconds)), 2).alias("crawl_duration_seconds"), F.round(n / max(1e-6, seconds) * 60, 2).alias("docs_per_minute")]
+    out = counted.agg(*total)
+    for k in names:
+        by = counted.filter("valid").groupBy(k).agg(F.sum("n").alias("n"))
+        out = out.crossJoin(by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k), F.col("n"))))).alias(f"distribution_by_{k}")))
+    first = docs.filter("valid").orderBy("id").limit(5).agg(few.alias("examples"))
+    return out.crossJoin(first)  # one row each
 
 
 def next_ids(docs: DataFrame, order: str, last: int = 0) -> DataFrame:
-    """Ids after ``last`` in order.  Positions come from counts of ranges, not from one sorted task."""
-    ranged = docs.repartitionByRange(order).sortWithinPartitions(order)
-    ranged = ranged.withColumn("part", F.spark_partition_id())
+    """Ids after ``last`` in order.  Positions come from counts of ranges, not from one sorted task;
+    the ranges are written once, so that counts and positions are of the same ones."""
+    ranged = settled(docs.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("part").count()
     before = counts.withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
     within = F.row_number().over(Window.partitionBy("part").orderBy(order))
@@ -70,7 +83,7 @@ def early_stop(docs: DataFrame, order: str, min_valid: int, targets: dict[str, i
 
 def links(pages: DataFrame) -> DataFrame:
     """(url, target), both normalised, for every link of pages (url, html)."""
-    own = pages.select("url", F.explode(html.root_links(F.col("url"), F.col("html"))).alias("target"))
+    own = pages.select("url", F.explode(html.links(F.col("url"), F.col("html"))).alias("target"))
     own = own.filter(urls.is_http(F.col("target")))
     return own.select(urls.normalize(F.col("url")).alias("url"), urls.normalize(F.col("target")).alias("target")).distinct()
 

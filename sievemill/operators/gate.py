@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions import text as tx
-from .corpus import settled
+from ..scratch import dropped, settled
 
+# The fields that a document must have, in the order of their checks.
 FIELDS = ("title", "content", "source", "url", "category", "language")
 MIN_CHARS = 600
 #: Documents over its target that a language may still get before it is closed.
@@ -22,6 +23,7 @@ KEYWORD_CATEGORIES = (
     ("health_guideline", ("recommendation", "recomendación", "guideline", "guía", "standard", "estándar")),
     ("news", ("news", "noticia", "update", "actualización", "report", "reporte")),
 )
+# Categories that the older sink has a folder for.
 STORED_CATEGORIES = ("health_topic", "research_article", "health_guideline", "news", "generic_content")
 
 
@@ -29,7 +31,7 @@ def reason(min_chars: int = MIN_CHARS) -> Column:
     """Why a row's own fields fail, the first cause only; null if they pass."""
     out = None
     for f in FIELDS:
-        bad = F.col(f).isNull() | (tx.clean(F.col(f)) == "")
+        bad = F.col(f).isNull() | ~F.rlike(F.col(f), F.lit(r"[^\s\p{Z}]"))
         out = (F.when if out is None else out.when)(bad, f"missing_or_empty_{f}")
     return out.when(~F.col("language").isin(*lang.SUPPORTED), "invalid_language").when(F.length("content") < min_chars, "content_too_short")
 
@@ -86,36 +88,47 @@ def two_keys(docs: DataFrame, seq: str = "seq", url: str = "url_key", fp: str =
     undecided of both their keys, and rejects those that share a key with an accepted row; the
     smallest undecided row is always decided, and chains are short.  Adds ``reason``.
     """
-    todo = docs.select(F.col(seq).alias("s"), F.col(url).alias("u"), F.col(fp).alias("f"))
-    accepted = None
+    keys = settled(docs.select(F.col(seq).alias("s"), F.col(url).alias("u"), F.col(fp).alias("f")), "keys")
+    todo, accepted = keys, None
     while True:
         by_u, by_f = todo.groupBy("u").agg(F.min("s").alias("su")), todo.groupBy("f").agg(F.min("s").alias("sf"))
         new = todo.join(by_u, "u").join(by_f, "f").filter("s = su AND s = sf").select("s", "u", "f")
         new = settled(new)
         accepted = new if accepted is None else accepted.unionByName(new)
-        todo = todo.join(new.select("u"), "u", "left_anti").join(new.select("f"), "f", "left_anti")
+        left = settled(todo.join(new.select("u"), "u", "left_anti").join(new.select("f"), "f", "left_anti"), "undecided")
+        if todo is not keys:
+            dropped(todo)
+        todo = left
         if todo.isEmpty():
             break
-        todo = settled(todo)
-    urls = accepted.select(F.col("u").alias(url), F.col("s").alias("kept_url"))
-    out = docs.join(urls, url, "left").join(accepted.select(F.col("s").alias(seq), F.lit(True).alias("kept")), seq, "left")
-    verdict = F.when(F.col("kept"), F.lit(None).cast("string")).when(F.col("kept_url") < F.col(seq), "duplicate_url").otherwise("duplicate_content")
-    return out.withColumn("reason", verdict).drop("kept", "kept_url")
+    urls = accepted.select("u", F.col("s").alias("kept_url"))
+    judged = keys.join(urls, "u", "left").join(accepted.select("s", F.lit(True).alias("kept")), "s", "left")
+    verdict = F.when(F.col("kept"), F.lit(None).cast("string")).when(F.col("kept_url") < F.col("s"), "duplicate_url").otherwise("duplicate_content")
+    judged = judged.filter(F.coalesce("kept", F.lit(False)) == F.lit(False)).select(F.col("s").alias(seq), verdict.alias("reason"))
+    return docs.join(settled(judged, "verdicts"), seq, "left")  # documents are joined once, by their place alone
 
 
 def language_quota(docs: DataFrame, targets: dict[str, int], order: str, existing: dict[str, int] | None = None, slack: int = SLACK) -> DataFrame:
-    """``over_quota`` for accepted rows beyond target + slack + 1 of their language, existing counted."""
+    """``over_quota`` for accepted rows beyond target + slack + 1 of their language, existing counted;
+    ``order`` is unique.  The last place that a language still gets is found by a top-n, so that no task
+    sorts a language."""
     existing = existing or {}
-    limit = F.lit(None).cast("long")
+    over = F.lit(False)
     for k, t in targets.items():
-        limit = F.when(F.col("language") == k, F.lit(t + slack + 1 - existing.get(k, 0))).otherwise(limit)
-    w = Window.partitionBy("language").orderBy(order)
-    return docs.withColumn("over_quota", F.coalesce(F.row_number().over(w) > limit, F.lit(False)))
+        n = t + slack + 1 - existing.get(k, 0)
+        own = F.col("language") == k
+        if n <= 0:
+            over = F.when(own, F.lit(True)).otherwise(over)
+            continue
+        few = docs.filter(own).select(order).orderBy(order).limit(n).agg(F.count("*"), F.max(order)).first()
+        if few[0] == n:
+            over = F.when(own, F.col(order) > F.lit(few[1])).otherwise(over)
+    return docs.withColumn("over_quota", F.coalesce(over, F.lit(False)))
 
 
 def gate(docs: DataFrame, existing: DataFrame | None = None, seq: str = "id", min_chars: int = MIN_CHARS) -> DataFrame:
     """``reason`` for every row: its own fields, then the corpus, then the batch."""
-    checked = with_keys(docs.withColumn("reason", reason(min_chars)))
+    checked = settled(with_keys(docs.withColumn("reason", reason(min_chars))), "checked")
     failed, good = checked.filter("reason IS NOT NULL"), checked.filter("reason IS NULL").drop("reason")
     parts = [failed]
     if existing is not None:

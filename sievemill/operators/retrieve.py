@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scratch import settled
 from ..sources import tables
 from . import bm25, fusion, gate, vector
 
 
-def preprocess(queries: DataFrame) -> DataFrame:
-    """queries (query_id, raw) with ``tokens`` and ``semantic_text``; blank ones are dropped."""
-    out = queries.filter(tx.clean(F.col("raw")) != "")
+def is_blank(raw: Column) -> Column:
+    return tx.clean(raw) == ""
+
+
+def preprocess(queries: DataFrame, blank: str = "skip") -> DataFrame:
+    """queries (query_id, raw) with ``tokens`` and ``semantic_text``.  Blank ones have no results: they
+    are left out (and ``respond`` tells them), or with ``blank`` "error" fail the search."""
+    if blank not in ("skip", "error"):
+        raise ValueError(f"unknown way with blank queries: {blank!r}")
+    if blank == "error":
+        wrong = F.raise_error(F.format_string("query %s is empty", F.col("query_id").cast("string"))).cast("string")
+        out = queries.withColumn("raw", F.when(is_blank(F.col("raw")), wrong).otherwise(F.col("raw")))
+    else:
+        out = queries.filter(~is_blank(F.col("raw")))
     return out.withColumns({"tokens": tx.lexical(F.col("raw")), "semantic_text": tx.semantic(F.col("raw"))})
 
 
@@ -38,8 +50,12 @@ def needs_fallback(hits: DataFrame, queries: DataFrame, few: int = 2, low: float
     return out.select("query_id", ((F.coalesce("n", F.lit(0)) < few) | (F.coalesce("best", F.lit(0.0)) < low)).alias("web_fallback"))
 
 
-def respond(results: DataFrame, fallback: DataFrame) -> DataFrame:
-    """One row a query: its results as an array of structs, and whether it fell back."""
+def respond(results: DataFrame, fallback: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One row a query: its results as an array of structs, and whether it fell back; with the queries
+    (query_id, raw), ``error`` says which of them are empty."""
+    if queries is not None:
+        error = F.when(is_blank(F.col("raw")), F.lit("query is empty"))
+        fallback = fallback.join(queries.select("query_id", error.alias("error")), "query_id", "left")
     one = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "score", "snippet", "url", "doc_id"))).alias("results"))
     return fallback.join(one, "query_id", "left")
 
@@ -55,7 +71,7 @@ class Engine:
 
     @classmethod
     def build(cls, docs: DataFrame, encoder: vector.Encoder | None = None, vectors: DataFrame | None = None) -> Engine:
-        ready = gate.indexable(docs)
+        ready = settled(gate.indexable(docs), "indexable")
         if ready.isEmpty():
             raise ValueError("no document can be indexed")
         index = bm25.build(ready.select(F.col("id").alias("doc_id"), "tokens"))
@@ -63,6 +79,8 @@ class Engine:
             if encoder is None:
                 raise ValueError("give vectors or an encoder")
             vectors = ready.select(F.col("id").alias("doc_id"), encoder.encode(F.col("semantic")).alias("embedding"))
+        elif encoder is not None:
+            vectors = vector.check_dimension(vectors, encoder.dimension)
         return cls(ready.drop("tokens", "semantic"), index, vectors, encoder)
 
     def add(self, docs: DataFrame, vectors: DataFrame | None = None) -> Engine:
@@ -73,9 +91,19 @@ class Engine:
             if self.encoder is None:
                 raise ValueError("give vectors or an encoder")
             vectors = new.select(F.col("id").alias("doc_id"), self.encoder.encode(F.col("semantic")).alias("embedding"))
+        vectors = vector.check_dimension(vectors, self.dimension())
         docs = self.docs.unionByName(new.drop("tokens", "semantic"), allowMissingColumns=True)
         return Engine(docs, index, self.vectors.unionByName(vectors, allowMissingColumns=True), self.encoder)
 
+    def dimension(self) -> int:
+        """Components of the vectors that the engine holds."""
+        if self.encoder is not None:
+            return self.encoder.dimension
+        found = self.vectors.select(F.size("embedding")).first()
+        if found is None:
+            raise ValueError("an engine without vectors has no dimension")
+        return found[0]
+
     def save(self, path: str) -> None:
         tables.save_index(self.index, self.vectors, self.docs, path)
 
@@ -93,11 +121,13 @@ class Engine:
             if self.encoder is None:
                 raise ValueError("queries need an embedding, or the engine an encoder")
             queries = queries.withColumn("embedding", self.encoder.encode(F.col("semantic_text")))
+        elif not self.vectors.isEmpty():
+            queries = vector.check_dimension(queries, self.dimension())
         return vector.search(queries.filter("embedding IS NOT NULL"), self.vectors, k or fusion.FINAL_K)
 
-    def retrieve(self, queries: DataFrame, k: int = fusion.FINAL_K, strategy: str = "rrf") -> DataFrame:
+    def retrieve(self, queries: DataFrame, k: int = fusion.FINAL_K, strategy: str = "rrf", blank: str = "skip") -> DataFrame:
         """Enriched results of queries (query_id, raw[, embedding])."""
-        ready = preprocess(queries)
+        ready = preprocess(queries, blank)
         fused = fusion.fuse(self.lexical(ready, fusion.LEXICAL_K), self.semantic(ready, fusion.SEMANTIC_K), strategy)
         return enrich(fusion.rank_results(fused, k), self.docs)
 

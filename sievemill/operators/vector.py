@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .bm25 import top
 
-#: Query vectors compared at once; more are taken in further blocks.
-BLOCK = 2048
+#: Query vectors that are broadcast or make a block, and vectors of a block.
+BLOCK, VECTOR_BLOCK = 2048, 1 << 16
 TINY = 1e-12
 
 
@@ -46,48 +46,75 @@ def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding
     """The rows, or a failure while running if a vector has another size."""
     found = F.size(column)
     wrong = F.raise_error(F.format_string("vector of %d components, not %d", found, F.lit(dimension)))
-    return vectors.withColumn(column, F.when(found == dimension, F.col(column)).otherwise(wrong.cast(vectors.schema[column].dataType)))
+    return vectors.withColumn(column, F.when(F.col(column).isNull() | (found == dimension), F.col(column)).otherwise(wrong.cast(vectors.schema[column].dataType)))
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TINY)
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
+def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """(rows, components) of an array column whose rows are equally long."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _nearest(ids: np.ndarray, queries: np.ndarray, doc: np.ndarray, x: np.ndarray, k: int) -> Iterator[dict[str, np.ndarray]]:
+    """The k nearest of each query among a few vectors at a time; as many as tie with the k-th stay,
+    so that ties can be told apart later."""
+    for at in range(0, len(doc), 4096):
+        d2 = np.maximum(0.0, 2.0 - 2.0 * queries @ _unit_rows(x[at : at + 4096]).T)
+        few = min(k, d2.shape[1])
+        limit = np.partition(d2, few - 1, axis=1)[:, few - 1] + 1e-9
+        i, j = np.nonzero(d2 <= limit[:, None])
+        yield {"query_id": ids[i], "doc_id": doc[at + j], "d2": d2[i, j]}
+
+
+def _against(held, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = held.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            doc = batch.column(0).to_numpy()
-            for at in range(0, len(doc), 4096):
-                x = _unit_rows(flat.reshape(len(doc), -1)[at : at + 4096])
-                d2 = np.maximum(0.0, 2.0 - 2.0 * queries @ x.T)
-                own = doc[at : at + 4096]
-                few = min(k, len(own))
-                # as many as tie with the k-th stay, so that ties can be told apart later
-                limit = np.partition(d2, few - 1, axis=1)[:, few - 1] + 1e-9
-                i, j = np.nonzero(d2 <= limit[:, None])
-                yield pa.record_batch({"query_id": ids[i], "doc_id": own[j], "d2": d2[i, j]})
+            if batch.num_rows:
+                for found in _nearest(ids, queries, batch.column(0).to_numpy(), _rows(batch.column(1)), k):
+                    yield pa.record_batch(found)
+
+    return run
+
+
+def _block(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, queries = left["query_id"].to_numpy(), _unit_rows(_rows(left["embedding"]))
+        parts = list(_nearest(ids, queries, right["doc_id"].to_numpy(), _rows(right["embedding"]), k)) if len(ids) and right.num_rows else []
+        empty = {"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "d2": np.zeros(0)}
+        return pa.table({c: np.concatenate([p[c] for p in parts]) if parts else empty[c] for c in empty})
 
     return run
 
 
 def distances_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Candidates (query_id, doc_id, d2) that hold each query's k nearest: every batch of vectors
-    keeps its own k nearest of each query.  Queries are a stated set, compared in blocks of BLOCK."""
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    numbered = queries.select("query_id", "embedding")
-    out = None
-    for block in range(blocks):
-        part = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = part.collect()
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        x = _unit_rows(np.array([r[1] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
-        found = vectors.select("doc_id", "embedding").mapInArrow(_nearest(ids, x, k), "query_id long, doc_id long, d2 double") if rows else None
-        out = found if out is None or found is None else out.unionByName(found)
-    return out
+    keeps its own k nearest of each query.
+
+    Queries are a stated set.  Up to BLOCK of them are broadcast, and vectors stay where they are; more
+    meet the vectors block by block, both sides' blocks of a bounded number of rows.
+    """
+    schema = "query_id long, doc_id long, d2 double"
+    asked, held = queries.select("query_id", "embedding"), vectors.select("doc_id", "embedding")
+    few = asked.limit(BLOCK + 1).collect()
+    if len(few) <= BLOCK:
+        if not few:
+            return queries.sparkSession.createDataFrame([], schema)
+        ids, x = np.array([r[0] for r in few], dtype=np.int64), _unit_rows(np.array([r[1] for r in few], dtype=np.float64))
+        return held.mapInArrow(_against(queries.sparkSession.sparkContext.broadcast((ids, x)), k), schema)
+    nq, nv = -(-asked.count() // BLOCK), max(1, -(-held.count() // VECTOR_BLOCK))
+
+    def dealt(side: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1)))
+        return side.withColumn(own[0], F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int")).withColumn(other[0], every).groupBy("q", "v")
+
+    return dealt(asked, "query_id", ("q", nq), ("v", nv)).cogroup(dealt(held, "doc_id", ("v", nv), ("q", nq))).applyInArrow(_block(k), schema)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:

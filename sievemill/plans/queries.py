@@ -16,6 +16,8 @@ from ..functions import html, urls
 from ..functions import language as lang
 from ..functions import text as tx
 from ..operators import bm25, corpus, fusion, gate, retrieve, vector
+from ..scratch import path, settled, spread
+from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +29,7 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -193,13 +195,13 @@ def html_content_parser(spark, d):
 
 @query
 def html_links(spark, d):
-    t = table(spark, d, "pages").select("page_id", html.root_links(F.col("url"), F.col("html")).alias("links"))
+    t = table(spark, d, "pages").select("page_id", html.links(F.col("url"), F.col("html")).alias("links"))
     return t.select("page_id", F.explode("links").alias("link"))
 
 
 @query
 def html_link_counts(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(html.root_links(F.col("url"), F.col("html"))).cast("long").alias("n_links"))
+    return table(spark, d, "pages").select("page_id", F.size(html.links(F.col("url"), F.col("html"))).cast("long").alias("n_links"))
 
 
 @query

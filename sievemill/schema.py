@@ -17,4 +17,5 @@ RAW_PAGE = _struct(url=_S, html=_S, source=_S, fetched_at=_S)
 POSTING = _struct(term=_S, doc_id=_L, tf=_L)
 VECTOR = _struct(doc_id=_L, embedding=ArrayType(FloatType()), unit=ArrayType(DoubleType()))
 HIT = _struct(query_id=_L, doc_id=_L, score=DoubleType(), rank=IntegerType())
+SEED = _struct(url=_S, language_hint=_S, source_name=_S, category_hint=_S, allowed_domains=ArrayType(_S))
 FRONTIER = _struct(url=_S, depth=IntegerType(), language_hint=_S, source_name=_S, category_hint=_S, domain_scope=_S, allowed_domains=ArrayType(_S))

@@ -55,6 +55,13 @@ def write_rejected(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("append").partitionBy("reason").format(fmt).save(path)
 
 
+def write_batch(rows: DataFrame, path: str, number: int, by: list[str]) -> None:
+    """Rows of one micro-batch, partitioned by its number and then as given; written again they replace
+    that batch's alone."""
+    out = rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("batch", *by).parquet(path)
+
+
 def write_by_category(docs: DataFrame, valid: str, invalid: str, fmt: str = "json") -> None:
     """The older sink: valid rows by category (unknown ones under 'unknown'), others with their error
     as rejection_reason."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemill.operators import build, retrieve, vector
+from sievemill.schema import SEED
 from sievemill.sources import web
 
 
@@ -35,8 +36,8 @@ def test_build_corpus_and_expand(spark):
         ("http://h.org/", _page(text + "one", "/a", "/b", "/c", "http://other.org/x")), ("http://h.org/a", _page(text + "ONE!")), ("http://h.org/b", _page("short")),
         ("http://h.org/c", _page(text + "three")), ("http://other.org/x", _page(text + "four")), ("https://pubmed.ncbi.nlm.nih.gov/?term=insulin+pumps", _page("insulin pumps " * 60)),
     ], "url string, html string")
-    site = build.Site("h.org", ["http://H.org"], "en", "H", "health_topic", ["h.org"])
-    accepted, rejected = build.build_corpus(pages, build.seeds_of(spark, [site]), build.Settings(max_depth=1, language_targets={"en": -100}))
+    seeds = spark.createDataFrame([("http://H.org", "en", "H", "health_topic", ["h.org"])], SEED)
+    accepted, rejected = build.build_corpus(pages, seeds, max_depth=1, targets={"en": -100})
     assert [(r.id, r.url, r.language) for r in accepted.collect()] == [(1, "http://h.org/", "en")]
     assert {r.url: r.reason for r in rejected.collect()} == {"http://h.org/a": "duplicate_content", "http://h.org/b": "content_too_short", "http://h.org/c": "language_over_target"}
     engine = retrieve.Engine.build(accepted, vector.HashEncoder(16))

@@ -77,8 +77,20 @@ def test_fetch_policy():
 
 
 def test_robots(spark):
-    allow = urls.robots_allow({"h": "User-agent: *\nDisallow: /private"})
-    assert column(spark, ["http://h/private/x", "http://h/a", "http://other/private"], allow) == [False, True, True]
+    rules = spark.createDataFrame([("H", "User-agent: *\nDisallow: /private")], "host string, robots string")
+    pages = spark.createDataFrame([("http://h/private/x",), ("http://h/a",), ("http://other/private",), (None,)], "url string")
+    assert {r.url: r.allowed for r in urls.robots_allowed(pages, rules).collect()} == {"http://h/private/x": False, "http://h/a": True, "http://other/private": True, None: True}
+
+
+def test_join_equals_urljoin(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    bases = ["http://h.org/a/b/c?x=1#f", "https://H.org", "http://h.org/", "http://h.org/dir/"]
+    hrefs = ["page2", "../x", "../../../x", "./y/./z", "?q=1", "#top", "", "/r/../s", "//other.org/p", "http://abs/x?y#z", "a/b/..", "mailto:me@x", "x?y=/../z", "/"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = [r[0] for r in spark.createDataFrame(rows, "b string, h string").coalesce(1).select(urls.join(F.col("b"), F.col("h"))).collect()]
+    for (b, h), u in zip(rows, got):
+        assert u == urldefrag(urljoin(b, h))[0], (b, h)
 
 
 PAGE = "<html><head><title> A &amp; B </title></head><body><nav>menu</nav><main>short</main><article>%s <b>bold</b></article><script>x</script><!-- c --><a href='/p#f'>l</a><a href=''>e</a><a href='http://o/x'>o</a></body></html>"
@@ -90,6 +102,6 @@ def test_html(spark):
     assert column(spark, [long], html.first_of)[0] == ("word " * 40 + "bold").strip()
     assert column(spark, ["<main>only</main><body>x"], html.first_of) == ["x"]
     assert column(spark, [PAGE % "s"], lambda c: html.first_of(c, enough=None)) == ["short"]
-    assert column(spark, [long], lambda c: html.root_links(F.lit("https://s.org/z"), c)) == [["https://s.org/p", "http://o/x"]]
+    assert column(spark, [long], lambda c: html.links(F.lit("https://s.org/z"), c)) == [["https://s.org/p", "http://o/x"]]
     parsed = spark.createDataFrame([(long, "x")], "h string, d string").select(html.parse("h", "d").alias("p")).select("p.*").first()
     assert parsed.title == "A & B" and parsed.content == ("word " * 40 + "bold").strip()
