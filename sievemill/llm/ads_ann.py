@@ -12,7 +12,8 @@ return nothing worse, so that what is returned does not grow with the number of
 
 Cases: invalid vectors (null, zero, null or non-finite components, another length) are neither
 queries nor candidates; a query's own id is no candidate; fewer candidates than k are all returned;
-ties go to the smaller id; repeated rows are candidates each.
+ties go to the smaller id; repeated rows are candidates each, and of an id that several queries have
+one is taken; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import persist, ship
-from .vectors import blocks, distances, kmeans, matrix, sample_matrix, valid_vectors
+from .vectors import blocks, distances, kmeans, matrix, sample_for, sample_matrix, valid_vectors
 
 TARGET_RECALL = 0.97
 #: Columns of a block, and how far from the k-th distance an estimate must be to abandon (in units
 #: of the estimate's spread).
 COLUMNS, CONFIDENCE = 16, 2.1
-LIST_ROWS, MOST_LISTS = 1024, 1024
+#: Rows of a list on average, and the most lists: their centroids and sizes are broadcast (8 MB at 64
+#: components).  Beyond 16 million rows lists grow with the table.
+LIST_ROWS, MOST_LISTS = 1024, 1 << 14
 #: Lists of a query that are probed before the others.
 FIRST_LISTS = 2
 _AT_ONCE = 512
@@ -161,8 +164,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, target: float = TAR
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return table.sparkSession.createDataFrame([], schema)
-    sample = sample_matrix(vectors)
-    lists = Lists(kmeans(lengthen(sample, longest), int(np.clip(n // LIST_ROWS, 1, MOST_LISTS))), longest)
+    wanted = int(np.clip(n // LIST_ROWS, 1, MOST_LISTS))
+    sample = sample_matrix(vectors, sample_for(wanted))
+    lists = Lists(kmeans(lengthen(sample, longest), wanted), longest)
     lists.calibrate(sample, k, target)
     first = ship(table.sparkSession, lists)
 

@@ -12,26 +12,37 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Keys with more rows than this, and than this part of all rows, are joined by a broadcast.
+HOT_LEAST, HOT_SHARE = 500, 20_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
+#: Bytes of text that a worker works on at once.
+SLICE = 3 << 19
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share.  A session on one machine that names none gets a
+    temporary one; on a cluster that is an error, as no machine's own folder would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             found = "file://" + tempfile.mkdtemp(prefix="sievemill-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -42,18 +53,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def persist(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back: later uses read files, not the lineage."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with smaller_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_persisted(spark: SparkSession, df: DataFrame) -> None:
+def drop_persisted(df: DataFrame) -> None:
     """Remove the files of a scratch table once nothing reads it any more."""
+    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/sievemill/" in path:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_counted(many: DataFrame, one: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each value of the keys and how many rows of
+    ``many`` have it.  Values that more than a ``HOT_SHARE`` of the rows have are few, so these are
+    broadcast and leave the exchange; ``count`` does not come back."""
+    total = one.agg(F.sum(count)).first()[0] or 0
+    hot = one.filter(F.col(count) > max(HOT_LEAST, total // HOT_SHARE)).drop(count)
+    few = hot.select(*keys)
+    rest = one.filter(F.col(count) <= max(HOT_LEAST, total // HOT_SHARE)).drop(count)
+    first = many.join(F.broadcast(hot), keys)
+    second = many.join(F.broadcast(few), keys, "left_anti").join(rest, keys, how)
+    return first.unionByName(second)
+
+
 def ship(spark: SparkSession, model: object) -> Callable[[], object]:
     """Broadcast a model whose size does not depend on the data; the result gives it on an executor,
     where this package need not be installed."""
@@ -71,25 +97,26 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(store, name)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, values: list, rows: int, longest: int) -> list[tuple[str, object]]:
-    """(text, label) of labelled documents, for classifiers that learn on the driver: of each label
-    in ``values`` at most ``rows``, by hash of the id, of texts of at most ``longest`` bytes.
+def labelled_rows(docs: DataFrame, labels: DataFrame, values: list, rows: int) -> DataFrame:
+    """(doc_id, text, label) of labelled documents, for classifiers that learn from a bounded number
+    of rows: of each label in ``values`` at most ``rows``, by hash of the id, their texts whole.
 
-    labels has (doc_id, label), one of its rows is taken for an id.  The ids are chosen first, so
-    that only the chosen texts, whose number and size are bounded, leave the executors.
+    labels has (doc_id, label), one of its rows is taken for an id.  The ids are chosen first, each
+    task keeping at most ``rows`` of a label, so that only the chosen texts leave the executors.
     """
-    fitting = docs.filter(F.octet_length("text") <= longest).select("doc_id")
     ids = labels.filter(F.col("label").isin(values)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    ids = ids.join(fitting, "doc_id", "left_semi")
-    chosen = []
-    for value in values:
-        chosen += ids.filter(F.col("label") == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    if not chosen:
-        return []
-    few = docs.sparkSession.createDataFrame(chosen, ids.schema)
-    texts = docs.filter(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    found = {r["doc_id"]: (r["text"], r["label"]) for r in texts.orderBy("text").collect()}
-    return [found[r["doc_id"]] for r in chosen if r["doc_id"] in found]
+    ids = ids.join(docs.select("doc_id"), "doc_id", "left_semi")
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.withColumn("turn", turn).filter(F.col("turn") <= rows).drop("turn")
+    # an id that several rows have is learned from once, with the first of their texts
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, values: list, rows: int) -> list[tuple[str, object]]:
+    """(text, label) of ``labelled_rows``, in a fixed order."""
+    found = labelled_rows(docs, labels, values, rows).toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")])
+    return list(zip(found["text"].to_pylist(), found["label"].to_pylist()))
 
 
 def as_text(column: pa.Array) -> pa.Array:
@@ -100,20 +127,30 @@ def as_text(column: pa.Array) -> pa.Array:
     return column
 
 
-def smaller_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of fewer rows, if the session has Spark's own number: texts are long."""
+@contextmanager
+def smaller_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside: texts are long.  The session's own
+    number comes back afterwards."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    own = spark.conf.get(name)
+    if not 0 < int(own) <= rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def give_back() -> None:
-    """Hand freed memory back to the system, where the C library can."""
+    """Hand freed memory back to the system, where the C library can: idle workers hold on to it
+    otherwise.  From the first call on, blocks of a megabyte are returned as soon as they are freed."""
     import ctypes
 
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        worker_cache("mmap_threshold", lambda: libc.mallopt(-3, 1 << 20))
+        libc.malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
@@ -122,20 +159,19 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarra
     """The rows of docs whose text passes: ``make`` runs on the executor and gives a function from
     texts to a mask.  All columns come back as they are; nothing is shuffled."""
     at = docs.columns.index("text")
-    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
         for batch in batches:
             part = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{k}" for k in range(batch.num_columns)])
-            for piece in batches_of([part], f"c{at}", 3 << 20):
+            for piece in batches_of([part], f"c{at}", SLICE):
                 out = piece.filter(pa.array(test(piece.column(at))))
                 yield pa.RecordBatch.from_arrays(out.columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def batches_of(it: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(it: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
     for batch in it:
         n = batch.num_rows
@@ -150,9 +186,10 @@ def batches_of(it: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             yield batch.slice(at, to - at)
             give_back()
             at = to
+    give_back()
 
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _P = 0x9E3779B97F4A7C55
 _M64 = (1 << 64) - 1
 

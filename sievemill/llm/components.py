@@ -1,8 +1,13 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Each task first joins what its own links connect, so that few links are left; then every round
-moves each node to the smallest neighbour it knows of.  Links stay in Spark tables throughout, hubs
-are aggregated before they are shuffled, and each round ends in a scratch table.
+moves each node to the smallest neighbour it knows of.  Links stay in Spark tables throughout.  A
+hub's links are spread over tasks: its smallest neighbour is aggregated before it is shuffled, and
+comes back to the links by a broadcast of hubs, whose number is bounded.  Each round ends in a
+scratch table, and the round before it is removed.
+
+Cases: null ends and links of a node to itself are no links; repeated links count once; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import persist
+from .base import drop_persisted, join_counted, persist
 
 #: Links that a task joins at once.
 BLOCK = 1 << 20
@@ -63,15 +68,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-    out = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return out.distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("u", "low"))
+    low = persist(low, "lowest")
+    out = join_counted(both, low, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    out = persist(out.distinct(), "large-star")
+    drop_persisted(low)
+    return out
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    low = links.groupBy("u").agg(F.min("v").alias("low"))
-    out = links.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return out.union(low.select("u", F.col("low").alias("v"))).distinct()
+    low = persist(links.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "lowest")
+    out = join_counted(links, low, ["u"], "n").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    out = persist(out.union(low.select("u", F.col("low").alias("v"))).distinct(), "links")
+    drop_persisted(low)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -86,4 +96,7 @@ def components(links: DataFrame) -> DataFrame:
         if not now[0] or now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-        links = persist(_small_star(_large_star(links)), "links")
+        wide = _large_star(links)
+        drop_persisted(links)
+        links = _small_star(wide)
+        drop_persisted(wide)

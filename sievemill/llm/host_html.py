@@ -3,37 +3,52 @@
 A page becomes blocks of text with the zone each stands in: what markup calls an article, the rest,
 or what it calls something else (menus, headers, footers, asides, forms, adverts, notices, reader
 comments; scripts and styles give no text).  The token streams of a host's pages are concatenated,
-and a suffix array over them (by prefix doubling, sorted to ``LONG`` tokens) finds what is repeated
-on distinct pages.  A page without an article loses the blocks that lie wholly in such repeated runs,
-which may reach over blocks, and of others what a repeated run inside the block covers.  Inside an
-article, repetition on a few pages is not evidence against text (copies and quotations are main text
-too), but blocks that lie wholly in runs on more than half of the host's pages are its template and
-go, unless they are half of the article's words: then it is a copy.  Where a class or id only hints
-that a block is something else, repetition on two pages is enough.
-
-A host of many pages is dealt to several arrays of about ``SHARD_BYTES``: templates are on all of
-its pages, so each array sees them.
-Cases: null or empty html gives empty text; a url without a host belongs to the host ''; repeated
-rows give equal rows, and copies of a page under one id are one page to the suffix array.
+and a suffix array over them finds what is repeated on distinct pages.  Substrings of ``LONG`` tokens
+and more count; they cover just the tokens that their repeated runs of ``LONG`` tokens cover, so the
+array is sorted (by prefix doubling) so far and no further.  A page without an article loses the
+blocks that lie wholly in runs that several pages have outside articles, which may reach over blocks, and of others what a
+repeated run inside the block covers; its unique runs stay.  Inside an article, repetition on a few
+pages is not evidence against text (copies and quotations are main text too), but blocks that lie
+wholly in runs on more than half of the host's pages are its template and go, unless they are half of
+the article's words: then it is a copy.  Where a class or id only hints that a block is something
+else, repetition on two pages is enough.
+
+A host of many pages has several arrays of about ``SHARD_BYTES``, and what they find is put together:
+each array tells the runs that can decide something (all that reach outside articles, and those on
+more than ``TELLING`` of its pages) with their numbers of pages, these are added up over the host, and
+each array then covers by the host's numbers.  So a text does not depend on how a host was split.
+
+Cases: null or empty html gives empty text; a url without a host belongs to the host ''; a very long
+page is parsed whole, and may fill an array alone; repeated rows (and ties) give equal rows, and copies
+of a page under one id are one page to the suffix array; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import persist
+
 LONG = 8
 SHARD_BYTES = 2 << 20
 #: Hosts are sized by buckets of their hashes, so that the sizes to broadcast have a fixed number; a
-#: host in a full bucket gets more arrays than it needs.
+#: host in a full bucket gets more arrays than it needs, which does not change its texts.
 HOST_BUCKETS = 1 << 20
 #: A run on more than half of a host's pages, and on so many at least, is its template.
 TEMPLATE_PAGES = 5
+#: A run on more than half of a host's pages is on more than this share of each array's: pages are
+#: dealt by hash.
+TELLING = 1 / 8
 OUTPUT = "page_id {}, url string, text string, n_chars long"
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -159,17 +174,17 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def run_pages(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
-    """On how many distinct pages the run of ``long`` tokens that begins at each token is; 0 where
-    the page ends first.
+def run_pages(tokens: np.ndarray, page: np.ndarray, long: int = LONG, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """On how many distinct pages the run of ``long`` tokens that begins at each token is, in all and
+    with a token ``outside``; 0 where the page ends first.
 
     tokens: numbers of all pages' tokens one after the other; page: the page of each, ascending.
     Ranks of the suffixes' first 1, 2, 4, ... tokens order the array.
     """
     n = len(tokens)
-    out = np.zeros(n, np.int64)
+    out, out_there = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if n < long:
-        return out
+        return out, out_there
     _, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64) + 1
     last = np.searchsorted(page, page, side="right")  # where its page ends
@@ -183,14 +198,22 @@ def run_pages(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndar
         size += step
     starts = np.flatnonzero(np.arange(n) + long <= last)
     if not len(starts):
-        return out
+        return out, out_there
     order = starts[np.argsort(rank[starts], kind="stable")]  # the suffix array, as far as runs go
     group, own = rank[order], page[order]  # a group's pages ascend
     begins = np.append(True, group[1:] != group[:-1])
     begin = np.flatnonzero(begins)
-    pages = np.add.reduceat((begins | np.append(True, own[1:] != own[:-1])).astype(np.int64), begin)
-    out[order] = np.repeat(pages, np.diff(np.append(begin, len(order))))
-    return out
+    firsts = begins | np.append(True, own[1:] != own[:-1])  # of each page in each group
+    sizes = np.diff(np.append(begin, len(order)))
+    out[order] = np.repeat(np.add.reduceat(firsts.astype(np.int64), begin), sizes)
+    if outside is not None:
+        place = np.flatnonzero(firsts)
+        there = np.append(0, np.cumsum(outside))
+        here = there[order + long] > there[order]
+        there = np.zeros(len(order), np.int64)
+        there[place] = np.logical_or.reduceat(here, place)
+        out_there[order] = np.repeat(np.add.reduceat(there, begin), sizes)
+    return out, out_there
 
 
 def cover(starts: np.ndarray, long: int = LONG) -> np.ndarray:
@@ -204,11 +227,26 @@ def cover(starts: np.ndarray, long: int = LONG) -> np.ndarray:
 
 def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
     """Which tokens are covered by a run of ``long`` tokens that distinct pages have."""
-    return cover(run_pages(tokens, page, long) > 1, long)
+    return cover(run_pages(tokens, page, long)[0] > 1, long)
+
+
+class Streams(NamedTuple):
+    """The token streams of some pages of a host, one after the other."""
+
+    pages: list[list[tuple[str, int]]]  # blocks and zones of each row
+    where: list[tuple[int, int, int]]  # (row, block, tokens) of each block
+    order: np.ndarray  # places of the tokens, page by page (rows of one id are one page)
+    tokens: np.ndarray  # in that order, like the rest
+    page: np.ndarray
+    block: np.ndarray
+    outside: np.ndarray  # whether a token is outside all articles
+    words: np.ndarray  # a hash of each number's word
+    n: int  # distinct pages
+
 
+def streams(ids: list, htmls: list[str | None]) -> Streams:
+    from xxhash import xxh64_intdigest
 
-def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
-    """The main texts of one host's pages."""
     pages = [blocks_of(h or "") for h in htmls]
     number: dict[str, int] = {}
     numbers: dict[object, int] = {}
@@ -223,20 +261,62 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
     token, own = np.array(tokens, dtype=np.int64), np.array(page, dtype=np.int64)
     order = np.argsort(own, kind="stable")
     block = np.repeat(np.arange(len(where)), [size for _, _, size in where])[order]
-    change = np.append(0, block[1:] != block[:-1]) if len(block) else block
+    hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number], dtype=np.uint64)
+    outside = np.array([pages[k][b][1] != ARTICLE for k, b, _ in where], dtype=bool)
+    return Streams(pages, where, order, token[order], own[order], block, outside[block] if len(block) else np.zeros(0, bool), hashes, len(numbers))
+
+
+def _has_article(blocks: list[tuple[str, int]]) -> bool:
+    return any(zone in (ARTICLE, DOUBTED) for _, zone in blocks)
+
+
+def run_hashes(s: Streams, long: int = LONG) -> np.ndarray:
+    """A hash of the run that begins at each token, as a signed number."""
+    h = s.words[s.tokens] if len(s.tokens) else np.zeros(0, np.uint64)
+    out = np.zeros(len(h), np.uint64)
+    for k in range(min(long, len(h))):
+        out[: len(h) - k] = out[: len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + h[k:]
+    return (out ^ (out >> np.uint64(31))).view(np.int64)
+
+
+def told_runs(ids: list, htmls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes of the distinct runs that an array tells its host's others, the pages that have them in
+    all and outside articles, and the array's pages."""
+    s = streams(ids, htmls)
+    seen, outside = run_pages(s.tokens, s.page, outside=s.outside)
+    tell = (outside > 0) | (seen > max(1.0, TELLING * s.n))
+    hashes, first = np.unique(run_hashes(s)[tell], return_index=True)
+    return hashes, seen[tell][first], outside[tell][first], s.n
+
+
+Known = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def main_texts(ids: list, htmls: list[str | None], known: Known | None = None) -> list[str]:
+    """The main texts of one host's pages, or of some of them: then ``known`` has the runs that its
+    arrays told (hashes, ascending, and their pages in all and outside articles), and the host's pages."""
+    s = streams(ids, htmls)
+    (everywhere, seen), n = run_pages(s.tokens, s.page, outside=s.outside), s.n
+    if known is not None:
+        hashes, pages, outside, n = known
+        if len(hashes):
+            own = run_hashes(s)
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            found = (hashes[at] == own) & (everywhere > 0)
+            everywhere, seen = np.where(found, pages[at], everywhere), np.where(found, outside[at], seen)
+    change = np.append(0, s.block[1:] != s.block[:-1]) if len(s.block) else s.block
     unit = np.cumsum(change)
-    seen = run_pages(token[order], own[order])
     inside = np.arange(len(seen)) + LONG <= np.searchsorted(unit, unit, side="right")
-    covered, shared, template = (np.empty(len(token), dtype=bool) for _ in range(3))
-    covered[order] = cover((seen > 1) & inside)
-    shared[order] = cover(seen > 1)
-    template[order] = cover(seen >= max(TEMPLATE_PAGES, len(numbers) // 2 + 1))
-    kept: list[list[str]] = [[] for _ in pages]
-    articles: list[list[tuple[str, int, bool]]] = [[] for _ in pages]
+    covered, shared, template = (np.empty(len(seen), dtype=bool) for _ in range(3))
+    covered[s.order] = cover((seen > 1) & inside)
+    shared[s.order] = cover(seen > 1)
+    template[s.order] = cover(everywhere >= max(TEMPLATE_PAGES, n // 2 + 1))
+    kept: list[list[str]] = [[] for _ in s.pages]
+    articles: list[list[tuple[str, int, bool]]] = [[] for _ in s.pages]
     at = 0
-    has_article = [any(zone in (ARTICLE, DOUBTED) for _, zone in blocks) for blocks in pages]
-    for k, b, size in where:
-        text, zone = pages[k][b]
+    has_article = [_has_article(blocks) for blocks in s.pages]
+    for k, b, size in s.where:
+        text, zone = s.pages[k][b]
         if has_article[k]:
             if zone == ARTICLE or (zone == DOUBTED and not shared[at : at + size].all()):
                 articles[k].append((text, size, bool(template[at : at + size].all())))
@@ -248,23 +328,62 @@ def main_texts(ids: list, htmls: list[str | None]) -> list[str]:
                 kept[k].append(" ".join(w for w, u in zip(text.split(" "), unique.tolist()) if u))
         at += size
     for k, blocks in enumerate(articles):
-        copy = 2 * sum(size for _, size, shared in blocks if shared) >= sum(size for _, size, _ in blocks)
-        kept[k] += [text for text, _, shared in blocks if copy or not shared]
+        copy = 2 * sum(size for _, size, own in blocks if own) >= sum(size for _, size, _ in blocks)
+        kept[k] += [text for text, _, own in blocks if copy or not own]
     return ["\n".join(x) for x in kept]
 
 
-def _host(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")])
-    texts = main_texts(table["page_id"].to_pylist(), table["html"].to_pylist())
+def _unpacked(table: pa.Table) -> tuple[list, list]:
+    return table["page_id"].to_pylist(), [None if h is None else zlib.decompress(h).decode() for h in table["packed"].to_pylist()]
+
+
+def _out(table: pa.Table, known: Known | None = None) -> pa.Table:
+    table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("packed", "ascending")])
+    texts = main_texts(*_unpacked(table), known)
     return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
+def _host(key: tuple, table: pa.Table) -> pa.Table:
+    return _out(table)
+
+
+def _tell(key: tuple, table: pa.Table) -> pa.Table:
+    hashes, pages, outside, n = told_runs(*_unpacked(table))
+    rows = len(hashes) + 1  # the first tells the pages of the array
+    return pa.table({"host": pa.array([key[0].as_py()] * rows), "shard": np.full(rows, key[1].as_py()), "run": pa.array([None, *hashes.tolist()], pa.int64()), "pages": np.append(n, pages), "outside": np.append(0, outside)})
+
+
+def _informed(key: tuple, table: pa.Table, runs: pa.Table) -> pa.Table:
+    runs = runs.sort_by([("run", "ascending")])
+    told = runs.filter(runs["run"].is_valid())
+    n = runs.filter(runs["run"].is_null())["pages"].to_pylist()
+    return _out(table, (*(told[c].to_numpy() for c in ("run", "pages", "outside")), n[0] if n else 0))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        html = [None if h is None else zlib.compress(h.encode(), 1) for h in batch.column(2).to_pylist()]
+        yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "packed": pa.array(html, pa.binary()), "host": batch.column(3), "shards": batch.column(4), "shard": batch.column(5)})
+
+
 def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     own = pages.select("page_id", "url", "html").withColumn("host", host)
     own = own.withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS)))
     sizes = own.groupBy("bucket").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / shard_bytes).alias("shards"))
-    dealt = own.join(F.broadcast(sizes), "bucket").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.greatest("shards", F.lit(1))))
+    sizes = persist(sizes, "host-sizes")
+    digest = F.when(F.col("page_id").isNull(), F.xxhash64("url", "html")).otherwise(F.xxhash64("page_id"))
+    shards = F.greatest("shards", F.lit(1)).cast("long")
+    dealt = own.join(F.broadcast(sizes), "bucket").select("page_id", "url", "html", "host", shards.alias("shards"), F.pmod(digest, shards).alias("shard"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return dealt.select("host", "shard", "page_id", "url", "html").groupBy("host", "shard").applyInArrow(_host, OUTPUT.format(kind))
+    packed = dealt.mapInArrow(_pack, f"page_id {kind}, url string, packed binary, host string, shards long, shard long")
+    output = OUTPUT.format(kind)
+    whole = packed.filter("shards = 1").select("host", "page_id", "url", "packed").groupBy("host").applyInArrow(_host, output)
+    if sizes.filter("shards > 1").isEmpty():
+        return whole
+    split = packed.filter("shards > 1").select("host", "shard", "page_id", "url", "packed")
+    told = persist(split.groupBy("host", "shard").applyInArrow(_tell, "host string, shard long, run long, pages long, outside long"), "runs")
+    added = told.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("outside").alias("outside"), F.collect_list("shard").alias("shards")).filter("run IS NULL OR pages > 1")
+    added = added.select("host", F.explode("shards").alias("shard"), "run", "pages", "outside")
+    return whole.unionByName(split.groupBy("host", "shard").cogroup(added.groupBy("host", "shard")).applyInArrow(_informed, output))

@@ -11,7 +11,9 @@ Equal vectors are one class with a count.  Blocks count links and return a fores
 A pair that both sides find counts in the smaller cell alone.
 
 Cases: invalid vectors (null, zero, null or non-finite components, another length) link with
-nothing and are their own component; a null id gives a null component; repeated rows are copies.
+nothing and are their own component; a null id gives a null component; repeated rows are copies, and
+ties (equal vectors) link with each other; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import persist, ship
+from .base import join_counted, persist, ship
 from .components import components, smallest_labels
 from .vectors import blocks, distances, kmeans, matrix, sample_matrix, valid_vectors
 
 TARGET_RECALL = 0.97
-#: Vectors a cell holds on average, and the most centroids of a half.
-CELL_ROWS, MOST_CENTROIDS = 32, 256
+#: Vectors a cell holds on average, and the most centroids of a half: the sizes of their 2 ** 18 cells
+#: are broadcast (6 MB).  Beyond 8 million vectors cells grow with the table.
+CELL_ROWS, MOST_CENTROIDS = 32, 512
 _AT_ONCE = 256
 
 
@@ -151,7 +154,9 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, target: float = TARG
     """(vec_id, n_links, component_id, kept) for each row of table."""
     vectors = persist(valid_vectors(table, key, column), "vectors")
     classes = persist(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "vec", "n"), "classes")
-    members = vectors.join(classes.select("vec", F.col("id").alias("rep"), F.col("n").alias("copies")), "vec").select("id", "rep", "copies").distinct()
+    # one vector may be a third of all rows: what many rows have is joined by a broadcast
+    members = join_counted(vectors, classes.select("vec", F.col("id").alias("rep"), F.col("n").alias("copies"), F.col("n").alias("size")), ["vec"], "size")
+    members = members.select("id", "rep", "copies").distinct()
     total = classes.count()
     if total:
         held = ship(table.sparkSession, build_grid(classes, total, cosine, target))

@@ -1,26 +1,30 @@
 """Language-model scores by a subword lattice (operator 3).
 
 Words are separated by white space, A-Z lower-cased, and each text ends with one end token.  Pieces
-come from an existing vocabulary, whose scores are the first piece probabilities; one round of
-expectation-maximisation over the distinct words of the training texts
-gives the ones used.  A word (with the space before it) has the sum of the probabilities of all its
-segmentations, by a forward recursion in log space; single bytes are pieces, so every word has
-some.  A word seen in training is one more edge over its whole length, with its count less a
-discount; what the discounts leave is the share of the pieces.  No edge reaches over a space, so a
-text's marginal probability is the product of its words' and the end's.  A plain add-one unigram
-model over words comes beside it.
+and their weights come from an existing vocabulary: its scores give each piece a probability, of
+which a share of ``PRIOR`` stays, and the rest is fitted by one round of expectation-maximisation
+over the distinct words of the training texts (with ``PRIOR`` 1 nothing is fitted).  A word (with the
+space before it) has the sum of the probabilities of all its segmentations, by a forward recursion in
+log space; single bytes are pieces, so every word has some.  The text's probability interpolates this
+with the training texts' word counts: a word seen in training is one more edge over its whole length,
+with its count less a discount; what the discounts leave is the share of the pieces.  No edge reaches
+over a space, so a text's marginal probability is the product of its words' and the end's.  A plain
+add-one unigram model over words comes beside it.
 
 Word counts cover all training texts and are shuffled by word.  Scoring looks the ``HOT`` commonest
 words up in a broadcast table of that size, which takes away the frequent keys, and joins the other
 words of all texts with the table of counts.
 
-Cases: null or empty text is its end token alone; a null doc_id counts as the empty string for the
-split; repeated rows are scored each; without training texts counts are zero and the pieces keep
-the vocabulary's probabilities.
+Cases: null or empty text is its end token alone; a very long text is split in slices of whole rows
+and counted like any other, and a very long word has a lattice of its length; a null doc_id counts as
+the empty string for the split; repeated rows are scored each, and ties (equal texts) alike; without
+training texts counts are zero and the pieces keep the vocabulary's probabilities; an empty table
+gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,12 +36,14 @@ from pyspark.sql import functions as F
 from .base import batches_of, persist, ship, split_words
 from .packing import _sum_vectors
 
-#: Commonest words that are broadcast, and the most bytes of one.
+#: Commonest words that are broadcast; those of more bytes than this by their digests.
 HOT, HOT_BYTES = 1 << 17, 64
 #: Taken from each training word's count, for what is spelt in pieces.
 DISCOUNT = 0.7
-#: Share of the vocabulary's own probabilities in the pieces' estimates.
-PRIOR = 0.01
+#: Added to the ranks that a vocabulary's scores stand for, before they weigh pieces.
+ZIPF = 10.0
+#: Share of the vocabulary's own probabilities in the pieces'; the rest is fitted.
+PRIOR = 0.5
 #: The probability that all byte pieces share at first.
 BYTES_SHARE = 1e-3
 
@@ -58,17 +64,18 @@ class Lattice:
 
     @classmethod
     def from_vocabulary(cls, pieces: list[str], scores: list[float]) -> Lattice:
-        """Scores order the pieces, as the merge ranks of a BPE vocabulary do: the probability falls
-        with the rank as words' frequencies do.  Bytes come first, then pieces without inner spaces."""
-        texts = {}
+        """The vocabulary's scores weigh the pieces: a score of 0 is the commonest, and weights fall by
+        Zipf's law, 1 / (``ZIPF`` - score), as the scores of this kind of vocabulary are minus ranks.
+        Bytes come first, then pieces without inner spaces."""
+        texts: dict[bytes, float] = {}
         for p, s in zip(pieces, scores):
             b = p.replace("▁", " ").encode()
             if len(b) > 1 and b" " not in b[1:] and s <= 0:
-                texts.setdefault(b, s)
-        ranked = sorted(texts, key=lambda b: (-texts[b], b))
-        p = 1 / (np.arange(len(ranked)) + 10.0)
-        p *= (1 - BYTES_SHARE) / p.sum()
-        return cls([bytes([x]) for x in range(256)] + ranked, np.log(np.concatenate([np.full(256, BYTES_SHARE / 256), p])))
+                texts[b] = max(s, texts.get(b, -np.inf))
+        known = sorted(texts)
+        p = 1 / (ZIPF - np.array([texts[b] for b in known]))
+        p *= (1 - BYTES_SHARE) / max(p.sum(), 1e-300)
+        return cls([bytes([x]) for x in range(256)] + known, np.log(np.concatenate([np.full(256, BYTES_SHARE / 256), p])))
 
     def edges(self, word: bytes) -> list[list[tuple[int, int, float]]]:
         """For each place, the pieces that begin there: (end, piece, log probability)."""
@@ -136,7 +143,7 @@ def _word_counts(docs: DataFrame, learn: Column) -> DataFrame:
     """(word, c): every word of docs, and how often training texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, "text", 6 << 20):
+        for batch in batches_of(batches, "text"):
             w = split_words(batch.column(0))
             train = np.repeat(np.asarray(batch.column(1).fill_null(False)), np.diff(w.bounds))
             yield pa.record_batch({"word": pa.array(w.unique, pa.binary()), "c": np.bincount(w.ids[train], minlength=len(w.unique))})
@@ -197,8 +204,8 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str) -> DataFrame:
     end = n_docs / train_tokens if n_docs else 0.5
     table = persist(_with_lattice(words, Lattice(lattice.pieces, lattice.logp + math.log1p(-last)), train_tokens, spelt, last), "word-scores")
 
-    common = table.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT)
-    hot = common.toArrow()
+    short = F.when(F.octet_length("word") <= HOT_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.sha1("word"))))
+    hot = table.select("c", "lp", short.alias("word")).orderBy(F.desc("c"), "word").limit(HOT).toArrow()
     known = ship(spark, (hot["word"].to_pylist(), hot["c"].to_numpy(), hot["lp"].to_numpy()))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -207,10 +214,10 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str) -> DataFrame:
         place = {w: k for k, w in enumerate(names)}
         value = np.stack([np.log10(c + 1.0), (c > 0).astype(float), lp], 1) if len(c) else np.zeros((0, 3))
         value = np.concatenate([value, np.zeros((1, 3))])
-        for batch in batches_of(batches, "text", 6 << 20):
+        for batch in batches_of(batches, "text"):
             n = batch.num_rows
             w = split_words(batch.column(1))
-            at = np.fromiter((place.get(x, -1) for x in w.unique), dtype=np.int64, count=len(w.unique))
+            at = np.fromiter((place.get(x if len(x) <= HOT_BYTES else b" " + hashlib.sha1(x).digest(), -1) for x in w.unique), dtype=np.int64, count=len(w.unique))
             row = np.repeat(np.arange(n), np.diff(w.bounds))
             sums = [np.bincount(row, weights=value[at, k][w.ids], minlength=n).astype(float) for k in range(3)]
             empty = pa.nulls(n, pa.binary())

@@ -2,13 +2,18 @@
 
 Documents are tokenized once, each distinct word of a batch once, and kept as a scratch table.
 Token counts over all documents give BM25's document frequencies and mean length.  Documents are
-dealt by hash to shards of about ``SHARD_TOKENS`` tokens; each shard has its own inverted index.
-A window's seed (the document that begins it) asks the index for its unused neighbours, which fill
+dealt to shards of about ``SHARD_TOKENS`` tokens by what they say: a random projection of their
+inverse-frequency weighted tokens puts them into a cluster, and a place along a line inside it, and
+shards are runs of these cells, so that a document's neighbours, and above all its copies, are in its
+own shard however many shards there are.  Each shard has its own inverted index.  A window's seed (the
+document that begins it) asks the index, with all of its terms, for its unused neighbours, which fill
 the window best first; a document cut at the window's end seeds the next one.  What is left at the
 end of a shard is cut into powers of two, so nothing needs padding.
 
 Cases: null text counts as empty, and an empty document is its end id alone; rows are packed as
-they are, repeated or with a null doc_id alike; a document longer than a window fills several.
+they are, repeated or with a null doc_id alike; ties of scores go to the row that comes first by id
+and tokens; a document longer than a window fills several, and one longer than a shard is a shard; an
+empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,15 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, persist, ragged, split_words, worker_cache
+from .base import batches_of, give_back, persist, ragged, ship, split_words, worker_cache
+from .vectors import distances, kmeans
 
 WINDOW, END = 2048, 1
-SHARD_TOKENS = 1 << 21
-#: Terms of a seed that its query has: those with the largest weights.
-QUERY_TERMS, NEIGHBOURS = 24, 32
+SHARD_TOKENS = 1 << 20
+#: Neighbours that an answer of the index has; when a window needs more, the seed asks again.
+NEIGHBOURS = 32
 K1, B = 1.2, 0.75
+#: Terms that more than this part of a shard's documents have are held as columns, not as postings.
+COMMON = 4
+#: Dimensions of the projection, documents that clusters are learned from, the most clusters, and the
+#: places along a cluster's line.
+DIMENSIONS, SAMPLE, MOST_CLUSTERS, PLACES = 16, 8192, 4096, 64
 #: Strings after which a worker begins another generation of those it remembers.
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 _MARKS = b".,;:!?#$%&*"
 PIECE_SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -112,7 +123,7 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
         tokens = worker_cache("tokens:" + path, lambda: WordTokens(path))
         seen = np.zeros(tokens.tokenizer.get_vocab_size(), dtype="<i8")
         there, kind = np.zeros((64, len(seen)), np.uint8), None
-        for batch in batches_of(batches, "text", 6 << 20):
+        for batch in batches_of(batches, "text"):
             ids, bounds = tokenize(batch.column(1), tokens)
             cut = bounds.tolist()
             for at in range(0, batch.num_rows, len(there)):
@@ -124,6 +135,7 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
             small = ids.astype("<u2") if len(seen) <= 1 << 16 else ids.astype("<u4")
             kind = batch.column(0).type
             yield pa.record_batch({"doc_id": batch.column(0), "tokens": np.diff(bounds), "ids": pa.array([small[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+        give_back()
         if kind is not None:
             yield pa.record_batch({"doc_id": pa.nulls(1, kind), "tokens": np.array([-1]), "ids": pa.array([seen.tobytes()], pa.binary())})
 
@@ -152,33 +164,45 @@ def _sum_vectors(parts: DataFrame) -> np.ndarray:
 
 
 class Bm25:
-    """Inverted index of one shard."""
+    """Inverted index of one shard; terms that many of its documents have are columns of a matrix."""
 
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, mean_length: float) -> None:
         sizes = np.diff(bounds)
         self.n = len(sizes)
         pair, tf = np.unique(np.repeat(np.arange(self.n), sizes) * len(idf) + ids, return_counts=True)
-        doc, term = pair // len(idf), pair % len(idf)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean_length, 1e-9)))
+        doc, term = (pair // len(idf)).astype(np.int32), (pair % len(idf)).astype(np.int32)
+        del pair
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean_length, 1e-9)))).astype(np.float32)
+        self.terms, self.first = term, np.searchsorted(doc, np.arange(self.n + 1))  # each document's terms
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        best = np.lexsort((term, -weight, doc))
-        first = np.searchsorted(doc[best], np.arange(self.n + 1))
-        self.queries = [term[best[a : min(b, a + QUERY_TERMS)]] for a, b in zip(first[:-1], first[1:])]
+        held = np.diff(self.begin)
+        common = np.flatnonzero(held > max(64, self.n // COMMON))
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((self.n, len(common)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            at = slice(self.begin[t], self.begin[t + 1])
+            self.matrix[self.docs[at], k] = self.weights[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents for a query of all the seed's terms."""
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        column = self.column[terms]
+        asked = np.zeros(self.matrix.shape[1], np.float32)
+        asked[column[column >= 0]] = 1
+        rare = terms[column < 0]
+        at = ragged(self.begin[rare], self.begin[rare + 1] - self.begin[rare])
+        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n) + self.matrix @ asked
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """Unused documents that share a term with the seed, best first, ties to the earlier."""
-        terms = self.queries[seed]
-        if not len(terms):
+        if self.first[seed] == self.first[seed + 1]:
             return []
-        at = ragged(self.begin[terms], self.begin[terms + 1] - self.begin[terms])
-        score = np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n) * unused
-        if self.n > 4 * NEIGHBOURS:
-            top = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS]
-        else:
-            top = np.arange(self.n)
-        top = top[np.lexsort((top, -score[top]))]
+        score = self.scores(seed) * unused
+        top = np.flatnonzero(score >= np.partition(score, self.n - NEIGHBOURS)[self.n - NEIGHBOURS]) if self.n > 4 * NEIGHBOURS else np.arange(self.n)
+        top = top[np.lexsort((top, -score[top]))][:NEIGHBOURS]
         return top[score[top] > 0].tolist()
 
 
@@ -235,6 +259,7 @@ def _pack_shard(idf: np.ndarray, mean_length: float, window: int, wide: str):
         term[bounds[1:] - 1] = False  # the end id is none
         index = Bm25(flat[term].astype(np.int64), bounds - np.arange(len(bounds)), idf, mean_length)
         order = np.array(order_documents(index, sizes, window))
+        del index
         begin = np.cumsum(sizes[order]) - sizes[order]
         seq = cut(sizes, window)
         piece = np.union1d(begin, seq[:-1])
@@ -251,6 +276,86 @@ def _pack_shard(idf: np.ndarray, mean_length: float, window: int, wide: str):
     return run
 
 
+class Cells:
+    """Where documents are put by what they say: a cluster, and a place along a line inside it."""
+
+    def __init__(self, idf: np.ndarray, seed: int = 13) -> None:
+        r = np.random.default_rng(seed)
+        self.rows = (r.standard_normal((len(idf), DIMENSIONS)) * idf[:, None]).astype(np.float32)
+        self.line = r.standard_normal(DIMENSIONS).astype(np.float32)
+        self.line /= np.linalg.norm(self.line)
+        self.centroids = np.zeros((1, DIMENSIONS))
+
+    def project(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Unit vectors of documents (their ids with the end id); of one that has no other, zero."""
+        out = np.zeros((len(ids), DIMENSIONS), np.float32)
+        for k, x in enumerate(ids):
+            for at in range(0, len(x) - 1, 1 << 16):
+                out[k] += self.rows[x[at : min(at + (1 << 16), len(x) - 1)]].sum(axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """cluster * PLACES + place."""
+        near = distances(vectors.astype(np.float64), self.centroids).argmin(axis=1)
+        along = (vectors - self.centroids[near]) @ self.line  # between -2 and 2, most of them near 0
+        place = np.clip((np.arctan(4 * along) / np.pi + 0.5) * PLACES, 0, PLACES - 1).astype(np.int64)
+        return near * PLACES + place
+
+
+def _ids(column: pa.Array, wide: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=wide) for x in column.to_pylist()]
+
+
+def _deal(texts: DataFrame, idf: np.ndarray, total: int, shard_tokens: int, wide: str) -> DataFrame:
+    """(shard, doc_id, tokens, ids) of every row.
+
+    The tokens of each cell are counted; in order of cells, shards take as many as they hold.  A cell
+    that holds more than a shard (many copies) is dealt to several by the rows' places in the table.
+    """
+    spark, cells = texts.sparkSession, Cells(idf)
+    sample = texts.select("ids").sample(min(1.0, 4 * SAMPLE / max(1, texts.count())), 7).limit(SAMPLE).toArrow()["ids"]
+    if len(sample):
+        cells.centroids = kmeans(cells.project(_ids(sample, wide)).astype(np.float64), int(np.clip(2 * total // shard_tokens, 1, MOST_CLUSTERS)))
+    held = ship(spark, cells)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held()
+        size = np.zeros(len(own.centroids) * PLACES, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                np.add.at(size, own.of(own.project(_ids(batch.column(0), wide))), batch.column(1).to_numpy())
+        used = np.flatnonzero(size)
+        yield pa.record_batch({"cell": used, "tokens": size[used]})
+
+    found = texts.select("ids", "tokens").mapInArrow(count, "cell long, tokens long").groupBy("cell").agg(F.sum("tokens")).toArrow()
+    size = np.zeros(len(cells.centroids) * PLACES, np.int64)
+    size[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    parts = np.maximum(1, -(-size // shard_tokens))  # shards that a cell has for itself, or 1
+    first, shard, filled = np.zeros(len(size), np.int64), 0, 0
+    for c in np.flatnonzero(size).tolist():
+        if filled and filled + size[c] > shard_tokens:
+            shard, filled = shard + 1, 0
+        first[c] = shard
+        filled += size[c]
+        if parts[c] > 1:
+            shard, filled = shard + int(parts[c]), 0
+    dealt = ship(spark, (first, parts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own, (begin, several), at = held(), dealt(), TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            if batch.num_rows:
+                cell = own.of(own.project(_ids(batch.column(2), wide)))
+                row = np.arange(at, at + batch.num_rows)
+                at += batch.num_rows
+                yield pa.record_batch({"shard": begin[cell] + row % several[cell], "doc_id": batch.column(0), "tokens": batch.column(1), "ids": batch.column(2)})
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "tokens", "ids").mapInArrow(deal, f"shard long, doc_id {kind}, tokens long, ids binary")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text); the window is a power of two."""
     table = persist(_tokenized(docs, tokenizer_path), "tokens")
@@ -259,8 +364,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     n, total = texts.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     idf = np.log1p((n - seen + 0.5) / (seen + 0.5)) if len(seen) else np.zeros(1)
     idf = np.maximum(idf, 0.0)
-    shards = max(1, -(-total // shard_tokens))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    run = _pack_shard(idf, total / max(n, 1), window, "<u2" if len(seen) <= 1 << 16 else "<u4")
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInArrow(run, PIECE_SCHEMA.format(kind))
+    wide = "<u2" if len(seen) <= 1 << 16 else "<u4"
+    run = _pack_shard(idf, total / max(n, 1), window, wide)
+    return _deal(texts, idf, total, shard_tokens, wide).groupBy("shard").applyInArrow(run, PIECE_SCHEMA.format(kind))

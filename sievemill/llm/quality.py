@@ -7,9 +7,12 @@ A document is the mean of its tokens' vectors, by kind, with the length of that
 numpy network turns it into a logit, and a temperature fitted on rows left out of its training
 makes the sigmoid of the logit a probability.
 
-Context vectors cover all documents; only the network learns from a bounded labelled sample.
-Cases: null or empty text pools to zero vectors and is scored like any other; null labels are not
-learned from; repeated rows get equal scores; without labels of both kinds every score is 0.5.
+Context vectors cover all documents; only the network learns from a bounded number of labelled rows,
+whose whole texts are pooled on the executors, so that the driver gets a vector of each.
+Cases: null or empty text pools to zero vectors and is scored like any other; a very long text is
+pooled like any other; null labels are not learned from; repeated rows and ties get equal scores;
+without labels of both kinds every score is 0.5; an empty table gives an empty result; other columns,
+whatever their names, are not read by ``score`` and come back untouched from ``keep_good``.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, batches_of, give_back, keep_rows, labelled_sample, ship, smaller_batches, split_words, worker_cache
+from .base import Words, batches_of, give_back, keep_rows, labelled_rows, persist, ship, split_words, worker_cache
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 13, 32, 4
 HIDDEN, STEPS = 24, 900
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 15
+#: The training sample: rows of either label at most.
+SAMPLE_ROWS = 1500
+
+
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(places, signs) of the nonzero parts of each bucket's index vector."""
     r = np.random.default_rng(seed)
@@ -103,11 +109,9 @@ def add_contexts(w: Words, kinds: np.ndarray, total: np.ndarray) -> None:
 
 def context_table(docs: DataFrame) -> np.ndarray:
     """Context vectors of all buckets over all documents; of a size fixed by BUCKETS."""
-    smaller_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * DIMENSIONS)
-        for batch in batches_of(batches, "text", 3 << 20):
+        for batch in batches_of(batches, "text"):
             w = split_words(batch.column(0), lower=False)
             add_contexts(w, token_buckets(w.unique), total)
         rows = total.reshape(BUCKETS, DIMENSIONS).astype(np.int64)
@@ -116,7 +120,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
 
     names = [f"c{k}" for k in range(DIMENSIONS)]
     parts = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
-    found = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    found = persist(parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]), "contexts").toPandas()
     out = np.zeros((BUCKETS, DIMENSIONS))
     if len(found):
         out[found["bucket"].to_numpy()] = found[names].to_numpy()
@@ -211,15 +215,27 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> Scorer:
+def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Scorer:
     """Word vectors from ``docs``; the network from at most ``rows`` labelled ``train_docs`` of either
-    label, of ``longest`` bytes at most.  The shares of the two labels are those of all of them."""
+    label.  The shares of the two labels are those of all of them."""
     scorer = Scorer(word_vectors(context_table(docs)))
-    sample = labelled_sample(train_docs, labels.select("doc_id", F.col(label).alias("label")), [0, 1], rows, longest)
-    y = np.array([k for _, k in sample], dtype=int)
-    counts = {r[0]: r[1] for r in labels.join(train_docs.select("doc_id"), "doc_id", "left_semi").filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    held = ship(docs.sparkSession, scorer.vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = held()
+        for batch in batches_of(batches, "text"):
+            x = pool(vectors, batch.column(1))
+            yield pa.record_batch({"doc_id": batch.column(0), "x": pa.array([row.tobytes() for row in x], pa.binary()), "label": batch.column(2)})
+
+    kinds = labels.select("doc_id", F.col(label).cast("int").alias("label"))
+    chosen = labelled_rows(train_docs, kinds, [0, 1], rows)
+    found = persist(chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, x binary, label int"), "pooled").toArrow()
+    found = found.sort_by([("label", "ascending"), ("doc_id", "ascending")])
+    y = found["label"].to_numpy().astype(int)
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), dtype=np.float32).reshape(len(y), -1) if len(y) else np.zeros((0, 3 * DIMENSIONS + 5))
+    counts = {r[0]: r[1] for r in kinds.join(train_docs.select("doc_id"), "doc_id", "left_semi").filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
     shift = float(np.log(counts[1] / counts[0])) if counts.get(0) and counts.get(1) else 0.0
-    scorer.train(pool(scorer.vectors, pa.array([t or "" for t, _ in sample], pa.string())).astype(np.float64), y, shift)
+    scorer.train(x.astype(np.float64), y, shift)
     give_back()
     return scorer
 
@@ -227,15 +243,14 @@ def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str =
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text)."""
     held = ship(docs.sparkSession, scorer)
-    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held()
-        for batch in batches_of(batches, "text", 3 << 20):
+        for batch in batches_of(batches, "text"):
             yield pa.record_batch({"doc_id": batch.column(0), "score": model.scores(batch.column(1))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return persist(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double"), "scores")
 
 
 def _at_least(scorer: Scorer, least: float, text: pa.Array) -> np.ndarray:

@@ -6,12 +6,16 @@ bits agree wholly on at least ``blocks - radius`` of ``blocks`` pieces of their
 each choice of pieces and their value holds every pair that links.  Each shard is a BK-tree, with
 children keyed by their integer Hamming distance to the parent, and a search follows only edges
 within the radius.  Trees go to the task that holds their shard's queries rather than being
-broadcast: together they grow with the corpus, so no bound on a broadcast would hold.  The number
-of pieces grows with the number of fingerprints so that shards stay small; shards that copies make
-large are dealt again by a second choice of pieces.
+broadcast: together they hold the fingerprints of the whole corpus, so no bound on a broadcast would
+hold, and they would have to pass through the driver.  The number of pieces grows with the number of
+fingerprints so that shards stay small; shards that copies make large are dealt again by a second
+choice of pieces, and what is then still large is cut into slices, each pair of which is a shard.
 
 Cases: null text counts as empty; no words gives the zero fingerprint, linked like any other; null
-doc_id takes no part in links and gets a null component; repeated rows get equal results.
+doc_id takes no part in links and gets a null component; repeated rows get equal results, and of ties
+the smallest id gives the component; a very long text is hashed whole, some thousand shingles at a
+time; an empty table gives an empty result; other columns, whatever their names, are not read by
+``near_duplicates`` and come back untouched from ``keep_one``.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, batches_of, give_back, persist, smaller_batches, worker_cache
+from .base import as_text, batches_of, give_back, join_counted, persist, worker_cache
 from .components import components
 
 #: Entries of a shard from which it is dealt again.
@@ -68,7 +72,7 @@ def _multipliers() -> np.ndarray:
 
 def _fingerprints(words: int, seed: int, sketch: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, "text", 3 << 20):
+        for batch in batches_of(batches, "text"):
             texts = as_text(batch.column(1)).cast(pa.binary())
             found = [fingerprint(t.as_py(), words, seed, sketch) for t in texts]
             out = {"doc_id": batch.column(0), "fp": np.array([x[0] if sketch else x for x in found], dtype=np.uint64).view(np.int64)}
@@ -79,7 +83,6 @@ def _fingerprints(words: int, seed: int, sketch: bool):
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
     """(doc_id, fp) with fp as a signed bigint; with ``sketch``, also one byte each of 128 min-hashes."""
-    smaller_batches(docs.sparkSession)
     schema = "doc_id long, fp long" + (", sketch binary" if sketch else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints(words, seed, sketch), schema)
 
@@ -235,12 +238,26 @@ def link_codes(codes: DataFrame, radius: int, agree: int = 0) -> DataFrame:
     large = persist(shards.groupBy("key").count().filter(F.col("count") > LARGE_SHARD).select("key"), "large")
     out = shards
     if not large.isEmpty():
-        again = deal(shards.join(large, "key", "left_semi"), F.col("key"))
-        out = shards.join(large, "key", "left_anti").union(again)
+        again = _sliced(deal(shards.join(F.broadcast(large), "key", "left_semi"), F.col("key")))
+        out = shards.join(F.broadcast(large), "key", "left_anti").union(again)
     out = out.repartition("key").sortWithinPartitions("key", "id")
     return out.mapInArrow(_search(radius, agree), "a long, b long")
 
 
+def _sliced(shards: DataFrame) -> DataFrame:
+    """Shards that are still large, as a shard for each pair of their slices: every two entries meet
+    in one of them, and none holds more than about ``LARGE_SHARD``."""
+    rest = [c for c in shards.columns if c != "key"]
+    sizes = shards.groupBy("key").agg(F.ceil(2 * F.count("*") / LARGE_SHARD).alias("m")).filter(F.col("m") > 2)
+    sizes = persist(sizes, "still-large")
+    if sizes.isEmpty():
+        return shards
+    own = F.pmod(F.xxhash64("id", F.lit(17)), F.col("m"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: F.xxhash64("key", F.least(j, own), F.greatest(j, own)))
+    split = shards.join(F.broadcast(sizes), "key").select(F.explode(pairs).alias("key"), *rest)
+    return shards.join(F.broadcast(sizes), "key", "left_anti").select("key", *rest).union(split)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, agree: int = 0) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -250,10 +267,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     """
     same = ["fp", "sketch"] if agree else ["fp"]
     fps = persist(fingerprints(docs, words, seed, bool(agree)), "fingerprints")
-    codes = persist(fps.filter("doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id")).select("fp", "id", *same[1:]), "codes")
-    moved = components(link_codes(codes, radius, agree))
-    ids = codes.join(moved, codes["id"] == moved["node"], "left").select(*same, F.coalesce("component", "id").alias("component_id"))
-    out = fps.join(ids, same, "left")
+    counted = persist(fps.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).select("fp", "id", "n", *same[1:]), "codes")
+    codes = counted.filter("id IS NOT NULL").drop("n")
+    moved = components(persist(link_codes(codes, radius, agree), "links"))  # one Python worker a task at a time
+    ids = counted.join(moved, counted["id"] == moved["node"], "left").select(*same, "n", F.coalesce("component", "id").alias("component_id"))
+    out = join_counted(fps, persist(ids, "classes"), same, "n")  # copies may be a third of all rows
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

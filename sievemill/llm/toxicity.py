@@ -3,13 +3,16 @@
 Inputs of a step are one word's: a learned vector of the word, the mean of learned vectors of its
 character 3- and 4-grams (with marks at both ends), and how much likelier the word and its n-grams
 are in toxic than in other training documents.  Both directions run over windows of ``WINDOW``
-words that overlap by a quarter and cover the whole text; attention pools a window's states, and a
-document is as toxic as its most toxic window.  All of it is trained in numpy on the driver, from a
-bounded sample of labelled rows; scoring never caps a text.
-
-Cases: null or empty text scores as a window without words; labels of null are not learned from;
-repeated rows get equal scores; without labels of both kinds every score is 0.5 before calibration
-and stays there.
+words that overlap by half and cover the whole text, so that any run of up to ``STRIDE`` words is
+whole in some window; attention pools a window's states, and a document is as toxic as its most toxic
+window.  All of it is trained in numpy on the driver, from a bounded number of labelled rows and
+their whole texts; scoring never caps a text.
+
+Cases: null or empty text scores as a window without words; a very long text has as many windows as
+it takes, scored some thousands at a time; labels of null are not learned from; repeated rows and
+ties get equal scores; without labels of both kinds every score is 0.5 before calibration and stays
+there; an empty table gives an empty result; other columns, whatever their names, are not read by
+``score`` and come back untouched from ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -22,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, give_back, keep_rows, labelled_sample, ragged, ship, smaller_batches, split_words
+from .base import batches_of, give_back, keep_rows, labelled_sample, persist, ragged, ship, split_words
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 12, 8
 VOCABULARY, GRAMS = 4096, 1 << 13
 #: Windows scored at once, and words whose n-grams are looked up at once.
-AT_ONCE, WORDS_AT_ONCE = 2048, 1 << 14
-#: The training sample: rows of either label at most, and the longest text (in bytes) learned from.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 15
+AT_ONCE, WORDS_AT_ONCE = 1024, 1 << 13
+#: The training sample: rows of either label at most.
+SAMPLE_ROWS = 1500
 STEPS, BATCH = 220, 64
 
 
@@ -328,9 +331,9 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> Net:
-    """Train on at most ``rows`` documents of either label, of ``longest`` bytes at most each."""
-    net = train(labelled_sample(docs, labels.select("doc_id", F.col(label).alias("label")), [0, 1], rows, longest))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Net:
+    """Train on at most ``rows`` documents of either label."""
+    net = train(labelled_sample(docs, labels.select("doc_id", F.col(label).alias("label")), [0, 1], rows))
     give_back()
     return net
 
@@ -338,15 +341,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text)."""
     held = ship(docs.sparkSession, net)
-    smaller_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held()
-        for batch in batches_of(batches, "text", 3 << 20):
+        for batch in batches_of(batches, "text"):
             yield pa.record_batch({"doc_id": batch.column(0), "score": text_scores(model, batch.column(1))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return persist(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double"), "scores")
 
 
 def _under(net: Net, limit: float, text: pa.Array) -> np.ndarray:

@@ -8,7 +8,9 @@ lost executor leaves at most files that nothing refers to.
 
 Records with equal payloads of at least ``REVISIT_BYTES`` refer to the one with the largest id.
 Cases: null html is an empty payload; a null id is always a response; repeated rows are written
-each, and if they hold the largest id all are responses; a null url has no target header.
+each, and if they hold the largest id all are responses; a null url has no target header; a very long
+payload is a record like any other and may fill a frame and a bundle alone; an empty table gives an
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

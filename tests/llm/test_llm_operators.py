@@ -76,7 +76,7 @@ def test_quality_edges(spark, rows):
 
 def test_labelled_sample_is_bounded(spark):
     data, labels = _corpus()
-    got = labelled_sample(_docs(spark, data + data[:5] + [(900, "x" * 99)]), _labels(spark, labels).selectExpr("doc_id", "toxic label"), [0, 1], 20, 1 << 15)
+    got = labelled_sample(_docs(spark, data + data[:5] + [(900, "x" * 99)]), _labels(spark, labels).selectExpr("doc_id", "toxic label"), [0, 1], 20)
     assert len(got) == 40 and sum(y for _, y in got) == 20
 
 
@@ -271,16 +271,18 @@ def test_mixing(spark):
     rows = [(i, " ".join(r.choice(words["a" if i % 4 else "b"].split(), 20))) for i in range(400)]
     docs = _docs(spark, rows + [(900, None), (901, "")])
     domains = mixing.fit_domains(docs, spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(200)], "doc_id long, domain string"))
-    rated = mixing.rates(docs, domains, {"a": 0.5, "b": 0.5})
+    rated, mixture = mixing.fit_rates(docs, domains, {"a": 0.5, "b": 0.5})
     got = rated.selectExpr("sum(rate * n_tokens * p_0) a", "sum(rate * n_tokens * p_1) b", "min(rate) low", "max(rate) high").first()
     assert abs(got.a - got.b) < 0.01 * (got.a + got.b) and got.low >= 0 and got.high <= 1
-    kept = mixing.mix(docs, rated)
+    kept = mixing.mix(docs, domains, mixture)
+    counted = rated.withColumn("many", mixing.copies(F.col("rate"), F.col("row_hash"))).filter("many > 0")
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in counted.select("doc_id").collect())
     assert kept.columns == docs.columns and 150 < kept.count() < 260 and kept.filter("doc_id % 4 = 0 AND doc_id < 400").count() > 90
     with pytest.raises(ValueError):
         mixing.rates(docs, domains, {"z": 1.0})
     assert mixing.rates(_docs(spark, EMPTY), domains, {"a": 1.0}).count() == 0
-    edges = mixing.rates(_docs(spark, EDGES), domains, {"a": 1.0, "b": 1.0})
-    assert edges.count() == len(EDGES) and mixing.mix(_docs(spark, EDGES), edges).columns == docs.columns
+    edges, mixture = mixing.fit_rates(_docs(spark, EDGES), domains, {"a": 1.0, "b": 1.0})
+    assert edges.count() == len(EDGES) and mixing.mix(_docs(spark, EDGES), domains, mixture).schema == docs.schema
     none = mixing.fit_domains(docs, spark.createDataFrame([], "doc_id long, domain string"))
     assert mixing.rates(docs, none, {}).filter("rate = 1").count() == 402
 
