@@ -131,21 +131,23 @@ def _legacy_error() -> str:
 
 
 _TOKENS = f"tok AS MATERIALIZED (SELECT doc_id, {tokens('text')} AS tokens FROM documents)"
-_INDEX = f"""{_TOKENS},
+_TITLED = f"tok AS MATERIALIZED (SELECT id AS doc_id, {tokens(strip_tags("title || '. ' || content"))} AS tokens FROM {DOCS})"
+_STATS = """,
     tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
     dl AS MATERIALIZED (SELECT doc_id, CAST(len(tokens) AS BIGINT) AS dl FROM tok),
     size AS MATERIALIZED (SELECT count(*) AS nd, avg(dl) AS avgdl FROM dl),
     raw AS MATERIALIZED (SELECT term, count(*) AS n, ln(any_value(nd) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf0 FROM tf, size GROUP BY term),
     terms AS MATERIALIZED (SELECT term, n, CASE WHEN idf0 < 0 THEN 0.25::DOUBLE * (SELECT avg(idf0) FROM raw) ELSE idf0 END AS idf FROM raw)"""
+_INDEX = _TOKENS + _STATS
 
 
 def _rank(frm: str, k: int, score: str = "score") -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, doc_id) AS rank FROM {frm}) WHERE rank <= {k})"
 
 
-def _lexical(k: int = 50, ask: str = f"SELECT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark") -> str:
+def _lexical(k: int = 50, ask: str = f"SELECT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark", index: str = _INDEX) -> str:
     """CTEs that end in lex: (query_id, doc_id, score, rank)."""
-    return f"""{_INDEX}, ask AS (SELECT query_id, term, count(*) AS qf FROM ({ask}) GROUP BY ALL),
+    return f"""{index}, ask AS (SELECT query_id, term, count(*) AS qf FROM ({ask}) GROUP BY ALL),
     scored AS (SELECT query_id, doc_id, sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
         FROM ask JOIN tf USING (term) JOIN terms USING (term) JOIN dl USING (doc_id), size GROUP BY ALL),
     lex AS MATERIALIZED (SELECT * FROM {_rank('(SELECT * FROM scored WHERE score > 0)', k)})"""
@@ -218,9 +220,11 @@ ORACLES: dict[str, str] = {
     "legacy_validate": f"SELECT id, error IS NULL AS is_valid, error AS validation_error, CASE WHEN error IS NULL THEN {category('source', 'content')} END AS category FROM (SELECT *, {_legacy_error()} AS error FROM {DOCS})",
     "indexability_filter": f"""WITH t AS (SELECT id, title, content, {tokens(strip_tags("title || '. ' || content"))} AS tk, {clean(strip_tags("title || '. ' || content"))} AS sem FROM {DOCS})
         SELECT id, CAST(len(tk) > 0 OR sem <> '' AS BIGINT) AS batch, CAST(title <> '' AND content <> '' AND len(tk) > 0 AND sem <> '' AS BIGINT) AS appended FROM t WHERE len(tk) > 0 OR sem <> ''""",
-    "corpus_metrics": f"""WITH c AS (SELECT *, {reason()} AS reason FROM {DOCS})
-        SELECT count(*) FILTER (reason IS NULL) AS total_valid_documents, count(*) FILTER (reason IS NOT NULL) AS total_rejected_documents,
-            round(CAST(count(*) FILTER (reason IS NULL) AS DOUBLE) / greatest(1, count(*)), 4) AS validity_ratio, coalesce(round(avg(length(content)) FILTER (reason IS NULL), 2), 0.0::DOUBLE) AS average_content_length_chars FROM c""",
+    "corpus_metrics": f"""WITH c AS (SELECT *, {reason()} AS reason FROM {DOCS}), g AS (SELECT * FROM c WHERE reason IS NULL)
+        SELECT (SELECT count(*) FROM g) AS total_valid_documents, (SELECT count(*) FROM c WHERE reason IS NOT NULL) AS total_rejected_documents,
+            (SELECT round(CAST(count(*) FILTER (reason IS NULL) AS DOUBLE) / greatest(1, count(*)), 4) FROM c) AS validity_ratio, (SELECT coalesce(round(avg(length(content)), 2), 0.0::DOUBLE) FROM g) AS average_content_length_chars,
+            (SELECT round(count(*)::DOUBLE, 2) FROM g) AS docs_per_minute, """ + ", ".join(f"""(SELECT string_agg({k} || '=' || n, ';' ORDER BY {k}) FROM (SELECT {k}, count(*) AS n FROM g GROUP BY 1)) AS by_{k}""" for k in ("language", "source", "category")) + """,
+            (SELECT string_agg(id || '|' || title || '|' || url, ';' ORDER BY id) FROM (SELECT * FROM g ORDER BY id LIMIT 5)) AS examples""",
     "distribution_grouping_sets": f"""SELECT 'language' AS dimension, language AS value, count(*) AS n FROM {DOCS} GROUP BY 2
         UNION ALL SELECT 'source', source, count(*) FROM {DOCS} GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM {DOCS} GROUP BY 2""",
     "term_frequencies": f"WITH {_INDEX} SELECT doc_id, term, tf FROM tf",
@@ -244,9 +248,48 @@ ORACLES: dict[str, str] = {
     "get_texts": "SELECT doc_id, sha1(text) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "fallback_flag": f"""WITH {_lexical()}, {_semantic()}, best AS (SELECT query_id, count(*) AS n, max(score) AS best FROM {_rank(_WEIGHTED, 10)} GROUP BY query_id)
         SELECT item_id AS query_id, coalesce(n, 0) < 2 OR coalesce(best, 0) < 0.72 AS web_fallback FROM benchmark LEFT JOIN best ON query_id = item_id""",
-    "eval_at_k": f"""WITH {_lexical(10)}, rel AS (SELECT query_id, doc_id, rank, CAST(contains(d.text, b.text) AS INT) AS rel FROM lex JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
-        per AS (SELECT query_id, sum(rel) AS found, max(rel / CAST(rank AS DOUBLE)) AS mrr, sum(rel / log2(rank + 1.0::DOUBLE)) AS dcg FROM rel GROUP BY query_id HAVING sum(rel) > 0)
-        SELECT query_id, round(found / 10.0::DOUBLE, 6) AS precision, 1.0::DOUBLE AS recall, round(mrr, 6) AS mrr, round(dcg / list_sum(list_transform(range(1, CAST(least(found, 10) AS BIGINT) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))), 6) AS ndcg FROM per""",
+    "eval_at_k": f"""WITH {_lexical(10)}, hold AS (SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)), total AS (SELECT query_id, count(*) AS n FROM hold GROUP BY 1),
+        per AS (SELECT lex.query_id, sum(CAST(hold.doc_id IS NOT NULL AS INT)) AS found, max(CASE WHEN hold.doc_id IS NOT NULL THEN 1.0::DOUBLE / rank ELSE 0 END) AS mrr, sum(CASE WHEN hold.doc_id IS NOT NULL THEN 1.0::DOUBLE / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg
+            FROM lex LEFT JOIN hold ON hold.query_id = lex.query_id AND hold.doc_id = lex.doc_id GROUP BY 1)
+        SELECT query_id, round(coalesce(found, 0) / 10.0::DOUBLE, 6) AS precision, round(coalesce(found, 0) / n::DOUBLE, 6) AS recall, round(coalesce(mrr, 0), 6) AS mrr,
+            round(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(n, 10) AS BIGINT) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))), 6) AS ndcg FROM total LEFT JOIN per USING (query_id)""",
+    "fuse_dispatch": f"""WITH {_lexical()}, {_semantic()} SELECT query_id, rank, doc_id, round(score, 6) AS score, 'rrf' AS strategy FROM {_rank(_RRF, 10)}
+        UNION ALL SELECT query_id, rank, doc_id, round(score, 6), 'weighted' FROM {_rank(_WEIGHTED, 10)}""",
+    "vector_dimensions": "SELECT vec_id AS doc_id, CAST(len(embedding) AS BIGINT) AS components FROM embeddings",
+    "concept_axes": """WITH a AS (SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'and') AS x, contains(lower(text), 'der') OR contains(lower(text), 'die') OR contains(lower(text), 'das') AS y FROM documents)
+        SELECT doc_id, CAST(x AS DOUBLE) AS axis_0, CAST(y AS DOUBLE) AS axis_1, CAST(NOT x AND NOT y AS DOUBLE) AS axis_2, 0.0::DOUBLE AS axis_3 FROM a""",
+    "blank_queries": f"""SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'query is empty' END AS error, true AS web_fallback, CASE WHEN item_id % 4 <> 0 THEN CAST(len({tokens(strip_tags('text'))}) AS BIGINT) ELSE 0 END AS n_tokens FROM benchmark""",
+    "robots_allowed": f"SELECT page_id, NOT (ends_with({host('url')}, 'example.org') AND starts_with({_path('url')}, '/fr/')) AS allowed FROM pages",
+    "documents_round_trip": f"SELECT language, category, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars, min(id) AS first_id FROM {DOCS} GROUP BY 1, 2",
+    "rejected_round_trip": f"SELECT reason, count(*) AS n, max(id) AS last_id FROM (SELECT id, {reason()} AS reason FROM {DOCS}) WHERE reason IS NOT NULL GROUP BY 1",
+    "category_sink": f"""WITH t AS (SELECT {_legacy_error()} AS error, {category('source', 'content')} AS category FROM {DOCS}),
+        known AS (SELECT CASE WHEN category IN ({', '.join(_s(c) for c in gate.STORED_CATEGORIES)}) THEN category ELSE 'unknown' END AS category FROM t WHERE error IS NULL)
+        SELECT category, NULL::VARCHAR AS error, count(*) AS n FROM known GROUP BY 1 UNION ALL SELECT NULL, error, count(*) FROM t WHERE error IS NOT NULL GROUP BY 2""",
+    "raw_round_trip": f"SELECT {host('url')} AS source, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1",
+    "dedupe_two_key_exact": f"""WITH RECURSIVE keyed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS turn, doc_id AS seq, source || '/' || (doc_id * 7919 % 97) AS u, {fingerprint('text')} AS f FROM documents),
+        walk AS (SELECT 0::BIGINT AS turn, NULL::BIGINT AS seq, NULL::VARCHAR AS reason, []::VARCHAR[] AS us, []::VARCHAR[] AS fs
+            UNION ALL SELECT k.turn, k.seq, v.reason, CASE WHEN v.reason IS NULL THEN list_append(us, k.u) ELSE us END, CASE WHEN v.reason IS NULL THEN list_append(fs, k.f) ELSE fs END
+            FROM walk JOIN keyed k ON k.turn = walk.turn + 1, LATERAL (SELECT CASE WHEN list_contains(us, k.u) THEN 'duplicate_url' WHEN list_contains(fs, k.f) THEN 'duplicate_content' END AS reason) v)
+        SELECT seq, reason FROM walk WHERE turn > 0""",
 }
-# The parser's text may differ from the regular expressions' in spaces alone.
-ORACLES["html_content_parser"] = f"SELECT page_id, {TITLE} AS title, replace({first_of()}, ' ', '') AS content_without_spaces FROM (SELECT page_id, html, {without_noise('html')} AS bare FROM pages)"
+ORACLES["html_content_parser"] = f"SELECT page_id, {TITLE} AS title, {first_of()} AS content FROM (SELECT page_id, html, {without_noise('html')} AS bare FROM pages)"
+
+
+def _answers(more: str) -> str:
+    """An engine's answers to the items, over the documents that ``more`` chooses."""
+    vec = _semantic().replace("FROM embeddings)", f"FROM embeddings JOIN (SELECT id FROM {DOCS}) ON id = vec_id)", 1)
+    near = vec.replace("FROM benchmark JOIN vec q ON q.vec_id = item_id, vec x)", "FROM benchmark JOIN (SELECT vec_id, embedding::DOUBLE[] AS v, greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS len FROM embeddings) q ON q.vec_id = item_id, vec x)")
+    ask = f"SELECT item_id AS query_id, unnest({tokens(strip_tags('text'))}) AS term FROM benchmark"
+    index = f"all_{_TITLED}, tok AS MATERIALIZED (SELECT * FROM all_tok WHERE {more})" + _STATS
+    return f"""WITH {_lexical(50, ask, index)}, {near} SELECT query_id, rank, doc_id, round(score, 6) AS score, title, source FROM {_rank(_WEIGHTED, 5)} JOIN {DOCS} AS d ON d.id = doc_id"""
+
+
+ORACLES["engine_round_trip"] = _answers("true")
+ORACLES["engine_append"] = _answers("doc_id < 150 OR len(tokens) > 0")
+_SEEDED = f"(SELECT {normal_url('url')} AS url FROM pages WHERE {in_domain('url', _s('example.org'))} AND contains(url, '/en/'))"
+_NEXT = f"SELECT DISTINCT target AS url FROM {EDGES} e JOIN {{0}} USING (url) WHERE {in_domain('target', _s('example.org'))}"
+ORACLES["crawl_hints"] = f"""WITH own AS MATERIALIZED (SELECT DISTINCT {normal_url('url')} AS url FROM pages), zero AS MATERIALIZED (SELECT DISTINCT url FROM {_SEEDED}),
+    one AS MATERIALIZED (SELECT * FROM ({_NEXT.format('zero')}) WHERE url NOT IN (SELECT url FROM zero)), two AS MATERIALIZED (SELECT * FROM ({_NEXT.format('one')}) WHERE url NOT IN (SELECT url FROM zero UNION SELECT url FROM one)),
+    found AS (SELECT 0::BIGINT AS depth, url FROM zero UNION ALL SELECT 1, url FROM one UNION ALL SELECT 2, url FROM two)
+    SELECT depth, 'en' AS language_hint, 'news' AS category_hint, count(*) AS n, min(url) AS first_url FROM found WHERE url IN (SELECT url FROM own) GROUP BY depth"""
+ORACLES["stream_ingest"] = f"SELECT id, coalesce(reason, 'accepted') AS verdict FROM ({ORACLES['full_gate']})"

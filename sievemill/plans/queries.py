@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
@@ -33,8 +33,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
+    return as_documents(table(spark, d, "documents"))
+
+
+def as_documents(t: DataFrame) -> DataFrame:
     """documents as (id, title, content, source, url, category, language)."""
-    t = table(spark, d, "documents")
     return t.select(
         F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"), "source",
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("doc_id")).alias("url"),
@@ -190,7 +193,7 @@ def html_content_legacy(spark, d):
 @query
 def html_content_parser(spark, d):
     t = table(spark, d, "pages").select("page_id", html.parse(F.col("html"), urls.host(F.col("url"))).alias("p"))
-    return t.select("page_id", "p.title", F.regexp_replace("p.content", " ", "").alias("content_without_spaces"))
+    return t.select("page_id", "p.title", "p.content")
 
 
 @query
@@ -239,7 +242,7 @@ def dedupe_first_wins(spark, d):
 def dedupe_two_key_exact(spark, d):
     """Urls shared by up to twenty documents of a source make both keys collide."""
     t = table(spark, d, "documents")
-    keyed = t.select(F.col("doc_id").alias("seq"), F.concat("source", F.lit("/"), F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(97))).alias("url_key"), tx.fingerprint(F.col("text")).alias("fp"))
+    keyed = t.select(F.col("doc_id").alias("seq"), F.concat("source", F.lit("/"), F.col("doc_id") * 7919 % 97).alias("url_key"), tx.fingerprint(F.col("text")).alias("fp"))
     return gate.two_keys(keyed).select("seq", "reason")
 
 
@@ -292,10 +295,16 @@ def indexability_filter(spark, d):
 
 @query
 def corpus_metrics(spark, d):
-    checked = docs(spark, d).withColumn("reason", gate.reason())
-    lost = checked.filter("reason IS NOT NULL").count()
-    m = corpus.metrics(checked.filter("reason IS NULL"), lost)
-    return m.select("total_valid_documents", "total_rejected_documents", "validity_ratio", "average_content_length_chars")
+    """All totals in a row; maps and examples as text, a minute as the time taken."""
+    m = corpus.judged_metrics(docs(spark, d).withColumn("valid", gate.reason().isNull()), 60.0)
+
+    def text(c: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+    return m.select(
+        "total_valid_documents", "total_rejected_documents", "validity_ratio", "average_content_length_chars", "docs_per_minute", *[text(f"distribution_by_{k}").alias(f"by_{k}") for k in ("language", "source", "category")],
+        F.array_join(F.transform("examples", lambda e: F.concat_ws("|", e["id"].cast("string"), e["title"], e["url"])), ";").alias("examples"),
+    )
 
 
 @query
@@ -420,9 +429,145 @@ def fallback_flag(spark, d):
 
 @query
 def eval_at_k(spark, d):
-    """Items' passages planted in documents: a document is relevant if it holds the item's text."""
-    hits = lexical_lane(spark, d, 10)
-    joined = hits.join(asked(spark, d).select("query_id", "raw"), "query_id").join(docs(spark, d).select(F.col("id").alias("doc_id"), "content"), "doc_id")
-    rel = joined.filter(F.contains("content", F.col("raw"))).select("query_id", "doc_id")
+    """Items' passages planted in documents: any document that holds the item's text is relevant.
+
+    It has the item's words in a row, so runs of three words (not the outermost, which may be parts of
+    longer ones) lead from items to the documents that are looked at.
+    """
+    words = settled(tokenized(spark, d), "tokens")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - 2, F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, 3), " "))
+    keyed = words.select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    ask = asked(spark, d).withColumn("run", F.array_join(F.slice("tokens", 2, 3), " "))
+    near = keyed.join(ask.select("query_id", "raw", "run"), "run").select("query_id", "raw", "doc_id")
+    rel = near.join(docs(spark, d).select(F.col("id").alias("doc_id"), "content"), "doc_id").filter(F.contains("content", F.col("raw"))).select("query_id", "doc_id")
+    hits = bm25.search(ask.drop("run"), bm25.build(words), 10)
     e = retrieve.evaluate(hits, rel, 10)
     return e.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
+
+
+@query
+def fuse_dispatch(spark, d):
+    """Both strategies by name, with the default number of results."""
+    lanes = settled(lexical_lane(spark, d), "lexical"), settled(semantic_lane(spark, d), "semantic")
+    parts = [_hits(fusion.rank_results(fusion.fuse(*lanes, name), 0)).withColumn("strategy", F.lit(name)) for name in ("rrf", "weighted")]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def vector_dimensions(spark, d):
+    checked = vector.check_dimension(vectors(spark, d), 64)
+    return checked.select("doc_id", F.size("embedding").cast("long").alias("components"))
+
+
+@query
+def concept_axes(spark, d):
+    """The axes that an encoder with two groups of keywords sets for each document."""
+    e = vector.ConceptEncoder([("the", "and"), ("der", "die", "das")], 8).encode(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", e.alias("e")).select("doc_id", *[F.element_at("e", k + 1).alias(f"axis_{k}") for k in range(4)])
+
+
+@query
+def blank_queries(spark, d):
+    """Every fourth item asks nothing: it has no results, and the response says why."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, F.lit(" \t ")).otherwise(F.col("text")).alias("raw"))
+    ready = retrieve.preprocess(q).select("query_id", F.size("tokens").cast("long").alias("n_tokens"))
+    none = spark.createDataFrame([], "query_id long, doc_id long, score double, rank int, title string, snippet string, url string")
+    said = retrieve.respond(none, retrieve.needs_fallback(none, q), q)
+    return said.join(ready, "query_id", "left").select("query_id", "error", "web_fallback", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+
+
+@query
+def robots_allowed(spark, d):
+    """Hosts under example.org forbid their French pages."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    hosts = pages.select(urls.host(F.col("url")).alias("host")).distinct().filter(F.endswith("host", F.lit("example.org")))
+    rules = hosts.withColumn("robots", F.lit("User-agent: *\nDisallow: /fr/"))
+    return urls.robots_allowed(pages, rules).select("page_id", "allowed")
+
+
+# --- sinks and sources, through the shared folder
+
+
+@query
+def documents_round_trip(spark, d):
+    """The partitioned sink, written and read back."""
+    at = path(spark, "documents")
+    tables.write_documents(docs(spark, d), at)
+    back = spark.read.parquet(at)
+    return back.groupBy("language", "category").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.min("id").alias("first_id"))
+
+
+@query
+def rejected_round_trip(spark, d):
+    """Two runs append their rejects."""
+    at, checked = path(spark, "rejected"), docs(spark, d).withColumn("reason", gate.reason()).filter("reason IS NOT NULL")
+    for run in (0, 1):
+        tables.write_rejected(checked.filter(F.col("id") % 2 == run), at)
+    return spark.read.parquet(at).groupBy("reason").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
+@query
+def category_sink(spark, d):
+    """The older sink: valid documents by category, others with their error."""
+    valid, invalid = path(spark, "valid"), path(spark, "invalid")
+    tables.write_by_category(gate.legacy_enrich(docs(spark, d)), valid, invalid, "parquet")
+    good = spark.read.parquet(valid).groupBy("category").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string"))
+    bad = spark.read.parquet(invalid).groupBy(F.col("rejection_reason").alias("error")).agg(F.count("*").alias("n")).withColumn("category", F.lit(None).cast("string"))
+    return good.unionByName(bad).select("category", "error", "n")
+
+
+@query
+def raw_round_trip(spark, d):
+    at = path(spark, "raw")
+    tables.write_raw(table(spark, d, "pages").select("url", "html", urls.host(F.col("url")).alias("source")), at)
+    return spark.read.parquet(at).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
+
+
+def _engine(spark: SparkSession, d: str, held: DataFrame) -> retrieve.Engine:
+    own = vectors(spark, d).join(held.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return retrieve.Engine.build(held, vectors=own)
+
+
+def _ask(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d).drop("tokens").join(asked_vectors(spark, d), "query_id", "left")
+
+
+@query
+def engine_round_trip(spark, d):
+    """An engine saved and loaded answers the items, with weighted fusion."""
+    at = path(spark, "index")
+    _engine(spark, d, docs(spark, d)).save(at)
+    out = retrieve.Engine.load(spark, at).retrieve(_ask(spark, d), 5, "weighted")
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "title", "source")
+
+
+@query
+def engine_append(spark, d):
+    """An engine of the first documents, with the others added, answers like one of all."""
+    every = docs(spark, d)
+    rest = every.filter("id >= 150")
+    own = vectors(spark, d).filter("doc_id >= 150").join(rest.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    out = _engine(spark, d, every.filter("id < 150")).add(rest, own).retrieve(_ask(spark, d), 5, "weighted")
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "title", "source")
+
+
+@query
+def crawl_hints(spark, d):
+    """Breadth first from all English pages under example.org, inside their domain."""
+    pages = table(spark, d, "pages").select("url", "html")
+    seeds = pages.filter(urls.in_domain(F.col("url"), F.lit("example.org")) & F.contains("url", F.lit("/en/"))).select("url")
+    hints = [F.lit("en").alias("language_hint"), urls.host(F.col("url")).alias("source_name"), F.lit("news").alias("category_hint"), F.array(F.lit("example.org")).alias("allowed_domains")]
+    out = corpus.crawl(pages, seeds.select("url", *hints), 2)
+    return out.groupBy("depth", "language_hint", "category_hint").agg(F.countDistinct("url").alias("n"), F.min("url").alias("first_url"))
+
+
+@query
+def stream_ingest(spark, d):
+    """Documents as a stream pass the gate into a corpus."""
+    from ..streaming.ingest import ingest
+
+    at = path(spark, "ingest")
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/documents.parquet").schema).parquet(f"{d}/documents.parque*")
+    ingest(as_documents(source), f"{at}/corpus", f"{at}/rejects", f"{at}/checkpoint").awaitTermination()
+    kept = spark.read.parquet(f"{at}/corpus").select("id", F.lit("accepted").alias("verdict"))
+    return kept.unionByName(spark.read.parquet(f"{at}/rejects").select("id", F.col("reason").alias("verdict")))
