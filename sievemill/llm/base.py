@@ -143,13 +143,13 @@ def smaller_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[Non
 
 def give_back() -> None:
     """Hand freed memory back to the system, where the C library can: idle workers hold on to it
-    otherwise.  From the first call on, blocks of a megabyte are returned as soon as they are freed."""
+    otherwise.  From the first call on, blocks of four megabytes are returned as soon as they are freed."""
     import ctypes
 
     pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL("libc.so.6")
-        worker_cache("mmap_threshold", lambda: libc.mallopt(-3, 1 << 20))
+        worker_cache("mmap_threshold", lambda: libc.mallopt(-3, 4 << 20))
         libc.malloc_trim(0)
     except (OSError, AttributeError):
         pass
@@ -173,6 +173,7 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarra
 
 def batches_of(it: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
+    turn = 0
     for batch in it:
         n = batch.num_rows
         if not n:
@@ -184,8 +185,9 @@ def batches_of(it: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) ->
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
-            give_back()
-            at = to
+            at, turn = to, turn + 1
+            if turn % 8 == 0:
+                give_back()
     give_back()
 
 
@@ -219,8 +221,23 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def split_words(text: pa.Array, lower: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row, A-Z lower-cased if asked.
+def _tail_starts(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: bytes) -> np.ndarray:
+    """Where the marks begin that end a word, of the words in which a letter or digit comes before them."""
+    kind = np.zeros(256, dtype=bool)
+    kind[list(marks)] = True
+    last = np.maximum.accumulate(np.where(kind[b], -1, np.arange(len(b))))  # the last byte that is no mark
+    tail = last[ends - 1] + 1
+    inside = (tail < ends) & (tail > starts)
+    tail, starts = tail[inside], starts[inside]
+    alnum = np.array([chr(x).isalnum() and x < 128 for x in range(256)])
+    one, two = b[tail - 1], b[np.maximum(tail - 2, 0)]
+    latin = (tail - 2 >= starts) & (one >= 0x80) & (two >= 0xC3) & (two <= 0xC5) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))) & ~((two == 0xC4) & (one == 0xB0))  # signs; an I with a dot that lower case makes a mark
+    return tail[alnum[one] | latin]
+
+
+def split_words(text: pa.Array, lower: bool = True, marks: bytes = b"") -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each row, A-Z lower-cased if asked; with ``marks``, those that
+    end a word after a (Latin) letter or digit are a word of their own.
 
     Words are numbered through a 64-bit polynomial hash of their bytes, computed over the whole
     buffer at once, so that Python touches each distinct word of a batch once only.
@@ -256,6 +273,9 @@ def split_words(text: pa.Array, lower: bool = True) -> Words:
         after[cuts - 1] = False
         s, e = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
         if len(s):
+            if marks:
+                tail = _tail_starts(b, s, e, marks)
+                s, e = np.sort(np.concatenate([s, tail])), np.sort(np.concatenate([e, tail]))
             if len(b) <= _CHUNK:
                 c = np.zeros(len(b) + 1, dtype=np.uint64)
                 np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=c[1:])

@@ -284,7 +284,7 @@ def told_runs(ids: list, htmls: list[str | None]) -> tuple[np.ndarray, np.ndarra
     all and outside articles, and the array's pages."""
     s = streams(ids, htmls)
     seen, outside = run_pages(s.tokens, s.page, outside=s.outside)
-    tell = (outside > 0) | (seen > max(1.0, TELLING * s.n))
+    tell = (outside > 0) | (seen > TELLING * s.n)
     hashes, first = np.unique(run_hashes(s)[tell], return_index=True)
     return hashes, seen[tell][first], outside[tell][first], s.n
 

@@ -19,7 +19,7 @@ empty table gives an empty result; other columns, whatever their names, are not
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ COMMON = 4
 #: places along a cluster's line.
 DIMENSIONS, SAMPLE, MOST_CLUSTERS, PLACES = 16, 8192, 4096, 64
 #: Strings after which a worker begins another generation of those it remembers.
-REMEMBERED = 60_000
+REMEMBERED = 300_000
 _MARKS = b".,;:!?#$%&*"
 PIECE_SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -48,9 +48,11 @@ PIECE_SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens l
 class WordTokens:
     """Ids of white-space separated words by a tokenizer whose words don't reach over white space.
 
-    The tokenizer lower-cases and parts letters from marks, so a word of letters alone with marks
-    after it has the ids of its lower-cased letters and of the marks.  A worker remembers the ids of
-    what it met in its last ``REMEMBERED`` strings or more, in two generations.
+    The tokenizer lower-cases and parts letters and digits from marks, so marks after these are tokenized
+    apart.  Letters alone, and marks alone, are a single word of the tokenizer's model, which is asked
+    directly; any other word goes through the whole tokenizer.  (Lower-cased, a dotted capital I is no
+    letters alone, and goes there, too.)  A worker remembers the ids of what it met in its last ``REMEMBERED`` strings or more, in two
+    generations.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,53 +62,42 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            texts = [w.decode() for w in part]
-            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
-            starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            cuts = (4 * np.searchsorted(np.searchsorted(ends, starts, side="right"), np.arange(len(part) + 1))).tolist()
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            self.young.update(zip(part, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
+        self.model = self.tokenizer.model
+        # the model's letters for bytes: printable ones stand for themselves, the others follow from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in own]
+        self.letters = {x: x for x in own} | {x: 256 + k for k, x in enumerate(rest)}
+
+    def _learn(self, part: bytes) -> bytes:
+        """Ids of a word, or of the marks after one."""
+        text = None
+        if part.isalpha() or not part.strip(_MARKS):
+            text = part.decode().lower()
+        elif max(part) < 0xC6 and (lower := part.decode().lower()).isalpha():  # Latin letters
+            text = lower.encode().decode("latin-1").translate(self.letters)
+        if text is not None:
+            return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def of(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and how many each has."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        stems, tails = [], []
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if stem.isalpha() or (stem and not stem.isascii() and stem.decode().isalpha() and max(stem) < 0xC6):
-                stems.append(stem.lower())
-                tails.append(w[len(stem) :])
-            else:
-                stems.append(w)
-                tails.append(b"")
-        young, old = self.young, self.old
-        known = {b"": b""}
-        for part in (stems, tails):
-            for w in set(part):
-                ids = young.get(w)
+        young, old, learn = self.young, self.old, self._learn
+        found = list(map(young.get, parts))
+        for k, ids in enumerate(found):
+            if ids is None:
+                part = parts[k]
+                ids = old.get(part)
                 if ids is None:
-                    ids = old.get(w)
-                    if ids is not None:
-                        young[w] = ids
-                known[w] = ids
-        known[b""] = b""
-        new = [w for w, ids in known.items() if ids is None]
-        self._learn(new)
-        for w in new:
-            known[w] = young[w]
-        found = [known[a] + known[b] for a, b in zip(stems, tails)]
+                    ids = learn(part)
+                young[part] = found[k] = ids
         return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
 
 
 def tokenize(text: pa.Array, tokens: WordTokens, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in a row, each row's followed by ``end``, and the bounds of the rows."""
-    w = split_words(text, lower=False)
+    w = split_words(text, lower=False, marks=_MARKS)
     flat, sizes = tokens.of(w.unique)
     flat, sizes = np.append(flat, np.uint32(end)), np.append(sizes, 1)
     starts = np.cumsum(sizes) - sizes
@@ -123,7 +114,7 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
         tokens = worker_cache("tokens:" + path, lambda: WordTokens(path))
         seen = np.zeros(tokens.tokenizer.get_vocab_size(), dtype="<i8")
         there, kind = np.zeros((64, len(seen)), np.uint8), None
-        for batch in batches_of(batches, "text"):
+        for batch in batches_of(batches, "text", 3 << 20):
             ids, bounds = tokenize(batch.column(1), tokens)
             cut = bounds.tolist()
             for at in range(0, batch.num_rows, len(there)):
@@ -287,11 +278,19 @@ class Cells:
         self.centroids = np.zeros((1, DIMENSIONS))
 
     def project(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Unit vectors of documents (their ids with the end id); of one that has no other, zero."""
+        """Unit vectors of documents (their ids with the end id, which does not count); zero of an empty one."""
         out = np.zeros((len(ids), DIMENSIONS), np.float32)
-        for k, x in enumerate(ids):
-            for at in range(0, len(x) - 1, 1 << 16):
-                out[k] += self.rows[x[at : min(at + (1 << 16), len(x) - 1)]].sum(axis=0)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(ids):  # documents of some ten thousand ids at a time, or one
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 15), side="right")))
+            rows = self.rows[np.concatenate(ids[at:to])]
+            out[at:to] = np.add.reduceat(rows, ends[at:to] - sizes[at:to] - (ends[at] - sizes[at]), axis=0)
+            at = to
+        out -= self.rows[np.fromiter((x[-1] for x in ids), dtype=np.int64, count=len(ids))]
+        full = sizes > 1
+        out[~full] = 0
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
