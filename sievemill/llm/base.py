@@ -106,8 +106,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, values: list, rows: int) -
     """
     ids = labels.filter(F.col("label").isin(values)).groupBy("doc_id").agg(F.min("label").alias("label"))
     ids = ids.join(docs.select("doc_id"), "doc_id", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("turn", turn).filter(F.col("turn") <= rows).drop("turn")
+    # each label's ids below a threshold of their hash are somewhat more than ``rows``; the smallest of them are taken
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    enough = ids.groupBy("label").agg((F.lit(float(1 << 30)) * (1.3 * rows + 200) / F.count("*")).alias("enough"))
+    few = ids.join(F.broadcast(enough), "label").filter(place < F.col("enough"))
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(place, "doc_id"))
+    chosen = few.withColumn("turn", turn).filter(F.col("turn") <= rows).select("doc_id", "label")
     # an id that several rows have is learned from once, with the first of their texts
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
@@ -275,7 +279,7 @@ def split_words(text: pa.Array, lower: bool = True, marks: bytes = b"") -> Words
         if len(s):
             if marks:
                 tail = _tail_starts(b, s, e, marks)
-                s, e = np.sort(np.concatenate([s, tail])), np.sort(np.concatenate([e, tail]))
+                s, e = (np.sort(np.concatenate([x, tail]), kind="stable") for x in (s, e))  # two ascending runs
             if len(b) <= _CHUNK:
                 c = np.zeros(len(b) + 1, dtype=np.uint64)
                 np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=c[1:])

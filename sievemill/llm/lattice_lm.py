@@ -44,10 +44,28 @@ DISCOUNT = 0.7
 ZIPF = 10.0
 #: Share of the vocabulary's own probabilities in the pieces'; the rest is fitted.
 PRIOR = 0.5
+#: Rounds of fitting.
+FITS = 2
 #: The probability that all byte pieces share at first.
 BYTES_SHARE = 1e-3
 
 
+#: Bytes of a word from which it has a lattice of its own; cells of a matrix of words, about.
+LONG, _CELLS = 128, 1 << 20
+_FACTOR, _FILTER = np.uint64(0x9E3779B97F4A7C55), 20
+
+
+def _hash(piece: bytes) -> int:
+    h = 0
+    for x in piece:
+        h = (h * int(_FACTOR) + x + 1) & ((1 << 64) - 1)
+    return h
+
+
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - _FILTER)).astype(np.int64)
+
+
 class Lattice:
     """Pieces (bytes, a space for the mark of a word's start) with natural log probabilities."""
 
@@ -61,6 +79,13 @@ class Lattice:
         self.longest: dict[bytes, int] = {}
         for p in self.pieces:
             self.longest[p[:2]] = max(self.longest.get(p[:2], 0), len(p))
+        several = [k for k, p in enumerate(self.pieces) if len(p) > 1]
+        hashes = np.array([_hash(self.pieces[k]) for k in several], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array(several, dtype=np.int32)[order]
+        self.most = max((len(self.pieces[k]) for k in several), default=1)
+        self.maybe = np.zeros(1 << _FILTER, dtype=bool)  # most parts of words are no pieces: a first test
+        self.maybe[_place(self.hashes)] = True
 
     @classmethod
     def from_vocabulary(cls, pieces: list[str], scores: list[float]) -> Lattice:
@@ -128,6 +153,92 @@ class Lattice:
             for j, k, lp in edges[i]:
                 total[k] += count * math.exp(alpha[i] + lp + beta[j] - z)
 
+    # The same for many words of one length at once, as rows of a matrix of their bytes.
+
+    def _pieces(self, b: np.ndarray) -> list[np.ndarray]:
+        """For each length l (from 1), the piece that each row has at each place, or -1."""
+        m, n = b.shape
+        out, h = [b.astype(np.int32)], b.astype(np.uint64) + np.uint64(1)
+        for size in range(2, min(n, self.most) + 1):
+            h = h[:, : n - size + 1] * _FACTOR + (b[:, size - 1 :].astype(np.uint64) + np.uint64(1))
+            found = np.full(h.shape, -1, np.int32)
+            at = np.flatnonzero(self.maybe[_place(h)].ravel())
+            if len(at):
+                asked = h.ravel()[at]
+                near = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+                found.ravel()[at] = np.where(self.hashes[near] == asked, self.numbers[near], -1)
+            out.append(found)
+        return out
+
+    def _weights(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        lp = np.append(self.logp, -np.inf)
+        return [lp[k] for k in pieces]
+
+    def _forward(self, weights: list[np.ndarray], m: int, n: int) -> np.ndarray:
+        alpha = np.full((n + 1, m), -np.inf)
+        alpha[0] = 0
+        for j in range(1, n + 1):
+            parts = np.stack([alpha[j - size] + weights[size - 1][:, j - size] for size in range(1, min(j, len(weights)) + 1)])
+            top = parts.max(axis=0)
+            alpha[j] = top + np.log(np.exp(parts - top).sum(axis=0))
+        return alpha
+
+    def log_probabilities(self, words: pa.Array) -> np.ndarray:
+        """``log_probability`` of each word of a binary column."""
+        out = np.zeros(len(words))
+        for at, b in same_lengths(words):
+            if b is None:
+                out[at] = [self.log_probability(w) for w in words.take(pa.array(at)).to_pylist()]
+            else:
+                out[at] = self._forward(self._weights(self._pieces(b)), *b.shape)[-1]
+        return out
+
+    def expect_all(self, words: pa.Array, total: np.ndarray) -> None:
+        """``expect`` for each word of a binary column, once."""
+        for at, b in same_lengths(words):
+            if b is None:
+                for w in words.take(pa.array(at)).to_pylist():
+                    self.expect(w, 1.0, total)
+                continue
+            m, n = b.shape
+            pieces = self._pieces(b)
+            weights = self._weights(pieces)
+            alpha = self._forward(weights, m, n)
+            beta = np.full((n + 1, m), -np.inf)
+            beta[n] = 0
+            for i in range(n - 1, -1, -1):
+                parts = np.stack([beta[i + size] + weights[size - 1][:, i] for size in range(1, min(n - i, len(weights)) + 1)])
+                top = parts.max(axis=0)
+                beta[i] = top + np.log(np.exp(parts - top).sum(axis=0))
+            for size, (k, w) in enumerate(zip(pieces, weights), 1):
+                row, place = np.nonzero(k >= 0)
+                share = np.exp(alpha[place, row] + w[row, place] + beta[place + size, row] - alpha[n][row])
+                total += np.bincount(k[row, place], weights=share, minlength=len(total))
+
+
+def same_lengths(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Places of words of one length, and the matrix of their bytes after a space; some thousand at a
+    time.  Words of over ``LONG`` bytes come without a matrix."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    n = len(words)
+    if not n:
+        return
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+    for group in np.split(order, cuts):
+        size = int(sizes[group[0]])
+        if size > LONG:
+            yield group, None
+            continue
+        step = max(1, _CELLS // ((size + 1) * min(size + 1, 24)))
+        for at in range(0, len(group), step):
+            own = group[at : at + step]
+            yield own, np.concatenate([np.full((len(own), 1), 32, np.uint8), data[offsets[own][:, None] + np.arange(size)]], axis=1)
+
 
 def read_vocabulary(path: str) -> Lattice:
     """A sentencepiece model's pieces and scores; its control and byte pieces are left out."""
@@ -159,8 +270,7 @@ def _expected(words: DataFrame, lattice: Lattice) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = Lattice(*held()), np.zeros(n)
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                model.expect(word, 1.0, total)
+            model.expect_all(batch.column(0), total)
         yield pa.record_batch({"ids": pa.array([np.rint(total * 1e3).astype("<i8").tobytes()], pa.binary())})
 
     found = _sum_vectors(persist(words.filter("c > 0").select("word").mapInArrow(run, "ids binary"), "expected"))
@@ -175,7 +285,7 @@ def _with_lattice(words: DataFrame, lattice: Lattice, train_tokens: int, spelt:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Lattice(*held())
         for batch in batches:
-            pieces = np.array([model.log_probability(x) for x in batch.column(0).to_pylist()], dtype=float)
+            pieces = model.log_probabilities(batch.column(0))
             pieces += math.log(spelt * last / (1 - last))
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(batch.column(1).to_numpy() - DISCOUNT, 0) / max(1, train_tokens))
@@ -195,10 +305,12 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str) -> DataFrame:
     train_tokens, distinct = row[0] + n_docs, row[1] + (n_docs > 0)
 
     lattice = read_vocabulary(vocabulary_path)
-    counts = _expected(words, lattice)
-    total = counts.sum()
-    if total > 0:
-        lattice.logp = np.log((1 - PRIOR) * counts / total + PRIOR * np.exp(lattice.logp))
+    own, total = np.exp(lattice.logp), 0.0
+    for _ in range(FITS):
+        counts = _expected(words, lattice)
+        total = counts.sum()
+        if total > 0:
+            lattice = Lattice(lattice.pieces, np.log((1 - PRIOR) * counts / total + PRIOR * own))
     last = min(0.9, row[1] / total) if total > 0 else 0.3
     spelt = DISCOUNT * row[1] / train_tokens if row[1] else 0.5
     end = n_docs / train_tokens if n_docs else 0.5

@@ -35,7 +35,7 @@ BUCKETS, STEPS = 1 << 14, 200
 #: The labelled sample: rows of each domain at most; and how many domains there may be.
 SAMPLE_ROWS, MOST_DOMAINS = 800, 256
 #: Rounds go on until totals miss the targets by this share of all tokens at most, or change by a
-#: hundredth of it; rounds after which the rates so far are written, and after which a fit that still moves is an error.
+#: tenth of it; rounds after which the rates so far are written, and after which a fit that still moves is an error.
 CLOSE, WRITTEN_AFTER, MOST_ROUNDS = 1e-4, 8, 2000
 #: A miss by more than this share of all tokens is told by a warning.
 TOLD = 1e-3
@@ -189,7 +189,7 @@ def solve(members: DataFrame, targets: np.ndarray, most: float) -> tuple[DataFra
         move = sum((F.col(f"p_{j}") * F.lit(float(step[j])) for j in range(k)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - move))
         before, totals = totals, np.array([float(x) for x in members.agg(*[F.sum(a * rate) for a in amount]).first()])
-        if np.abs(totals - before).max() <= CLOSE * scale / 100:
+        if np.abs(totals - before).max() <= CLOSE * scale / 10:
             if np.abs(totals - targets).max() > TOLD * scale:
                 warnings.warn(f"the nearest mixture misses its targets by {np.abs(totals - targets).max() / scale:.2%} of all tokens", stacklevel=3)
             break

@@ -3,8 +3,8 @@
 Documents are tokenized once, each distinct word of a batch once, and kept as a scratch table.
 Token counts over all documents give BM25's document frequencies and mean length.  Documents are
 dealt to shards of about ``SHARD_TOKENS`` tokens by what they say: a random projection of their
-inverse-frequency weighted tokens puts them into a cluster, and a place along a line inside it, and
-shards are runs of these cells, so that a document's neighbours, and above all its copies, are in its
+tokens, rarer ones (by their rank in the vocabulary) weighing more, is kept with them and puts them
+into a cluster, and a place along a line inside it, and shards are runs of these cells, so that a document's neighbours, and above all its copies, are in its
 own shard however many shards there are.  Each shard has its own inverted index.  A window's seed (the
 document that begins it) asks the index, with all of its terms, for its unused neighbours, which fill
 the window best first; a document cut at the window's end seeds the next one.  What is left at the
@@ -18,10 +18,12 @@ empty table gives an empty result; other columns, whatever their names, are not
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +78,10 @@ class WordTokens:
         elif max(part) < 0xC6 and (lower := part.decode().lower()).isalpha():  # Latin letters
             text = lower.encode().decode("latin-1").translate(self.letters)
         if text is not None:
-            return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
-        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(text)]
+        else:
+            ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts in a row, and how many each has."""
@@ -108,10 +112,11 @@ def tokenize(text: pa.Array, tokens: WordTokens, end: int = END) -> tuple[np.nda
 
 
 def _tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, tokens, ids) of every row, and one row a task whose ids are its document frequencies."""
+    """(doc_id, tokens, ids, vec) of every row, and one row a task whose ids are its document frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_cache("tokens:" + path, lambda: WordTokens(path))
+        weights = worker_cache("weights:" + path, lambda: projection(tokens.tokenizer.get_vocab_size()))
         seen = np.zeros(tokens.tokenizer.get_vocab_size(), dtype="<i8")
         there, kind = np.zeros((64, len(seen)), np.uint8), None
         for batch in batches_of(batches, "text", 3 << 20):
@@ -123,15 +128,41 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
                     there[k, ids[cut[at + k] : cut[at + k + 1]]] = 1
                 seen += there[:rows].sum(axis=0, dtype=np.uint8)
                 there[:rows] = 0
-            small = ids.astype("<u2") if len(seen) <= 1 << 16 else ids.astype("<u4")
-            kind = batch.column(0).type
-            yield pa.record_batch({"doc_id": batch.column(0), "tokens": np.diff(bounds), "ids": pa.array([small[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+            small, kind = ids.astype("<u2") if len(seen) <= 1 << 16 else ids.astype("<u4"), batch.column(0).type
+            yield pa.record_batch({"doc_id": batch.column(0), "tokens": np.diff(bounds), "ids": _binary(small, bounds), "vec": _binary(project(weights, ids, bounds), np.arange(len(bounds)) * DIMENSIONS)})
         give_back()
         if kind is not None:
-            yield pa.record_batch({"doc_id": pa.nulls(1, kind), "tokens": np.array([-1]), "ids": pa.array([seen.tobytes()], pa.binary())})
+            yield pa.record_batch({"doc_id": pa.nulls(1, kind), "tokens": np.array([-1]), "ids": pa.array([seen.tobytes()], pa.binary()), "vec": pa.nulls(1, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, ids binary, vec binary")
+
+
+def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column whose rows are the slices of ``flat`` between the bounds."""
+    data = np.ascontiguousarray(flat)
+    offsets = (bounds * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def projection(terms: int, seed: int = 13) -> np.ndarray:
+    """A random vector of each token, longer the further back its rank in the vocabulary is."""
+    r = np.random.default_rng(seed)
+    return (r.standard_normal((terms, DIMENSIONS)) * np.log1p(np.arange(terms) / 64)[:, None]).astype(np.float32)
+
+
+def project(weights: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Unit vectors of documents (their ids with the end id, which does not count); zero of an empty one."""
+    sizes = np.diff(bounds)
+    out = np.zeros((len(sizes), DIMENSIONS), np.float32)
+    at = 0
+    while at < len(sizes):  # documents of some ten thousand ids at a time, or one
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 15), side="right")) - 1)
+        out[at:to] = np.add.reduceat(weights[ids[bounds[at] : bounds[to]]], bounds[at:to] - bounds[at], axis=0)
+        at = to
+    out -= weights[ids[bounds[1:] - 1]]
+    out[sizes <= 1] = 0
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def _sum_vectors(parts: DataFrame) -> np.ndarray:
@@ -270,51 +301,32 @@ def _pack_shard(idf: np.ndarray, mean_length: float, window: int, wide: str):
 class Cells:
     """Where documents are put by what they say: a cluster, and a place along a line inside it."""
 
-    def __init__(self, idf: np.ndarray, seed: int = 13) -> None:
-        r = np.random.default_rng(seed)
-        self.rows = (r.standard_normal((len(idf), DIMENSIONS)) * idf[:, None]).astype(np.float32)
-        self.line = r.standard_normal(DIMENSIONS).astype(np.float32)
-        self.line /= np.linalg.norm(self.line)
-        self.centroids = np.zeros((1, DIMENSIONS))
-
-    def project(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Unit vectors of documents (their ids with the end id, which does not count); zero of an empty one."""
-        out = np.zeros((len(ids), DIMENSIONS), np.float32)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < len(ids):  # documents of some ten thousand ids at a time, or one
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 15), side="right")))
-            rows = self.rows[np.concatenate(ids[at:to])]
-            out[at:to] = np.add.reduceat(rows, ends[at:to] - sizes[at:to] - (ends[at] - sizes[at]), axis=0)
-            at = to
-        out -= self.rows[np.fromiter((x[-1] for x in ids), dtype=np.int64, count=len(ids))]
-        full = sizes > 1
-        out[~full] = 0
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    def __init__(self, centroids: np.ndarray, seed: int = 17) -> None:
+        line = np.random.default_rng(seed).standard_normal(DIMENSIONS)
+        self.line, self.centroids = line / np.linalg.norm(line), centroids
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
         """cluster * PLACES + place."""
-        near = distances(vectors.astype(np.float64), self.centroids).argmin(axis=1)
+        near = distances(vectors, self.centroids).argmin(axis=1)
         along = (vectors - self.centroids[near]) @ self.line  # between -2 and 2, most of them near 0
         place = np.clip((np.arctan(4 * along) / np.pi + 0.5) * PLACES, 0, PLACES - 1).astype(np.int64)
         return near * PLACES + place
 
 
-def _ids(column: pa.Array, wide: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=wide) for x in column.to_pylist()]
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
 
 
-def _deal(texts: DataFrame, idf: np.ndarray, total: int, shard_tokens: int, wide: str) -> DataFrame:
+def _deal(texts: DataFrame, n: int, total: int, shard_tokens: int) -> DataFrame:
     """(shard, doc_id, tokens, ids) of every row.
 
     The tokens of each cell are counted; in order of cells, shards take as many as they hold.  A cell
     that holds more than a shard (many copies) is dealt to several by the rows' places in the table.
     """
-    spark, cells = texts.sparkSession, Cells(idf)
-    sample = texts.select("ids").sample(min(1.0, 4 * SAMPLE / max(1, texts.count())), 7).limit(SAMPLE).toArrow()["ids"]
+    spark, cells = texts.sparkSession, Cells(np.zeros((1, DIMENSIONS)))
+    sample = texts.select("vec").sample(min(1.0, 4 * SAMPLE / max(1, n)), 7).limit(SAMPLE).toArrow()["vec"]
     if len(sample):
-        cells.centroids = kmeans(cells.project(_ids(sample, wide)).astype(np.float64), int(np.clip(2 * total // shard_tokens, 1, MOST_CLUSTERS)))
+        cells.centroids = kmeans(_vectors(sample), int(np.clip(2 * total // shard_tokens, 1, MOST_CLUSTERS)))
     held = ship(spark, cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,11 +334,11 @@ def _deal(texts: DataFrame, idf: np.ndarray, total: int, shard_tokens: int, wide
         size = np.zeros(len(own.centroids) * PLACES, np.int64)
         for batch in batches:
             if batch.num_rows:
-                np.add.at(size, own.of(own.project(_ids(batch.column(0), wide))), batch.column(1).to_numpy())
+                np.add.at(size, own.of(_vectors(batch.column(0))), batch.column(1).to_numpy())
         used = np.flatnonzero(size)
         yield pa.record_batch({"cell": used, "tokens": size[used]})
 
-    found = texts.select("ids", "tokens").mapInArrow(count, "cell long, tokens long").groupBy("cell").agg(F.sum("tokens")).toArrow()
+    found = texts.select("vec", "tokens").mapInArrow(count, "cell long, tokens long").groupBy("cell").agg(F.sum("tokens")).toArrow()
     size = np.zeros(len(cells.centroids) * PLACES, np.int64)
     size[found.column(0).to_numpy()] = found.column(1).to_numpy()
     parts = np.maximum(1, -(-size // shard_tokens))  # shards that a cell has for itself, or 1
@@ -340,19 +352,14 @@ def _deal(texts: DataFrame, idf: np.ndarray, total: int, shard_tokens: int, wide
             shard, filled = shard + int(parts[c]), 0
     dealt = ship(spark, (first, parts))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, (begin, several), at = held(), dealt(), TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            if batch.num_rows:
-                cell = own.of(own.project(_ids(batch.column(2), wide)))
-                row = np.arange(at, at + batch.num_rows)
-                at += batch.num_rows
-                yield pa.record_batch({"shard": begin[cell] + row % several[cell], "doc_id": batch.column(0), "tokens": batch.column(1), "ids": batch.column(2)})
+    @F.pandas_udf("long")
+    def shard_of(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own, (begin, several) = held(), dealt()
+        for vec, row in columns:
+            cell = own.of(_vectors(pa.array(vec, pa.binary())))
+            yield pd.Series(begin[cell] + row.to_numpy() % several[cell])
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "tokens", "ids").mapInArrow(deal, f"shard long, doc_id {kind}, tokens long, ids binary")
+    return texts.select(shard_of("vec", F.monotonically_increasing_id()).alias("shard"), "doc_id", "tokens", "ids")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -366,4 +373,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     kind = docs.schema["doc_id"].dataType.simpleString()
     wide = "<u2" if len(seen) <= 1 << 16 else "<u4"
     run = _pack_shard(idf, total / max(n, 1), window, wide)
-    return _deal(texts, idf, total, shard_tokens, wide).groupBy("shard").applyInArrow(run, PIECE_SCHEMA.format(kind))
+    return _deal(texts, n, total, shard_tokens).groupBy("shard").applyInArrow(run, PIECE_SCHEMA.format(kind))

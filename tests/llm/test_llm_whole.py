@@ -110,6 +110,7 @@ def test_seeds_meet_their_neighbours_in_many_shards(spark, sf):
         if len(docs[k]):
             same.setdefault(t, []).append(shard[k])
     copies = [len(set(v)) == 1 for v in same.values() if len(v) > 1]
+    print("of the five nearest, in the seed's shard:", np.mean(met), "at random:", np.mean(expected), "shards:", len(size))
     assert np.mean(copies) == 1.0
 
 
@@ -160,6 +161,20 @@ def test_lattice_scores_whole_texts_like_all_segmentations(spark, monkeypatch):
         assert got.score[k] == pytest.approx(sum(word(w) for w in t.encode().split()) + math.log10(len(train) / n), rel=1e-3), t
 
 
+def test_lattices_of_many_words_equal_those_of_one():
+    lattice = lattice_lm.read_vocabulary(public.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(9)
+    words = ["the", "treatment", "ération", "x", "", "日本語", "a" * 300, "\x01z"] + ["".join(r.choice(list("abcdeth "), int(n))).replace(" ", "é") for n in r.integers(1, 30, 300)]
+    column = pa.array([w.encode() for w in words], pa.binary())
+    assert np.allclose(lattice.log_probabilities(column), [lattice.log_probability(w.encode()) for w in words], rtol=1e-12)
+    one, many = np.zeros(len(lattice.pieces)), np.zeros(len(lattice.pieces))
+    for w in words:
+        lattice.expect(w.encode(), 1.0, one)
+    lattice.expect_all(column.slice(0, 5), many)
+    lattice.expect_all(column.slice(5), many)
+    assert np.allclose(one, many, atol=1e-9)
+
+
 def test_long_hot_words_are_found_by_digest(spark):
     long = "x" * 500
     rows = [(k, f"{long} a b") for k in range(8)]
