@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..scratch import settled
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Distinct terms of queries that are broadcast (some 20 MB).
+BROADCAST_TERMS = 200_000
 
 
 class Index(NamedTuple):
-    postings: DataFrame  # term, doc_id, tf
+    postings: DataFrame  # term, doc_id, tf, dl
     doc_stats: DataFrame  # doc_id, dl
     term_stats: DataFrame  # term, n, idf
     corpus_stats: DataFrame  # nd, avgdl, avg_idf: one row
@@ -36,7 +38,7 @@ def from_postings(tf: DataFrame, lengths: DataFrame) -> Index:
     raw = settled(terms.select("term", "n", _idf(F.col("n"), F.col("nd")).alias("idf")), "terms")
     mean = raw.agg(F.avg("idf").alias("avg_idf"))
     stats = raw.crossJoin(F.broadcast(mean)).select("term", "n", F.when(F.col("idf") < 0, FLOOR * F.col("avg_idf")).otherwise(F.col("idf")).alias("idf"))
-    return Index(tf, lengths, stats, sizes.crossJoin(mean))
+    return Index(tf, lengths, stats, settled(sizes.crossJoin(mean), "corpus"))
 
 
 def _held(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +46,7 @@ def _held(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     without tokens has a row with a null term."""
     rows = docs.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
     held = settled(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), "postings")
-    return held.filter("term IS NOT NULL").select("term", "doc_id", "tf"), held.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    return held.filter("term IS NOT NULL").select("term", "doc_id", "tf", "dl"), held.groupBy("doc_id").agg(F.max("dl").alias("dl"))
 
 
 def build(docs: DataFrame) -> Index:
@@ -63,10 +65,15 @@ def append(index: Index, docs: DataFrame) -> Index:
 def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) for queries (query_id, tokens); repeated query terms count each.
 
-    Only postings of the queries' terms are read; Spark broadcasts the query terms if they are small.
+    The queries' terms get their idf first; up to BROADCAST_TERMS of them are broadcast, so that postings
+    of other terms go where they are read, and more are joined by term.  Postings know their document's
+    length, so hits are only moved to be added up.
     """
     terms = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hit = index.postings.join(terms, "term").join(index.term_stats.select("term", "idf"), "term").join(index.doc_stats, "doc_id").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
+    asked = settled(terms.join(index.term_stats.select("term", "idf"), "term"), "asked")
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    hit = index.postings.join(asked, "term").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
