@@ -5,8 +5,9 @@ or what it calls something else (menus, headers, footers, asides, forms, adverts
 comments; scripts and styles give no text).  The token streams of a host's pages are concatenated,
 and a suffix array over them finds what is repeated on distinct pages.  Substrings of ``LONG`` tokens
 and more count; they cover just the tokens that their repeated runs of ``LONG`` tokens cover, so the
-array is sorted (by prefix doubling) so far and no further.  A page without an article loses the
-blocks that lie wholly in runs that several pages have outside articles, which may reach over blocks, and of others what a
+array is sorted (by prefix doubling) so far and no further; a page has a run if a token of it may be
+main text there.  A page without an article loses the blocks that lie wholly in runs that several pages
+have outside articles, which may reach over blocks, and of others what a
 repeated run inside the block covers; its unique runs stay.  Inside an article, repetition on a few
 pages is not evidence against text (copies and quotations are main text too), but blocks that lie
 wholly in runs on more than half of the host's pages are its template and go, unless they are half of
@@ -16,7 +17,8 @@ else, repetition on two pages is enough.
 A host of many pages has several arrays of about ``SHARD_BYTES``, and what they find is put together:
 each array tells the runs that can decide something (all that reach outside articles, and those on
 more than ``TELLING`` of its pages) with their numbers of pages, these are added up over the host, and
-each array then covers by the host's numbers.  So a text does not depend on how a host was split.
+each array then covers by the host's numbers; an array with nothing to tell is done at once.  So a text
+does not depend on how a host was split.
 
 Cases: null or empty html gives empty text; a url without a host belongs to the host ''; a very long
 page is parsed whole, and may fill an array alone; repeated rows (and ties) give equal rows, and copies
@@ -174,17 +176,17 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def run_pages(tokens: np.ndarray, page: np.ndarray, long: int = LONG, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """On how many distinct pages the run of ``long`` tokens that begins at each token is, in all and
-    with a token ``outside``; 0 where the page ends first.
+def run_pages(tokens: np.ndarray, page: np.ndarray, masks: tuple[np.ndarray, ...] = (), long: int = LONG) -> list[np.ndarray]:
+    """On how many distinct pages the run of ``long`` tokens that begins at each token is: in all, and
+    for each mask where it has a token of the mask; 0 where the page ends first.
 
     tokens: numbers of all pages' tokens one after the other; page: the page of each, ascending.
     Ranks of the suffixes' first 1, 2, 4, ... tokens order the array.
     """
     n = len(tokens)
-    out, out_there = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    out = [np.zeros(n, np.int64) for _ in range(len(masks) + 1)]
     if n < long:
-        return out, out_there
+        return out
     _, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64) + 1
     last = np.searchsorted(page, page, side="right")  # where its page ends
@@ -198,22 +200,22 @@ def run_pages(tokens: np.ndarray, page: np.ndarray, long: int = LONG, outside: n
         size += step
     starts = np.flatnonzero(np.arange(n) + long <= last)
     if not len(starts):
-        return out, out_there
+        return out
     order = starts[np.argsort(rank[starts], kind="stable")]  # the suffix array, as far as runs go
     group, own = rank[order], page[order]  # a group's pages ascend
     begins = np.append(True, group[1:] != group[:-1])
     begin = np.flatnonzero(begins)
-    firsts = begins | np.append(True, own[1:] != own[:-1])  # of each page in each group
     sizes = np.diff(np.append(begin, len(order)))
-    out[order] = np.repeat(np.add.reduceat(firsts.astype(np.int64), begin), sizes)
-    if outside is not None:
-        place = np.flatnonzero(firsts)
-        there = np.append(0, np.cumsum(outside))
-        here = there[order + long] > there[order]
-        there = np.zeros(len(order), np.int64)
-        there[place] = np.logical_or.reduceat(here, place)
-        out_there[order] = np.repeat(np.add.reduceat(there, begin), sizes)
-    return out, out_there
+    place = np.flatnonzero(begins | np.append(True, own[1:] != own[:-1]))  # the first of each page in each group
+    for k in range(len(out)):
+        here = np.ones(len(order), bool)
+        if k:
+            there = np.append(0, np.cumsum(masks[k - 1]))
+            here = there[order + long] > there[order]
+        found = np.zeros(len(order), np.int64)
+        found[place] = np.logical_or.reduceat(here, place)
+        out[k][order] = np.repeat(np.add.reduceat(found, begin), sizes)
+    return out
 
 
 def cover(starts: np.ndarray, long: int = LONG) -> np.ndarray:
@@ -227,7 +229,7 @@ def cover(starts: np.ndarray, long: int = LONG) -> np.ndarray:
 
 def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
     """Which tokens are covered by a run of ``long`` tokens that distinct pages have."""
-    return cover(run_pages(tokens, page, long)[0] > 1, long)
+    return cover(run_pages(tokens, page, (), long)[0] > 1, long)
 
 
 class Streams(NamedTuple):
@@ -239,7 +241,8 @@ class Streams(NamedTuple):
     tokens: np.ndarray  # in that order, like the rest
     page: np.ndarray
     block: np.ndarray
-    outside: np.ndarray  # whether a token is outside all articles
+    counted: np.ndarray  # whether a token may be main text
+    loose: np.ndarray  # whether it may be, outside articles or in a doubted block
     words: np.ndarray  # a hash of each number's word
     n: int  # distinct pages
 
@@ -262,8 +265,8 @@ def streams(ids: list, htmls: list[str | None]) -> Streams:
     order = np.argsort(own, kind="stable")
     block = np.repeat(np.arange(len(where)), [size for _, _, size in where])[order]
     hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number], dtype=np.uint64)
-    outside = np.array([pages[k][b][1] != ARTICLE for k, b, _ in where], dtype=bool)
-    return Streams(pages, where, order, token[order], own[order], block, outside[block] if len(block) else np.zeros(0, bool), hashes, len(numbers))
+    zone = np.array([pages[k][b][1] for k, b, _ in where], dtype=np.int64)[block] if len(block) else np.zeros(0, np.int64)
+    return Streams(pages, where, order, token[order], own[order], block, zone != OTHER, (zone == REST) | (zone == DOUBTED), hashes, len(numbers))
 
 
 def _has_article(blocks: list[tuple[str, int]]) -> bool:
@@ -279,14 +282,13 @@ def run_hashes(s: Streams, long: int = LONG) -> np.ndarray:
     return (out ^ (out >> np.uint64(31))).view(np.int64)
 
 
-def told_runs(ids: list, htmls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes of the distinct runs that an array tells its host's others, the pages that have them in
-    all and outside articles, and the array's pages."""
-    s = streams(ids, htmls)
-    seen, outside = run_pages(s.tokens, s.page, outside=s.outside)
-    tell = (outside > 0) | (seen > TELLING * s.n)
+def told_runs(s: Streams, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct runs that an array tells its host's others, and the pages that have them
+    in what may be main text, and in what of it is loose."""
+    _, text, loose = counts
+    tell = (loose > 0) | (text > TELLING * s.n)
     hashes, first = np.unique(run_hashes(s)[tell], return_index=True)
-    return hashes, seen[tell][first], outside[tell][first], s.n
+    return hashes, text[tell][first], loose[tell][first]
 
 
 Known = tuple[np.ndarray, np.ndarray, np.ndarray, int]
@@ -294,23 +296,28 @@ Known = tuple[np.ndarray, np.ndarray, np.ndarray, int]
 
 def main_texts(ids: list, htmls: list[str | None], known: Known | None = None) -> list[str]:
     """The main texts of one host's pages, or of some of them: then ``known`` has the runs that its
-    arrays told (hashes, ascending, and their pages in all and outside articles), and the host's pages."""
+    arrays told (hashes, ascending, and the pages that have them), and the host's pages."""
     s = streams(ids, htmls)
-    (everywhere, seen), n = run_pages(s.tokens, s.page, outside=s.outside), s.n
+    return _texts(s, run_pages(s.tokens, s.page, (s.counted, s.loose)), known)
+
+
+def _texts(s: Streams, counts: list[np.ndarray], known: Known | None = None) -> list[str]:
+    every, text, loose = counts
+    n = s.n
     if known is not None:
-        hashes, pages, outside, n = known
+        hashes, in_text, in_loose, n = known
         if len(hashes):
             own = run_hashes(s)
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-            found = (hashes[at] == own) & (everywhere > 0)
-            everywhere, seen = np.where(found, pages[at], everywhere), np.where(found, outside[at], seen)
+            found = (hashes[at] == own) & (every > 0)
+            text, loose = np.where(found, in_text[at], text), np.where(found, in_loose[at], loose)
     change = np.append(0, s.block[1:] != s.block[:-1]) if len(s.block) else s.block
     unit = np.cumsum(change)
-    inside = np.arange(len(seen)) + LONG <= np.searchsorted(unit, unit, side="right")
-    covered, shared, template = (np.empty(len(seen), dtype=bool) for _ in range(3))
-    covered[s.order] = cover((seen > 1) & inside)
-    shared[s.order] = cover(seen > 1)
-    template[s.order] = cover(everywhere >= max(TEMPLATE_PAGES, n // 2 + 1))
+    inside = np.arange(len(loose)) + LONG <= np.searchsorted(unit, unit, side="right")
+    covered, shared, template = (np.empty(len(loose), dtype=bool) for _ in range(3))
+    covered[s.order] = cover((loose > 1) & inside)
+    shared[s.order] = cover(loose > 1)
+    template[s.order] = cover(text >= max(TEMPLATE_PAGES, n // 2 + 1))
     kept: list[list[str]] = [[] for _ in s.pages]
     articles: list[list[tuple[str, int, bool]]] = [[] for _ in s.pages]
     at = 0
@@ -337,27 +344,44 @@ def _unpacked(table: pa.Table) -> tuple[list, list]:
     return table["page_id"].to_pylist(), [None if h is None else zlib.decompress(h).decode() for h in table["packed"].to_pylist()]
 
 
-def _out(table: pa.Table, known: Known | None = None) -> pa.Table:
-    table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("packed", "ascending")])
-    texts = main_texts(*_unpacked(table), known)
-    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("packed", "ascending")])
 
 
-def _host(key: tuple, table: pa.Table) -> pa.Table:
-    return _out(table)
+def _rows(table: pa.Table, texts: list[str]) -> dict[str, object]:
+    return {"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
 
 
-def _tell(key: tuple, table: pa.Table) -> pa.Table:
-    hashes, pages, outside, n = told_runs(*_unpacked(table))
-    rows = len(hashes) + 1  # the first tells the pages of the array
-    return pa.table({"host": pa.array([key[0].as_py()] * rows), "shard": np.full(rows, key[1].as_py()), "run": pa.array([None, *hashes.tolist()], pa.int64()), "pages": np.append(n, pages), "outside": np.append(0, outside)})
+def _host(key: tuple, table: pa.Table) -> pa.Table:
+    table = _sorted(table)
+    return pa.table(_rows(table, main_texts(*_unpacked(table))))
+
+
+def _first(key: tuple, table: pa.Table) -> pa.Table:
+    """An array that has nothing to tell needs nothing from the others: its texts.  Any other: the runs
+    that it tells, after a row with the number of its pages."""
+    table = _sorted(table)
+    s = streams(*_unpacked(table))
+    counts = run_pages(s.tokens, s.page, (s.counted, s.loose))
+    hashes, text, loose = told_runs(s, counts)
+    place = {"host": key[0].as_py(), "shard": key[1].as_py()}
+    if not len(hashes):
+        out = _rows(table, _texts(s, counts))
+        rows = table.num_rows
+        rest = {"run": pa.nulls(rows, pa.int64()), "pages": np.full(rows, s.n, np.int32), "loose": pa.nulls(rows, pa.int32())}
+    else:
+        rows = len(hashes) + 1
+        out = {"page_id": pa.nulls(rows, table["page_id"].type), "url": pa.nulls(rows, pa.string()), "text": pa.nulls(rows, pa.string()), "n_chars": pa.nulls(rows, pa.int64())}
+        rest = {"run": pa.array([None, *hashes.tolist()], pa.int64()), "pages": np.append(s.n, text).astype(np.int32), "loose": np.append(0, loose).astype(np.int32)}
+    return pa.table({k: np.full(rows, v, np.int64) for k, v in place.items()} | out | rest)
 
 
 def _informed(key: tuple, table: pa.Table, runs: pa.Table) -> pa.Table:
-    runs = runs.sort_by([("run", "ascending")])
+    table, runs = _sorted(table), runs.sort_by([("run", "ascending")])
     told = runs.filter(runs["run"].is_valid())
     n = runs.filter(runs["run"].is_null())["pages"].to_pylist()
-    return _out(table, (*(told[c].to_numpy() for c in ("run", "pages", "outside")), n[0] if n else 0))
+    known = (*(told[c].to_numpy().astype(np.int64) for c in ("run", "pages", "loose")), n[0] if n else 0)
+    return pa.table(_rows(table, main_texts(*_unpacked(table), known)))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,12 +402,20 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     dealt = own.join(F.broadcast(sizes), "bucket").select("page_id", "url", "html", "host", shards.alias("shards"), F.pmod(digest, shards).alias("shard"))
     kind = pages.schema["page_id"].dataType.simpleString()
     packed = dealt.mapInArrow(_pack, f"page_id {kind}, url string, packed binary, host string, shards long, shard long")
-    output = OUTPUT.format(kind)
+    output, columns = OUTPUT.format(kind), ["page_id", "url", "text", "n_chars"]
     whole = packed.filter("shards = 1").select("host", "page_id", "url", "packed").groupBy("host").applyInArrow(_host, output)
     if sizes.filter("shards > 1").isEmpty():
         return whole
-    split = packed.filter("shards > 1").select("host", "shard", "page_id", "url", "packed")
-    told = persist(split.groupBy("host", "shard").applyInArrow(_tell, "host string, shard long, run long, pages long, outside long"), "runs")
-    added = told.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("outside").alias("outside"), F.collect_list("shard").alias("shards")).filter("run IS NULL OR pages > 1")
-    added = added.select("host", F.explode("shards").alias("shard"), "run", "pages", "outside")
-    return whole.unionByName(split.groupBy("host", "shard").cogroup(added.groupBy("host", "shard")).applyInArrow(_informed, output))
+    split = packed.filter("shards > 1").select(F.xxhash64("host").alias("host"), "shard", "page_id", "url", "packed")
+    first = persist(split.groupBy("host", "shard").applyInArrow(_first, f"host long, shard long, {output}, run long, pages int, loose int"), "arrays")
+    out = whole.unionByName(first.filter("text IS NOT NULL").select(columns))
+    told = first.filter("text IS NULL").select("host", "shard", "run", "pages", "loose")
+    if told.isEmpty():
+        return out
+    # the pages of arrays that had nothing to tell count, too: one row of each says how many they are
+    quiet = first.filter("text IS NOT NULL").groupBy("host", "shard").agg(F.max("pages").alias("pages")).groupBy("host").agg(F.sum("pages").alias("quiet"))
+    added = told.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("loose").alias("loose"), F.collect_list("shard").alias("shards")).filter("run IS NULL OR pages > 1")
+    added = added.join(quiet, "host", "left").withColumn("pages", F.col("pages") + F.when(F.col("run").isNull(), F.coalesce("quiet", F.lit(0))).otherwise(0))
+    added = added.select("host", F.explode("shards").alias("shard"), "run", "pages", "loose")
+    again = split.join(told.filter("run IS NULL").select("host", "shard"), ["host", "shard"], "left_semi")
+    return out.unionByName(again.groupBy("host", "shard").cogroup(added.groupBy("host", "shard")).applyInArrow(_informed, output))

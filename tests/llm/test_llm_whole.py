@@ -234,7 +234,7 @@ def test_repetition_decides_and_does_not_depend_on_the_arrays(spark, article, mo
         kept = own + ("\na few pages share this paragraph about the weather of the day and of the night" if article and k in (3, 58) else "")
         assert one[k] == kept
     # without the suffix array the notice stays
-    monkeypatch.setattr(host_html, "run_pages", lambda tokens, page, long=8, outside=None: (np.zeros(len(tokens), np.int64),) * 2)
+    monkeypatch.setattr(host_html, "run_pages", lambda tokens, page, masks=(), long=8: [np.zeros(len(tokens), np.int64)] * 3)
     assert all("rights" in t for t in host_html.main_texts([r[0] for r in rows], [r[2] for r in rows]))
 
 
