@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,25 @@ from .components import components
 LARGE_SHARD = 4096
 #: Shingles hashed at once.
 _AT_ONCE = 1 << 16
-#: Min-hashes of a sketch, a byte of each, and the bands of them that are shard keys: texts with a
-#: similarity of 0.8 share one of the bands at a probability of 1 - (1 - 0.8 ** 5) ** 16 = 0.998.
-_SKETCH, _BANDS, _BAND = 128, 16, 5
+#: Min-hashes of a sketch, four bits of each, and the bands of five of them that are shard keys: texts
+#: with a similarity of 0.8 share one of the bands at a probability of 1 - (1 - 0.8 ** 5) ** 16 = 0.998.
+_SKETCH, _BANDS, _BAND = 256, 16, 5
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42, sketch: bool = False) -> int | tuple[int, bytes]:
-    """The unsigned fingerprint of one UTF-8 text, and a min-hash sketch of its shingles if asked."""
+class Sketched(NamedTuple):
+    bits: int
+    sketch: bytes
+    bands: list[int]
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, sketch: bool = False) -> int | Sketched:
+    """The unsigned fingerprint of one UTF-8 text, and if asked a min-hash sketch of its shingles and
+    the hashes of its bands."""
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()
     if not tokens:
-        return (0, bytes(_SKETCH)) if sketch else 0
+        return Sketched(0, bytes(_SKETCH // 2), [0] * _BANDS) if sketch else 0
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(sizes + 1) - 1
@@ -58,12 +66,22 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42, sketch: bool = Fals
         h = np.array([xxh64_intdigest(joined[s:e], seed) for s, e in spans], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         if sketch:
-            for k in range(0, len(h), 2048):
-                np.minimum(low, (h[k : k + 2048, None] * _multipliers()).min(axis=0), out=low)
+            for k in range(0, len(h), 512):
+                np.minimum(low, (h[k : k + 512, None] * _multipliers()).min(axis=0), out=low)
     bits = int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
     if not sketch:
         return bits
-    return bits, (low >> np.uint64(20)).astype(np.uint8).tobytes()
+    few = ((low >> np.uint64(20)) & np.uint64(15)).astype(np.uint8)
+    band = np.zeros(_BANDS, np.uint64)
+    for k in range(_BAND):
+        band = (band ^ low[k : _BANDS * _BAND : _BAND]) * np.uint64(0x9E3779B97F4A7C15)
+        band ^= band >> np.uint64(31)
+    return Sketched(bits, (few[0::2] | few[1::2] << 4).tobytes(), band.view(np.int64).tolist())
+
+
+def needed(similar: float) -> float:
+    """Equal numbers among two sketches that stand for a similarity: one in sixteen is so by chance."""
+    return _SKETCH * (similar + (1 - similar) / 16)
 
 
 def _multipliers() -> np.ndarray:
@@ -75,15 +93,15 @@ def _fingerprints(words: int, seed: int, sketch: bool):
         for batch in batches_of(batches, "text"):
             texts = as_text(batch.column(1)).cast(pa.binary())
             found = [fingerprint(t.as_py(), words, seed, sketch) for t in texts]
-            out = {"doc_id": batch.column(0), "fp": np.array([x[0] if sketch else x for x in found], dtype=np.uint64).view(np.int64)}
-            yield pa.record_batch(out | ({"sketch": pa.array([x[1] for x in found], pa.binary())} if sketch else {}))
+            out = {"doc_id": batch.column(0), "fp": np.array([x.bits if sketch else x for x in found], dtype=np.uint64).view(np.int64)}
+            yield pa.record_batch(out | ({"sketch": pa.array([x.sketch for x in found], pa.binary()), "bands": pa.array([x.bands for x in found], pa.list_(pa.int64()))} if sketch else {}))
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp) with fp as a signed bigint; with ``sketch``, also one byte each of 128 min-hashes."""
-    schema = "doc_id long, fp long" + (", sketch binary" if sketch else "")
+    """(doc_id, fp) with fp as a signed bigint; with ``sketch``, also the sketch and its bands."""
+    schema = "doc_id long, fp long" + (", sketch binary, bands array<long>" if sketch else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints(words, seed, sketch), schema)
 
 
@@ -120,11 +138,16 @@ class BKTree:
                     todo.append(child)
 
 
-def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[bytes] | None = None, agree: int = 0) -> list[tuple[int, int]]:
+def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[bytes] | None = None, similar: float = 0) -> list[tuple[int, int]]:
     """Links that join all of one shard's codes that links reach: a forest, not all pairs.  With
-    sketches, a link also needs as many equal bytes of them as ``agree`` equal bits stand for."""
+    sketches, a link also needs them to estimate a similarity of at least ``similar``."""
     tree, up, groups, out = BKTree(), list(range(len(codes))), 0, []
     table = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(codes), -1) if sketches else None
+    least = needed(similar)
+
+    def alike(i: int, j: int) -> bool:
+        other = table[i] ^ table[j]
+        return _SKETCH - np.count_nonzero(other & 15) - np.count_nonzero(other & 240) >= least
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -136,7 +159,7 @@ def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[by
         groups += 1
         for old in tree.within(code, radius):
             a, b = root(new), root(old)
-            if a != b and (table is None or np.count_nonzero(table[new] == table[old]) >= 2 * agree - _SKETCH):
+            if a != b and (table is None or alike(new, old)):
                 up[a] = b
                 groups -= 1
                 out.append((ids[new], ids[old]))
@@ -146,13 +169,13 @@ def shard_links(codes: list[int], ids: list[int], radius: int, sketches: list[by
     return out
 
 
-def _search(radius: int, agree: int):
+def _search(radius: int, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, codes, ids, sketches, found = None, [], [], [], []
 
         def flush() -> None:
             if len(codes) > 1:
-                found.extend(shard_links(codes, ids, radius, sketches or None, agree))
+                found.extend(shard_links(codes, ids, radius, sketches or None, similar))
             codes.clear()
             ids.clear()
             sketches.clear()
@@ -164,7 +187,7 @@ def _search(radius: int, agree: int):
 
         for batch in batches:
             columns = [batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist()]
-            if agree:
+            if similar:
                 columns.append(batch.column(3).to_pylist())
             for k, code, i, *sketch in zip(*columns):
                 if k != key:
@@ -206,10 +229,9 @@ def _keys(blocks: int, radius: int) -> list[int]:
 
 
 def _bands(codes: DataFrame, held: Column | None = None) -> DataFrame:
-    """A row for each band of the sketch, keyed by the band's number and bytes (after the key held)."""
-    keys = [F.xxhash64(*([held] if held is not None else []), F.lit(i), F.substring("sketch", i * _BAND + 1, _BAND)) for i in range(_BANDS)]
-    rest = [c for c in codes.columns if c != "key"]
-    return codes.select(F.explode(F.array(*keys)).alias("key"), *rest)
+    """A row for each band, keyed by its number and hash (after the key held)."""
+    keys = F.transform("bands", lambda x, i: F.xxhash64(*([held] if held is not None else []), i, x))
+    return codes.select(F.explode(keys).alias("key"), *[c for c in codes.columns if c not in ("key", "bands")])
 
 
 def _shards(codes: DataFrame, masks: list[int], held: Column | None = None) -> DataFrame:
@@ -219,29 +241,27 @@ def _shards(codes: DataFrame, masks: list[int], held: Column | None = None) -> D
     return codes.select(F.explode(F.array(*keys)).alias("key"), *rest)
 
 
-def link_codes(codes: DataFrame, radius: int, agree: int = 0) -> DataFrame:
-    """Links (a, b) among (fp, id[, sketch]) rows that join all pairs within the radius.
+def link_codes(codes: DataFrame, radius: int, similar: float = 0) -> DataFrame:
+    """Links (a, b) among (fp, id[, sketch, bands]) rows that join all pairs within the radius.
 
     Shard keys are hashes: a collision only puts two shards into one tree, which adds no link.  For
-    wide radii (with ``agree``) pieces that surely agree are too short, so shards come from bands of
-    the sketches' min-hashes: their recall follows from the similarity alone, whatever the rows.
+    wide radii (with ``similar``) pieces that surely agree are too short, so shards come from bands of
+    the sketches' min-hashes: their recall follows from the similarity alone, whatever the rows.  A
+    large shard of a band is not dealt by the other bands, which would lose links, but cut into slices.
     """
-    if agree:
-        deal = _bands
+    if similar:
+        shards = _bands(codes)
     else:
         first, second = _keys(blocks_for(codes.count(), radius), radius), _keys(radius + 2, radius)
-
-        def deal(codes: DataFrame, held: Column | None = None) -> DataFrame:
-            return _shards(codes, first if held is None else second, held)
-
-    shards = deal(codes)
+        shards = _shards(codes, first)
     large = persist(shards.groupBy("key").count().filter(F.col("count") > LARGE_SHARD).select("key"), "large")
     out = shards
     if not large.isEmpty():
-        again = _sliced(deal(shards.join(F.broadcast(large), "key", "left_semi"), F.col("key")))
+        again = shards.join(F.broadcast(large), "key", "left_semi")
+        again = _sliced(again if similar else _shards(again, second, F.col("key")))
         out = shards.join(F.broadcast(large), "key", "left_anti").union(again)
     out = out.repartition("key").sortWithinPartitions("key", "id")
-    return out.mapInArrow(_search(radius, agree), "a long, b long")
+    return out.mapInArrow(_search(radius, similar), "a long, b long")
 
 
 def _sliced(shards: DataFrame) -> DataFrame:
@@ -258,20 +278,21 @@ def _sliced(shards: DataFrame) -> DataFrame:
     return shards.join(F.broadcast(sizes), "key", "left_anti").select("key", *rest).union(split)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, agree: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, similar: float = 0) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text).
 
-    ``agree`` (bits of 128) asks for links that min-hash sketches of the same shingles confirm: 2 *
-    bits / 128 - 1 is the Jaccard similarity that they must estimate, from the share of equal bytes.  Equal fingerprints are then one entry only if
-    their sketches are equal, too.
+    ``similar`` asks for links that min-hash sketches of the same shingles confirm: the Jaccard
+    similarity that they must estimate.  Equal fingerprints are then one entry only if their sketches
+    are equal, too.
     """
-    same = ["fp", "sketch"] if agree else ["fp"]
-    fps = persist(fingerprints(docs, words, seed, bool(agree)), "fingerprints")
-    counted = persist(fps.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).select("fp", "id", "n", *same[1:]), "codes")
-    codes = counted.filter("id IS NOT NULL").drop("n")
-    moved = components(persist(link_codes(codes, radius, agree), "links"))  # one Python worker a task at a time
+    same = ["fp", "sketch"] if similar else ["fp"]
+    fps = persist(fingerprints(docs, words, seed, bool(similar)), "fingerprints")
+    more = [F.max("bands").alias("bands")] if similar else []
+    counted = persist(fps.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *more), "codes")
+    codes = counted.filter("id IS NOT NULL").select("fp", "id", *(["sketch", "bands"] if similar else []))
+    moved = components(persist(link_codes(codes, radius, similar), "links"))  # one Python worker a task at a time
     ids = counted.join(moved, counted["id"] == moved["node"], "left").select(*same, "n", F.coalesce("component", "id").alias("component_id"))
-    out = join_counted(fps, persist(ids, "classes"), same, "n")  # copies may be a third of all rows
+    out = join_counted(fps.drop("bands"), persist(ids, "classes"), same, "n")  # copies may be a third of all rows
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

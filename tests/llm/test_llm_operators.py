@@ -98,10 +98,10 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("agree", [0, 111])
-def test_simhash_edges(spark, agree):
+@pytest.mark.parametrize("similar", [0, 0.745])
+def test_simhash_edges(spark, similar):
     docs = _docs(spark, EDGES)
-    got = simhash.near_duplicates(docs, agree=agree)
+    got = simhash.near_duplicates(docs, similar=similar)
     rows = sorted(map(tuple, got.select("doc_id", "component_id").collect()), key=str)
     want = {1: 1, 2: 2, 3: 2, 4: 4, 5: 1, 6: 6}
     assert rows == sorted([(i, want.get(i)) for i, _ in EDGES], key=str)
