@@ -35,8 +35,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, fingerprints within
-    twenty bits, and a min-hash estimate of similarity of at least 0.73, which a similarity of 0.8 passes."""
-    return simhash.keep_one(docs, simhash.near_duplicates(docs, radius=20, words=5, agree=111))
+    twenty bits, and an estimate of 0.745 or more from min-hashes, which a similarity of 0.8 passes."""
+    return simhash.keep_one(docs, simhash.near_duplicates(docs, radius=20, words=5, similar=0.745))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
