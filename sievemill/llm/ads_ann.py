@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import persist, ship
+from .base import drop_persisted, persist, ship
 from .vectors import blocks, distances, kmeans, matrix, sample_for, sample_matrix, valid_vectors
 
 TARGET_RECALL = 0.97
@@ -176,9 +176,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, target: float = TAR
             if batch.num_rows:
                 yield pa.record_batch({"id": batch.column(0), "cell": held.home(matrix(batch.column(1))), "vec": batch.column(1)})
 
-    content = persist(vectors.mapInArrow(place, "id long, cell long, vec array<double>"), "lists")
+    placed = persist(vectors.mapInArrow(place, "id long, cell long, vec array<double>"), "lists")
     sizes = np.zeros(len(lists.centroids), np.int64)
-    for cell, size in content.groupBy("cell").count().collect():  # one row a list
+    for cell, size in placed.groupBy("cell").count().collect():  # one row a list
         sizes[cell] = size
     lists.sizes = sizes
     second = ship(table.sparkSession, lists)
@@ -192,7 +192,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, target: float = TAR
 
     queries = vectors.filter(is_query).dropDuplicates(["id"])
     visitors = persist(queries.mapInArrow(probe, "id long, cells array<long>, vec array<double>"), "probes")
-    content = content.withColumn("bound", F.lit(0.0))
+    content = placed.withColumn("bound", F.lit(0.0))
     turn = rotation(sample.shape[1] + 1)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -207,4 +207,6 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, target: float = TAR
     far = visitors.filter(F.size("cells") > FIRST_LISTS).join(bounds, "id", "left")
     far = far.select("id", F.explode(F.slice("cells", FIRST_LISTS + 1, MOST_LISTS)).alias("cell"), "vec", F.coalesce("kth", nothing).alias("bound"))
     ranked = near.unionByName(scan(far)).drop("rank").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    out = persist(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+    drop_persisted(vectors, placed, visitors, near)
+    return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_counted, persist, ship
+from .base import drop_persisted, join_counted, persist, ship
 from .components import components, smallest_labels
 from .vectors import blocks, distances, kmeans, matrix, sample_matrix, valid_vectors
 
@@ -157,7 +157,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, target: float = TARG
     # one vector may be a third of all rows: what many rows have is joined by a broadcast
     members = join_counted(vectors, classes.select("vec", F.col("id").alias("rep"), F.col("n").alias("copies"), F.col("n").alias("size")), ["vec"], "size")
     members = members.select("id", "rep", "copies").distinct()
-    total = classes.count()
+    total, held_tables = classes.count(), [vectors, classes]
     if total:
         held = ship(table.sparkSession, build_grid(classes, total, cosine, target))
         placed = persist(classes.mapInArrow(_assign(held), "id long, n long, home long, visits array<long>, vec array<double>"), "cells")
@@ -167,9 +167,13 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, target: float = TARG
         found = persist(found, "links")
         counts = found.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("linked"))
         moved = components(found.filter("other IS NOT NULL").select("id", "other"))
+        held_tables += [placed, found, moved]
         members = members.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(moved.withColumnRenamed("node", "rep"), "rep", "left")
     else:
         members = members.withColumns({"linked": F.lit(0).cast("long"), "component": F.lit(None).cast("long")})
     per_id = members.select("id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = table.select(F.col(key).cast("long").alias("id")).join(per_id, "id", "left")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
+    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
+    out = persist(out, "near-vectors")
+    drop_persisted(*held_tables)
+    return out

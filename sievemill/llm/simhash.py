@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, batches_of, give_back, join_counted, persist, worker_cache
+from .base import as_text, batches_of, drop_persisted, give_back, join_counted, persist, worker_cache
 from .components import components
 
 #: Entries of a shard from which it is dealt again.
@@ -290,10 +290,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     more = [F.max("bands").alias("bands")] if similar else []
     counted = persist(fps.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *more), "codes")
     codes = counted.filter("id IS NOT NULL").select("fp", "id", *(["sketch", "bands"] if similar else []))
-    moved = components(persist(link_codes(codes, radius, similar), "links"))  # one Python worker a task at a time
+    links = persist(link_codes(codes, radius, similar), "links")  # one Python worker a task at a time
+    moved = components(links)
     ids = counted.join(moved, counted["id"] == moved["node"], "left").select(*same, "n", F.coalesce("component", "id").alias("component_id"))
-    out = join_counted(fps.drop("bands"), persist(ids, "classes"), same, "n")  # copies may be a third of all rows
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    ids = persist(ids, "classes")
+    out = join_counted(fps.drop("bands"), ids, same, "n")  # copies may be a third of all rows
+    out = persist(out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "components")
+    drop_persisted(fps, counted, links, moved, ids)
+    return out
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:

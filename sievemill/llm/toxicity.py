@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, give_back, keep_rows, labelled_sample, persist, ragged, ship, split_words
+from .base import batches_of, give_back, keep_rows, labelled_sample, ragged, ship, split_words
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 12, 8
@@ -348,7 +348,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0), "score": text_scores(model, batch.column(1))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return persist(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double"), "scores")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def _under(net: Net, limit: float, text: pa.Array) -> np.ndarray:
