@@ -28,11 +28,14 @@ ENOUGH = 120
 REFERENCES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
-def _text(html: Column) -> Column:
-    t = F.regexp_replace(html, "<[^>]+>", " ")
+def _decoded(text: Column) -> Column:
     for name, char in REFERENCES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return clean(t)
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def _text(html: Column) -> Column:
+    return clean(_decoded(F.regexp_replace(html, "<[^>]+>", " ")))
 
 
 def without_noise(html: Column) -> Column:
@@ -66,9 +69,9 @@ def first_of(html: Column, tags: Sequence[str] = DEFAULT_SELECTORS, enough: int
 
 
 def hrefs(html: Column) -> Column:
-    """Distinct trimmed hrefs of links, empty ones dropped."""
+    """Distinct trimmed hrefs of links, character references decoded, empty ones dropped."""
     raw = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(_decoded(x))), lambda x: x != ""))
 
 
 def links(url: Column, html: Column) -> Column:

@@ -103,7 +103,10 @@ def first_of(enough: int | None = page.ENOUGH) -> str:
 
 
 TITLE = _text("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")
-_HREFS = r"""list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda h: trim(h)), lambda h: h <> '')"""
+_HREF = "h"
+for _a, _b in page.REFERENCES:
+    _HREF = f"replace({_HREF}, {_s(_a)}, {_s(_b)})"
+_HREFS = r"""list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda h: trim(%s)), lambda h: h <> '')""" % _HREF
 LINKS = f"""(SELECT DISTINCT page_id, url, link FROM (SELECT page_id, url, regexp_replace(CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || h ELSE h END, '#.*$', '') AS link
     FROM (SELECT page_id, url, unnest({_HREFS}) AS h FROM pages)) WHERE starts_with(link, 'http'))"""
 EDGES = f"(SELECT DISTINCT {normal_url('url')} AS url, {normal_url('link')} AS target FROM {LINKS} WHERE regexp_matches(link, '(?i)^https?://[^/?#]+'))"

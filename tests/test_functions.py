@@ -103,5 +103,6 @@ def test_html(spark):
     assert column(spark, ["<main>only</main><body>x"], html.first_of) == ["x"]
     assert column(spark, [PAGE % "s"], lambda c: html.first_of(c, enough=None)) == ["short"]
     assert column(spark, [long], lambda c: html.links(F.lit("https://s.org/z"), c)) == [["https://s.org/p", "http://o/x"]]
+    assert column(spark, ['<a href="?a=1&amp;b=2">x</a><a href="../up">u</a><a href="//cdn.org/z">c</a><a href="mailto:m@s.org">m</a>'], lambda c: html.links(F.lit("https://s.org/d/z?q=1"), c)) == [["https://s.org/d/z?a=1&b=2", "https://s.org/up", "https://cdn.org/z"]]
     parsed = spark.createDataFrame([(long, "x")], "h string, d string").select(html.parse("h", "d").alias("p")).select("p.*").first()
     assert parsed.title == "A & B" and parsed.content == ("word " * 40 + "bold").strip()
