@@ -58,6 +58,12 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fetch(df: DataFrame) -> pa.Table:
+    """A table of bounded size, on the driver; texts on the way there go in small batches."""
+    with smaller_batches(df.sparkSession):
+        return df.toArrow()
+
+
 def drop_persisted(*tables: DataFrame) -> None:
     """Remove the files of scratch tables once nothing reads them any more."""
     for df in tables:
@@ -120,7 +126,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, values: list, rows: int) -
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, values: list, rows: int) -> list[tuple[str, object]]:
     """(text, label) of ``labelled_rows``, in a fixed order."""
-    found = labelled_rows(docs, labels, values, rows).toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")])
+    found = fetch(labelled_rows(docs, labels, values, rows)).sort_by([("label", "ascending"), ("doc_id", "ascending")])
     return list(zip(found["text"].to_pylist(), found["label"].to_pylist()))
 
 

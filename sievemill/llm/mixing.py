@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, give_back, labelled_rows, persist, ship, split_words
+from .base import batches_of, fetch, give_back, labelled_rows, persist, ship, split_words
 
 BUCKETS, STEPS = 1 << 14, 200
 #: The labelled sample: rows of each domain at most; and how many domains there may be.
@@ -124,7 +124,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS) -
     place = {name: k for k, name in enumerate(out.names)}
     chosen = labelled_rows(docs, labelled.select("doc_id", F.col("domain").cast("string").alias("label")), [str(n) for n in out.names], rows)
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    got = persist(chosen.mapInArrow(_featured, f"doc_id {kind}, cols binary, tf binary, label string"), "features").toArrow()
+    got = fetch(chosen.mapInArrow(_featured, f"doc_id {kind}, cols binary, tf binary, label string"))
     got = got.sort_by([("label", "ascending"), ("doc_id", "ascending")])
     if got.num_rows:
         sparse = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(t, "<f4").astype(np.float64)) for c, t in zip(got["cols"].to_pylist(), got["tf"].to_pylist())]

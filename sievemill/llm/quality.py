@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, batches_of, give_back, keep_rows, labelled_rows, persist, ship, split_words, worker_cache
+from .base import Words, batches_of, fetch, give_back, keep_rows, labelled_rows, ship, split_words, worker_cache
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 13, 32, 4
 HIDDEN, STEPS = 24, 900
@@ -120,7 +120,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
 
     names = [f"c{k}" for k in range(DIMENSIONS)]
     parts = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
-    found = persist(parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]), "contexts").toPandas()
+    found = fetch(parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])).to_pandas()
     out = np.zeros((BUCKETS, DIMENSIONS))
     if len(found):
         out[found["bucket"].to_numpy()] = found[names].to_numpy()
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str =
 
     kinds = labels.select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = labelled_rows(train_docs, kinds, [0, 1], rows)
-    found = persist(chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, x binary, label int"), "pooled").toArrow()
+    found = fetch(chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, x binary, label int"))
     found = found.sort_by([("label", "ascending"), ("doc_id", "ascending")])
     y = found["label"].to_numpy().astype(int)
     x = np.frombuffer(b"".join(found["x"].to_pylist()), dtype=np.float32).reshape(len(y), -1) if len(y) else np.zeros((0, 3 * DIMENSIONS + 5))
