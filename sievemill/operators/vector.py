@@ -85,8 +85,10 @@ def _against(held, k: int):
 
 def _block(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, queries = left["query_id"].to_numpy(), _unit_rows(_rows(left["embedding"]))
-        parts = list(_nearest(ids, queries, right["doc_id"].to_numpy(), _rows(right["embedding"]), k)) if len(ids) and right.num_rows else []
+        parts = []
+        if left.num_rows and right.num_rows:
+            queries = _unit_rows(_rows(left["asked"]))
+            parts = list(_nearest(left["query_id"].to_numpy(), queries, right["held_id"].to_numpy(), _rows(right["held"]), k))
         empty = {"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "d2": np.zeros(0)}
         return pa.table({c: np.concatenate([p[c] for p in parts]) if parts else empty[c] for c in empty})
 
@@ -114,7 +116,9 @@ def distances_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1)))
         return side.withColumn(own[0], F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int")).withColumn(other[0], every).groupBy("q", "v")
 
-    return dealt(asked, "query_id", ("q", nq), ("v", nv)).cogroup(dealt(held, "doc_id", ("v", nv), ("q", nq))).applyInArrow(_block(k), schema)
+    asked = asked.select("query_id", F.col("embedding").alias("asked"))
+    held = held.select(F.col("doc_id").alias("held_id"), F.col("embedding").alias("held"))  # queries may come from the same rows
+    return dealt(asked, "query_id", ("q", nq), ("v", nv)).cogroup(dealt(held, "held_id", ("v", nv), ("q", nq))).applyInArrow(_block(k), schema)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:

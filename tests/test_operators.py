@@ -49,6 +49,45 @@ def test_vectors(spark):
         vector.check_dimension(v, 3).collect()
 
 
+def test_queries_beyond_a_block_meet_all_vectors(spark, monkeypatch):
+    r = random.Random(1)
+    v = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(5)]) for k in range(60)], "doc_id long, embedding array<double>")
+    q = v.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, vector.search(q, v, 7).select("query_id", "doc_id", "rank").collect()))
+    monkeypatch.setattr(vector, "BLOCK", 4)
+    monkeypatch.setattr(vector, "VECTOR_BLOCK", 9)
+    assert sorted(map(tuple, vector.search(q, v, 7).select("query_id", "doc_id", "rank").collect())) == whole
+    assert vector.search(q.limit(0), v, 7).count() == 0
+
+
+def test_terms_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 3} w{k % 5} common".split()) for k in range(30)], "doc_id long, tokens array<string>")
+    queries = spark.createDataFrame([(1, ["w1", "w4"]), (2, ["common", "w2"])], "query_id long, tokens array<string>")
+    index = bm25.build(docs)
+    want = sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in bm25.search(queries, index, 5).collect())
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 1)
+    assert sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in bm25.search(queries, index, 5).collect()) == want
+
+
+def test_engine_refuses_other_dimensions_and_tells_blank_queries(spark):
+    docs = _docs(spark, [(k, f"title {k}", "heart and words", "s", f"u{k}", "k", "en") for k in range(3)])
+    vectors = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(3)], "doc_id long, embedding array<double>")
+    engine = retrieve.Engine.build(docs, vectors=vectors)
+    asked = spark.createDataFrame([(1, "heart", [1.0, 0.0]), (2, " ", [0.0, 1.0])], "query_id long, raw string, embedding array<double>")
+    got = engine.retrieve(asked, 2)
+    assert {r.query_id for r in got.collect()} == {1}
+    said = retrieve.respond(got, retrieve.needs_fallback(got, asked), asked.select("query_id", "raw")).collect()
+    assert {r.query_id: r.error for r in said} == {1: None, 2: "query is empty"}
+    with pytest.raises(Exception, match="query 2 is empty"):
+        engine.retrieve(asked, 2, blank="error").collect()
+    with pytest.raises(ValueError):
+        engine.retrieve(asked, 2, blank="maybe")
+    with pytest.raises(Exception, match="3 components"):
+        engine.semantic(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>"), 2).collect()
+    with pytest.raises(Exception, match="1 components"):
+        engine.add(_docs(spark, [(9, "t", "new words", "s", "u9", "k", "en")]), spark.createDataFrame([(9, [1.0])], "doc_id long, embedding array<double>")).vectors.collect()
+
+
 def test_concept_encoder_finds_the_heart(spark):
     encoder = vector.ConceptEncoder([("heart", "cardiac"), ("migraine", "headache"), ("diabetes", "insulin")])
     docs = spark.createDataFrame([(1, "Heart attack signs"), (2, "Migraine"), (3, "Diabetes and insulin")], "doc_id long, t string")
@@ -216,3 +255,28 @@ def test_stream_ingest(spark, tmp_path):
         ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/c", f"{tmp_path}/r", f"{tmp_path}/k").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/c").collect()) == [1, 4]
     assert spark.read.parquet(f"{tmp_path}/r").count() == 2
+
+
+def test_a_batch_that_runs_again_stores_nothing_twice(spark, tmp_path):
+    import shutil
+
+    from sievemill.streaming.ingest import ingest
+
+    text = "c" * 600
+    rows = [(1, "t", text + " a", "s", "u1", "k", "en"), (2, "t", text + " A", "s", "u2", "k", "en"), (3, "t", "short", "s", "u3", "k", "en")]
+    _docs(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second run has lost its checkpoint, so it is batch 0 again
+        ingest(spark.readStream.schema(_docs(spark, rows).schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/c", f"{tmp_path}/r", f"{tmp_path}/k").awaitTermination()
+        shutil.rmtree(f"{tmp_path}/k")
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/c").collect()] == [1]
+    assert sorted((r.id, r.reason) for r in spark.read.parquet(f"{tmp_path}/r").collect()) == [(2, "duplicate_content"), (3, "content_too_short")]
+
+
+def test_small_tables_are_spread_over_cores(spark, tmp_path):
+    from sievemill.scratch import spread
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(1000).repartition(9).write.parquet(f"{tmp_path}/nine")
+    assert spread(spark.read.parquet(f"{tmp_path}/one")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    nine = spark.read.parquet(f"{tmp_path}/nine")
+    assert spread(nine) is nine
