@@ -16,6 +16,7 @@ from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -236,9 +237,19 @@ def _tail_starts(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: byt
     """Where the marks begin that end a word, of the words in which a letter or digit comes before them."""
     kind = np.zeros(256, dtype=bool)
     kind[list(marks)] = True
-    last = np.maximum.accumulate(np.where(kind[b], -1, np.arange(len(b))))  # the last byte that is no mark
-    tail = last[ends - 1] + 1
-    inside = (tail < ends) & (tail > starts)
+    few = np.flatnonzero(kind[b[ends - 1]])
+    starts, tail = starts[few], ends[few] - 1
+    more = np.arange(len(few))
+    for _ in range(32):  # one mark further back, in the words that have one more
+        more = more[tail[more] > starts[more]]
+        more = more[kind[b[tail[more] - 1]]]
+        if not len(more):
+            break
+        tail[more] -= 1
+    for k in more.tolist():  # long runs
+        letters = np.flatnonzero(~kind[b[starts[k] : tail[k]]])
+        tail[k] = starts[k] + (letters[-1] + 1 if len(letters) else 0)
+    inside = tail > starts
     tail, starts = tail[inside], starts[inside]
     alnum = np.array([chr(x).isalnum() and x < 128 for x in range(256)])
     one, two = b[tail - 1], b[np.maximum(tail - 2, 0)]
@@ -303,7 +314,9 @@ def split_words(text: pa.Array, lower: bool = True, marks: bytes = b"") -> Words
     h = np.concatenate(keys)
     h ^= h >> np.uint64(32)
     s, e = np.concatenate(starts), np.concatenate(ends)
-    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    ids, distinct = pd.factorize(h)  # by a hash table: in order of appearance
+    first = np.empty(len(distinct), np.int64)
+    first[ids[::-1]] = np.arange(len(h))[::-1]
     raw = data.tobytes().lower() if lower else data.tobytes()
     unique = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
     return Words(unique, ids.astype(np.int32), np.searchsorted(s, offsets))

@@ -119,7 +119,7 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
         weights = worker_cache("weights:" + path, lambda: projection(tokens.tokenizer.get_vocab_size()))
         seen = np.zeros(tokens.tokenizer.get_vocab_size(), dtype="<i8")
         there, kind = np.zeros((64, len(seen)), np.uint8), None
-        for batch in batches_of(batches, "text", 3 << 20):
+        for batch in batches_of(batches, "text", 8 << 20):
             ids, bounds = tokenize(batch.column(1), tokens)
             cut = bounds.tolist()
             for at in range(0, batch.num_rows, len(there)):

@@ -449,3 +449,6 @@ def test_shared_folder(spark):
 def test_marks_are_parted_only_after_letters():
     w = split_words(pa.array(["ab, c!! .. é. «x». 5% a\"."]), lower=False, marks=b".,;:!?#$%&*")
     assert [w.unique[i].decode() for i in w.ids] == ["ab", ",", "c", "!!", "..", "é", ".", "«x».", "5", "%", 'a".']
+    long = "." * 5000
+    w = split_words(pa.array([f"x{long} {long}", f"{long}y{long[:31]} z{long[:33]}"]), lower=False, marks=b".")
+    assert [w.unique[i].decode() for i in w.ids] == ["x", long, long, f"{long}y", long[:31], "z", long[:33]]
