@@ -24,13 +24,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; learned from labelled ids whose CRC-32 is no multiple of 5."""
     net = toxicity.fit(docs.filter(~toxicity.held_out(F.col("doc_id"), 5, 0)), _labels(spark, sf_dir), "toxic")
-    return toxicity.keep_clean(docs, net, 0.5)
+    return persist(toxicity.keep_clean(docs, net, 0.5), "clean")  # in small batches
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more; learned from labelled ids whose CRC-32 mod 4 is not 2."""
     train = docs.filter(~toxicity.held_out(F.col("doc_id"), 4, 2))
-    return quality.keep_good(docs, quality.fit(docs, train, _labels(spark, sf_dir), "quality"), 0.7)
+    return persist(quality.keep_good(docs, quality.fit(docs, train, _labels(spark, sf_dir), "quality"), 0.7), "good")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     weights = {k: v for k, v in LANGUAGE_WEIGHTS.items() if k in domains.names}
     if len(weights) < len(LANGUAGE_WEIGHTS):
         warnings.warn(f"no labelled documents of {sorted(set(LANGUAGE_WEIGHTS) - set(weights))}: the other languages share the whole", stacklevel=2)
-    return mixing.mix(docs, domains, mixing.fit_rates(docs, domains, weights, most=1.0)[1])
+    return persist(mixing.mix(docs, domains, mixing.fit_rates(docs, domains, weights, most=1.0)[1]), "mixed")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
