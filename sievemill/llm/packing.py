@@ -42,7 +42,7 @@ COMMON = 4
 #: places along a cluster's line.
 DIMENSIONS, SAMPLE, MOST_CLUSTERS, PLACES = 16, 8192, 4096, 64
 #: Strings after which a worker begins another generation of those it remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _MARKS = b".,;:!?#$%&*"
 PIECE_SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -119,7 +119,7 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
         weights = worker_cache("weights:" + path, lambda: projection(tokens.tokenizer.get_vocab_size()))
         seen = np.zeros(tokens.tokenizer.get_vocab_size(), dtype="<i8")
         there, kind = np.zeros((64, len(seen)), np.uint8), None
-        for batch in batches_of(batches, "text", 8 << 20):
+        for batch in batches_of(batches, "text", 4 << 20):
             ids, bounds = tokenize(batch.column(1), tokens)
             cut = bounds.tolist()
             for at in range(0, batch.num_rows, len(there)):
@@ -324,7 +324,7 @@ def _deal(texts: DataFrame, n: int, total: int, shard_tokens: int) -> DataFrame:
     that holds more than a shard (many copies) is dealt to several by the rows' places in the table.
     """
     spark, cells = texts.sparkSession, Cells(np.zeros((1, DIMENSIONS)))
-    sample = texts.select("vec").sample(min(1.0, 4 * SAMPLE / max(1, n)), 7).limit(SAMPLE).toArrow()["vec"]
+    sample = texts.select("vec").sample(min(1.0, 1.1 * SAMPLE / max(1, n)), 7).limit(SAMPLE).toArrow()["vec"]
     if len(sample):
         cells.centroids = kmeans(_vectors(sample), int(np.clip(2 * total // shard_tokens, 1, MOST_CLUSTERS)))
     held = ship(spark, cells)
