@@ -38,6 +38,13 @@ def _text(html: Column) -> Column:
     return clean(_decoded(F.regexp_replace(html, "<[^>]+>", " ")))
 
 
+def only_listed(html: Column) -> Column:
+    """Html whose other ampersands are text to a parser, too: it decodes ``REFERENCES`` alone, with their
+    semicolons, where it would also take ``&amp`` and all other names."""
+    names = "|".join(name[1:] for name, _ in REFERENCES)
+    return F.regexp_replace(html, f"&(?!{names})", "&amp;")
+
+
 def without_noise(html: Column) -> Column:
     t = F.coalesce(html, F.lit(""))
     for tag in NOISE:
