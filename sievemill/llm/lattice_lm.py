@@ -52,6 +52,8 @@ BYTES_SHARE = 1e-3
 
 #: Bytes of a word from which it has a lattice of its own; cells of a matrix of words, about.
 LONG, _CELLS = 128, 1 << 20
+#: Natural logarithms that a double holds, with room for a product of three.
+_REACH = 600.0
 _FACTOR, _FILTER = np.uint64(0x9E3779B97F4A7C55), 20
 
 
@@ -81,11 +83,19 @@ class Lattice:
             self.longest[p[:2]] = max(self.longest.get(p[:2], 0), len(p))
         several = [k for k, p in enumerate(self.pieces) if len(p) > 1]
         hashes = np.array([_hash(self.pieces[k]) for k in several], dtype=np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], np.array(several, dtype=np.int32)[order]
+        place = _place(hashes)
+        order = np.argsort(place, kind="stable")
+        self.numbers = np.array(several, dtype=np.int32)[order]
         self.most = max((len(self.pieces[k]) for k in several), default=1)
         self.maybe = np.zeros(1 << _FILTER, dtype=bool)  # most parts of words are no pieces: a first test
-        self.maybe[_place(self.hashes)] = True
+        self.maybe[place] = True
+        # pieces of one place follow each other; steps beyond the last stay on its hash, which is found before
+        own, self.first = place[order], np.zeros(1 << _FILTER, dtype=np.int32)
+        self.first[own[::-1]] = np.arange(len(own), dtype=np.int32)[::-1]
+        self.chain = int(np.bincount(own).max()) - 1 if len(own) else 0
+        self.hashes = np.concatenate([hashes[order], np.repeat(hashes[order][-1:], self.chain)])
+        self.low = min(values[k] for k, p in enumerate(self.pieces) if len(p) == 1)
+        self.high = max(max(values), 0.0)
 
     @classmethod
     def from_vocabulary(cls, pieces: list[str], scores: list[float]) -> Lattice:
@@ -153,35 +163,56 @@ class Lattice:
             for j, k, lp in edges[i]:
                 total[k] += count * math.exp(alpha[i] + lp + beta[j] - z)
 
-    # The same for many words of one length at once, as rows of a matrix of their bytes.
+    # The same for many words of one length at once, as rows of a matrix of their bytes.  Words that are
+    # short enough for their probabilities to stay within a double are summed up as such, others by logarithms.
 
-    def _pieces(self, b: np.ndarray) -> list[np.ndarray]:
-        """For each length l (from 1), the piece that each row has at each place, or -1."""
-        m, n = b.shape
-        out, h = [b.astype(np.int32)], b.astype(np.uint64) + np.uint64(1)
+    def _plain(self, n: int) -> bool:
+        return n * self.low > -_REACH and n * (self.high + math.log(2)) < _REACH
+
+    def _pieces(self, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length l (from 1), where pieces begin, flat over places and rows, and which."""
+        b = np.ascontiguousarray(b.T)
+        n, m = b.shape
+        own = b.astype(np.uint64) + np.uint64(1)
+        out, h = [(np.arange(n * m), b.ravel())], own
         for size in range(2, min(n, self.most) + 1):
-            h = h[:, : n - size + 1] * _FACTOR + (b[:, size - 1 :].astype(np.uint64) + np.uint64(1))
-            found = np.full(h.shape, -1, np.int32)
-            at = np.flatnonzero(self.maybe[_place(h)].ravel())
-            if len(at):
-                asked = h.ravel()[at]
-                near = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
-                found.ravel()[at] = np.where(self.hashes[near] == asked, self.numbers[near], -1)
-            out.append(found)
+            h = h[: n - size + 1] * _FACTOR
+            h += own[size - 1 :]
+            flat = h.ravel()
+            at = np.flatnonzero(self.maybe[_place(flat)])
+            asked = flat[at]
+            near = self.first[_place(asked)]
+            for _ in range(self.chain):
+                near += self.hashes[near] != asked
+            same = self.hashes[near] == asked
+            out.append((at[same], self.numbers[near[same]]))
         return out
 
-    def _weights(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
-        lp = np.append(self.logp, -np.inf)
-        return [lp[k] for k in pieces]
+    def _weights(self, pieces: list[tuple[np.ndarray, np.ndarray]], m: int, n: int, plain: bool) -> list[np.ndarray]:
+        values = np.exp(self.logp) if plain else self.logp
+        out = []
+        for size, (at, k) in enumerate(pieces, 1):
+            w = np.full((n - size + 1) * m, 0.0 if plain else -np.inf)
+            w[at] = values[k]
+            out.append(w.reshape(-1, m))
+        return out
 
-    def _forward(self, weights: list[np.ndarray], m: int, n: int) -> np.ndarray:
-        alpha = np.full((n + 1, m), -np.inf)
-        alpha[0] = 0
-        for j in range(1, n + 1):
-            parts = np.stack([alpha[j - size] + weights[size - 1][:, j - size] for size in range(1, min(j, len(weights)) + 1)])
-            top = parts.max(axis=0)
-            alpha[j] = top + np.log(np.exp(parts - top).sum(axis=0))
-        return alpha
+    def _sums(self, weights: list[np.ndarray], m: int, n: int, plain: bool, back: bool = False) -> np.ndarray:
+        """For each place, the sum over all segmentations of what is before it (``back``: after it)."""
+        out = np.full((n + 1, m), 0.0 if plain else -np.inf)
+        out[n if back else 0] = 1 if plain else 0
+        part = np.empty(m)
+        for j in range(n - 1, -1, -1) if back else range(1, n + 1):
+            sizes = range(1, min(n - j if back else j, len(weights)) + 1)
+            if plain:
+                for size in sizes:
+                    np.multiply(out[j + size if back else j - size], weights[size - 1][j if back else j - size], out=part)
+                    out[j] += part
+            else:
+                parts = np.stack([out[j + size] + weights[size - 1][j] if back else out[j - size] + weights[size - 1][j - size] for size in sizes])
+                top = parts.max(axis=0)
+                out[j] = top + np.log(np.exp(parts - top).sum(axis=0))
+        return out
 
     def log_probabilities(self, words: pa.Array) -> np.ndarray:
         """``log_probability`` of each word of a binary column."""
@@ -189,8 +220,10 @@ class Lattice:
         for at, b in same_lengths(words):
             if b is None:
                 out[at] = [self.log_probability(w) for w in words.take(pa.array(at)).to_pylist()]
-            else:
-                out[at] = self._forward(self._weights(self._pieces(b)), *b.shape)[-1]
+                continue
+            plain = self._plain(b.shape[1])
+            last = self._sums(self._weights(self._pieces(b), *b.shape, plain), *b.shape, plain)[-1]
+            out[at] = np.log(last) if plain else last
         return out
 
     def expect_all(self, words: pa.Array, total: np.ndarray) -> None:
@@ -201,19 +234,28 @@ class Lattice:
                     self.expect(w, 1.0, total)
                 continue
             m, n = b.shape
-            pieces = self._pieces(b)
-            weights = self._weights(pieces)
-            alpha = self._forward(weights, m, n)
-            beta = np.full((n + 1, m), -np.inf)
-            beta[n] = 0
-            for i in range(n - 1, -1, -1):
-                parts = np.stack([beta[i + size] + weights[size - 1][:, i] for size in range(1, min(n - i, len(weights)) + 1)])
-                top = parts.max(axis=0)
-                beta[i] = top + np.log(np.exp(parts - top).sum(axis=0))
-            for size, (k, w) in enumerate(zip(pieces, weights), 1):
-                row, place = np.nonzero(k >= 0)
-                share = np.exp(alpha[place, row] + w[row, place] + beta[place + size, row] - alpha[n][row])
-                total += np.bincount(k[row, place], weights=share, minlength=len(total))
+            pieces, plain = self._pieces(b), self._plain(n)
+            weights = self._weights(pieces, m, n, plain)
+            alpha, beta = self._sums(weights, m, n, plain), self._sums(weights, m, n, plain, back=True)
+            shares = []
+            for size, ((at, _), w) in enumerate(zip(pieces, weights), 1):
+                before, after = alpha[: n - size + 1], beta[size:]
+                share = before * w * (after / alpha[n]) if plain else np.exp(before + w + (after - alpha[n]))
+                shares.append(share.ravel()[at])
+            total += np.bincount(np.concatenate([k for _, k in pieces]), weights=np.concatenate(shares), minlength=len(total))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many, or so many bytes: few words have one length in a small batch."""
+    held, n, filled = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, filled = n + batch.num_rows, filled + batch.nbytes
+        if n >= rows or filled >= size:
+            yield pa.concat_batches(held)
+            held, n, filled = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def same_lengths(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
@@ -269,7 +311,7 @@ def _expected(words: DataFrame, lattice: Lattice) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = Lattice(*held()), np.zeros(n)
-        for batch in batches:
+        for batch in gathered(batches):
             model.expect_all(batch.column(0), total)
         yield pa.record_batch({"ids": pa.array([np.rint(total * 1e3).astype("<i8").tobytes()], pa.binary())})
 
@@ -284,7 +326,7 @@ def _with_lattice(words: DataFrame, lattice: Lattice, train_tokens: int, spelt:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Lattice(*held())
-        for batch in batches:
+        for batch in gathered(batches):
             pieces = model.log_probabilities(batch.column(0))
             pieces += math.log(spelt * last / (1 - last))
             with np.errstate(divide="ignore"):

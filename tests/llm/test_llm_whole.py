@@ -175,6 +175,42 @@ def test_lattices_of_many_words_equal_those_of_one():
     assert np.allclose(one, many, atol=1e-9)
 
 
+def test_lattices_sum_alike_with_and_without_logarithms(monkeypatch):
+    lattice = lattice_lm.read_vocabulary(public.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(3)
+    words = pa.array(["".join(r.choice(list("abcdethé"), int(n))).encode() for n in r.integers(0, 126, 400)] + [b"\x00" * n for n in (30, 60, 127)], pa.binary())
+    lengths = {b.shape[1] for _, b in lattice_lm.same_lengths(words) if b is not None}
+    assert {lattice._plain(n) for n in lengths} == {True, False} and not lattice._plain(lattice_lm.LONG)
+    mixed, by_logs = np.zeros(len(lattice.pieces)), np.zeros(len(lattice.pieces))
+    found = lattice.log_probabilities(words)
+    lattice.expect_all(words, mixed)
+    monkeypatch.setattr(lattice_lm, "_REACH", 0.0)
+    assert not any(map(lattice._plain, lengths))
+    assert np.isfinite(found).all() and np.allclose(found, lattice.log_probabilities(words), rtol=1e-12)
+    lattice.expect_all(words, by_logs)
+    assert np.allclose(mixed, by_logs, rtol=1e-9, atol=1e-9)
+
+
+def test_pieces_of_one_hash_place_are_told_apart(monkeypatch):
+    lattice = lattice_lm.read_vocabulary(public.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(lattice_lm, "_FILTER", 8)
+    monkeypatch.setattr(lattice_lm, "_place", lambda h: ((h * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(56)).astype(np.int64))
+    crowded = lattice_lm.Lattice(lattice.pieces, lattice.logp)
+    assert crowded.chain > 50
+    words = pa.array([b"the", b"treatment", b"wonderful", b"zzzz", b""], pa.binary())
+    assert np.allclose(crowded.log_probabilities(words), [lattice.log_probability(w) for w in words.to_pylist()], rtol=1e-12)
+
+
+def test_small_batches_of_words_are_gathered():
+    words = [b"w%d" % k for k in range(5000)]
+    small = [pa.record_batch({"word": pa.array(words[k : k + 7], pa.binary())}) for k in range(0, len(words), 7)]
+    got = list(lattice_lm.gathered(iter(small), rows=1000))
+    assert [b.num_rows for b in got[:-1]] == [1001] * (len(got) - 1) and len(got) == 5
+    assert [w for b in got for w in b.column(0).to_pylist()] == words
+    assert [b.num_rows for b in lattice_lm.gathered(iter(small), size=1)] == [b.num_rows for b in small]
+    assert not list(lattice_lm.gathered(iter([])))
+
+
 def test_long_hot_words_are_found_by_digest(spark):
     long = "x" * 500
     rows = [(k, f"{long} a b") for k in range(8)]
